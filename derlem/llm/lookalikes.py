@@ -4,7 +4,8 @@ Every text is folded first: characters that cannot be seen go, blanks of one wid
 line ends become line feeds, full-width forms and ligatures become their usual letters, and
 accents are composed. Then look-alike letters are repaired by script: in a token whose letters
 come from several scripts, or all of whose letters are look-alikes, they are replaced, but only
-where the corpus itself contains the resulting word in one script. The vocabulary is that of all
+where the corpus itself contains the resulting word: in one script, or behind another spelling that
+is repaired to it. The vocabulary is that of all
 texts; it stays distributed and is joined with the candidates only.
 
 Defined results: null texts stay null and are in no pair; a text of which nothing visible is left
@@ -162,7 +163,9 @@ def canonical(df: DataFrame, key: str, text: str, *, keep_text: bool = True) ->
     pair = odd.select(key, F.explode(F.arrays_zip("tokens", "repaired")).alias("p")).select(key, F.col("p.tokens").alias("t"), F.col("p.repaired").alias("r"))
     words = base.filter("words is not null").select(F.explode("words").alias("r")).distinct()
     # a word can be repaired in a third of all texts: the accepted words are one row each, and the texts' side is salted by the skew join
-    accepted = pair.select("t", "r").distinct().join(words, "r", "left_semi")
+    spelled = pair.select("t", "r").distinct()
+    known = words.unionByName(spelled.groupBy("r").agg(F.count("*").alias("k")).filter("k > 1").select("r")).distinct()
+    accepted = spelled.join(known, "r", "left_semi")
     fixes = pair.select(key, "t").join(accepted, "t").groupBy(key).agg(F.collect_list(F.struct("t", "r")).alias("pairs"))
     schema = f"`{key}` {kind}, raw binary, canon binary, folded string"
     repaired = odd.select(key, "raw", "folded").join(fixes, key, "left").mapInPandas(_repair_rows(key, keep_text), schema)

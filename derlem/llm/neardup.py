@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, size: int = 5, thre
     sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets("c", text, size), "c long, sh array<long>")
     sets = cut(sets)
     full = pairs.join(sets.withColumnsRenamed({"c": "a", "sh": "sha"}), "a").join(sets.withColumnsRenamed({"c": "b", "sh": "shb"}), "b")
-    return members, full.mapInPandas(_verify(threshold), "a long, b long, similarity double")
+    return members, full.mapInPandas(_verify(threshold), "a long, b long, similarity double").distinct()
 
 
 def document_pairs(members: DataFrame, links: DataFrame, *, expand: int = 64) -> DataFrame:
