@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from derlem.functions.keys import effective_text, fold_key, strip
-from derlem.llm import lookalikes, neardup, packing, splitting, survivors, tokens
+from derlem.llm import lookalikes, neardup, packing, pii, splitting, survivors, tokens
 from derlem.session import table
 
 TOKENIZER = "byte_bpe_50k"
@@ -47,6 +47,18 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("src_table", "_k", "n_chunks", "chunk_index").agg(F.min("item_key").alias("item_key"), F.max(F.struct("end", "start", "chunk")).alias("x")).select("src_table", "item_key", "chunk_index", "n_chunks", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), F.col("x.chunk").alias("chunk"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence once, however often its record was delivered."""
+    docs = table(spark, d, "documents_v2").filter("document_id is not null").select(strip("document_id").alias("document_id"), "full_text", "markdown")
+    found = pii.find(docs, "document_id", ["full_text", "markdown"])
+    return found.select("document_id", "field_name", "pii_type", "start_pos").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The delivered rows' texts with typed placeholders."""
+    return pii.redacted(table(spark, d, "documents_v2"), "row_id", ["full_text", "markdown"])
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents_v2").filter("document_id is not null").select(strip("document_id").alias("id"), effective_text().alias("t"))
     return neardup.near_duplicates(docs, "id", "t", size=3, threshold=0.6, min_words=30)
@@ -90,5 +102,5 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_values, p5_found, p5_pieces, p7_found, p7_groups, p8_ids, p9_assignment, p9_report, p10_found, p10_canonical)
+    for f in (p4_found, p4_values, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_groups, p8_ids, p9_assignment, p9_report, p10_found, p10_canonical)
 }
