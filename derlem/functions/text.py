@@ -35,10 +35,11 @@ def number_key(c: Column | str) -> Column:
 
 
 def year_of(c: Column | str) -> Column:
-    """Year of an ISO date, a day-first date or a bare year; null for anything else."""
+    """Year of an ISO date, a day-first date or a bare year; null for anything else and outside 1900 to 2100."""
     s = F.trim(_c(c))
-    y = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 4)).when(s.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), F.substring(s, 7, 4)).when(s.rlike(r"^\d{4}$"), s)
-    return y.cast("int")
+    y = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 4)).when(s.rlike(r"^\d{2}\.\d{2}\.\d{4}\z"), F.substring(s, 7, 4)).when(s.rlike(r"^\d{4}\z"), s)
+    n = y.cast("int")
+    return F.when(n.between(1900, 2100), n)
 
 
 def snippet(text: Column | str, term: str, width: int = 160) -> Column:
