@@ -2,8 +2,9 @@
 
 Items are spread over partitions of bounded size. Each is packed by best-fit decreasing, and a
 lower bound from dual feasible functions certifies the number of containers it needs. Where the
-number exceeds the bound, the badly filled containers are opened; their items are exchanged
-between such partitions and packed again, until no partition has a gap or the rounds are over.
+number exceeds the bound, the badly filled containers are opened; a certified partition opens its
+emptiest one at most. The items let go are exchanged between partitions and packed again, until
+one partition is left or the rounds are over.
 
 Defined results: an item longer than the capacity is cut into full containers and a rest, numbered
 by ``piece_no``; a null size counts as 0; items of size 0 take no room and lie in their
@@ -89,7 +90,9 @@ def _pack(round_no: int, last: bool, waste: float):
         out = rows[["kap", "capacity", "item", "piece_no", "size"]].copy()
         out["bin_id"] = [f"{key[0]}-{round_no}-{key[1]}-{b}" for b in into]
         loose = np.array([r > waste * capacity for r in rooms])
-        out["open"] = loose[into] if gap > 0 and not last else False
+        if gap <= 0:  # certified; still, rests of several partitions may share a container
+            loose &= np.arange(len(rooms)) == int(np.argmax(rooms))
+        out["open"] = False if last else loose[into]
         out["gap"], out["bound"] = gap, bound
         return out
 
