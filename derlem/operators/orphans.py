@@ -65,13 +65,12 @@ def find_orphans(refs: DataFrame, parents: DataFrame, deleted: DataFrame) -> Dat
     earliest time counts). ``deleted``: key (may repeat).
     """
     # the parent's earliest time, one row per key; what the log of deletions says matters only where no parent is left
-    own = parents.groupBy("key").agg(F.min("created_at").alias("_since"))
+    own = parents.groupBy("key").agg(F.min("created_at").alias("_since"), F.lit(True).alias("_there"))
     log = deleted.select("key").distinct().withColumn("_gone", F.lit(True))
     judged = split_by_filter(refs, own.select("key"), "key")
     hot = judged.groupBy("key").count()
     hot = hot.join(F.broadcast(judged.agg(F.count("*").alias("_n"))), F.col("count") >= F.greatest(F.lit(HOT_LEAST), F.col("_n") * HOT_SHARE)).select("key", F.lit(True).alias("_hot"))
     facts = own.join(log, "key", "full_outer")
-    facts = facts.withColumn("_there", F.col("_since").isNotNull() | F.col("_gone").isNull())
     flagged = judged.join(F.broadcast(hot), "key", "left")
     few = facts.join(F.broadcast(hot.select("key")), "key", "left_semi")
     popular = flagged.filter("_hot").join(F.broadcast(few), "key", "left")
