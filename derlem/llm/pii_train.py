@@ -5,6 +5,7 @@ teacher marks what is certain: numbers with right check digits, telephones, writ
 addresses, addresses with a quarter or street, and names made of parts of the name list. In half of
 the stretches the names are exchanged for others that are put together from the list's parts or
 from random syllables, so that the model learns where and how names stand and not which they are.
+Some stretches are learned in capitals as well.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ def low(s: str) -> str:
     return s.replace("İ", "i").replace("I", "ı").lower()
 
 
+def upper(s: str) -> str:
+    return s.replace("i", "İ").replace("ı", "I").upper()
+
+
 class Names:
     """What a name looks like, from the name list: beginnings and ends that recur in it."""
 
@@ -123,6 +128,34 @@ def exchange(text: str, lab: np.ndarray, names: Names, r: random.Random) -> tupl
     return "".join([*out, text[at:]]), np.concatenate([*labs, lab[at:]])
 
 
+def telephone(r: random.Random) -> str:
+    """A telephone number in one of many writings."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    area, sep = r.choice("2345") + d(2), r.choice([" ", "-", ".", "", "/"])
+    head = r.choice(["0", "0 ", "+90 ", "+90", "0090", "90", "0.", "0-", ""])
+    area = r.choice([area, f"({area})"])
+    rest = r.choice([[3, 2, 2], [3, 4], [7], [3, 2, 2]])
+    if head == "" and not sep:
+        sep = " "
+    return head + area + r.choice([sep, " ", sep]) + sep.join(d(n) for n in rest)
+
+
+def renumber(text: str, lab: np.ndarray, r: random.Random) -> tuple[str, np.ndarray]:
+    """The stretch with other telephone numbers in the places of its own."""
+    k = LABELS.index("phone")
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], lab == k, [0]])))
+    out, labs, at = [], [], 0
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if a and text[a - 1] in "+(":
+            continue
+        new = telephone(r)
+        first = len(new) - len(new.lstrip("+("))
+        out += [text[at:a], new]
+        labs += [lab[at:a], np.zeros(first, np.uint8), np.full(len(new) - first, k, np.uint8)]
+        at = b
+    return "".join([*out, text[at:]]), np.concatenate([*labs, lab[at:]])
+
+
 def examples(texts: list[str], names: Names, seed: int = 3) -> tuple[list[str], list[np.ndarray]]:
     r = random.Random(seed)
     seen, xs, ys = set(), [], []
@@ -146,6 +179,14 @@ def examples(texts: list[str], names: Names, seed: int = 3) -> tuple[list[str],
                 s2, l2 = exchange(s, lab, names, r)
                 xs.append(s2)
                 ys.append(l2)
+            if (lab == LABELS.index("phone")).any():
+                s2, l2 = renumber(s, lab, r)
+                xs.append(s2)
+                ys.append(l2)
+            up = upper(s)
+            if r.random() < (0.08 if lab.any() else 0.2) and len(up) == len(s):
+                xs.append(up)
+                ys.append(lab)
             if len(xs) >= MAX_STRETCHES:
                 return xs, ys
     return xs, ys
