@@ -4,11 +4,13 @@ Texts with the same words are one class. Each class gets MinHash values of its d
 ``BANDS`` groups of ``ROWS`` values are the shards a class belongs to, so shards overlap and a pair
 on the edge of one lies within another. One bit of each value makes a 64-bit fingerprint, whose
 Hamming distance falls with similarity. Within a shard a vantage-point tree over the fingerprints
-is searched with a radius that keeps a pair at the threshold with probability above 0.99999;
-branches are pruned by the triangle inequality. What remains is verified on the full sets of runs.
+is searched with a radius that keeps a pair at similarity 0.6 with probability 0.9998 in each shard
+they share; branches are pruned by the triangle inequality. What remains is verified on the full
+sets of runs. Shards too small for a tree (``LEAF``) are compared as its leaves are.
 
 A shard above ``SHARD`` classes is split into blocks that meet pairwise in different tasks: every
-pair meets once, no task receives the whole shard.
+pair meets once, no task receives the whole shard. Which shards are that large is estimated from a
+sixteenth of the postings; the estimate decides on the split only, never on what is compared.
 
 The shards alone lose a pair at similarity s with probability (1 - s^ROWS)^BANDS: 0.0004 at 0.6,
 under 1e-8 at 0.8.
@@ -34,13 +36,13 @@ from derlem.session import cut
 
 BANDS, ROWS = 32, 3
 BITS = 64
-RADIUS = 29
+RADIUS = 24
 SHARD = 4_096
 LEAF = 24
+PLAN = 16
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _P = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _known: dict[str, int] = {}
 
@@ -82,10 +84,8 @@ def minhash(sh: np.ndarray) -> np.ndarray:
     """Minima of the hash family over a set of runs, in blocks that stay in the cache."""
     best = np.full(len(_A), 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(sh), 256):
-            v = sh[i : i + 256, None] * _A[None, :] + _B[None, :]
-            v ^= v >> np.uint64(32)
-            np.minimum(best, v.min(axis=0), out=best)
+        for i in range(0, len(sh), 128):
+            np.minimum(best, (sh[i : i + 128, None] * _A).min(axis=0), out=best)
     return best
 
 
@@ -155,23 +155,30 @@ class VantageTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def shard_pairs(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of positions within the radius whose numbers of runs allow the threshold.
+def shard_pairs(ids: np.ndarray, fps: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs within the radius, smaller id first.
 
-    ``side``: 0 for members of the first block, 1 of the second, 2 where both are one block.
+    ``side``: 0 for members of the first block, 1 of the second; without it all meet all.
     """
-    out: list[tuple[int, int]] = []
-    put = np.flatnonzero(side != 1)
-    ask = np.flatnonzero(side != 0)
+    put = np.arange(len(ids)) if side is None else np.flatnonzero(side == 0)
+    ask = put if side is None else np.flatnonzero(side == 1)
     tree = VantageTree(fps[put])
+    a, b = [], []
     for q in ask:
-        got = put[tree.near(fps[q], RADIUS)]
-        ok = np.minimum(sizes[got], sizes[q]) >= threshold * np.maximum(sizes[got], sizes[q])
-        got = got[ok & (ids[got] != ids[q])]
-        if side[q] == 2:
-            got = got[ids[got] > ids[q]]
-        out += [(int(q), int(p)) for p in got]
-    return out
+        got = ids[put[tree.near(fps[q], RADIUS)]]
+        got = got[got > ids[q]] if side is None else got[got != ids[q]]
+        a.append(np.minimum(got, ids[q]))
+        b.append(np.maximum(got, ids[q]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def small_pairs(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many shards of one small size at once: rows are shards."""
+    i, j = np.triu_indices(ids.shape[1], 1)
+    near = np.bitwise_count(fps[:, i] ^ fps[:, j]) <= RADIUS
+    x, y = ids[:, i][near], ids[:, j][near]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def _sketches(key: str, text: str, size: int, min_words: int):
@@ -191,24 +198,29 @@ def _sketches(key: str, text: str, size: int, min_words: int):
     return run
 
 
-def _search(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            a, c = [], []
-            for ids, fps, ns, sides in zip(b["ids"], b["fps"], b["ns"], b["sides"]):
-                ids, fps = np.asarray(ids), np.asarray(fps, np.int64).view(np.uint64)
-                for q, p in shard_pairs(ids, fps, np.asarray(ns), np.asarray(sides), threshold):
-                    a.append(min(ids[q], ids[p]))
-                    c.append(max(ids[q], ids[p]))
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(c, np.int64)})
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes = b["ids"].map(len).to_numpy()
+        for m in np.unique(sizes):
+            part = b[sizes == m]
+            if "sides" not in b and m <= LEAF:
+                out.append(small_pairs(np.stack(part["ids"].tolist()), np.stack(part["fps"].tolist()).view(np.uint64)))
+                continue
+            for r in part.itertuples():
+                out.append(shard_pairs(r.ids, r.fps.view(np.uint64), r.sides if "sides" in b and (r.sides != 2).any() else None))
+        x = np.concatenate([p[0] for p in out]) if out else np.zeros(0, np.int64)
+        y = np.concatenate([p[1] for p in out]) if out else np.zeros(0, np.int64)
+        yield pd.DataFrame({"a": x, "b": y}).drop_duplicates()
 
-    return run
 
+def _sets(text: str, size: int):
+    """The sets for verification, as 32-bit hashes: two runs of one pair of texts collide with a
+    probability near 1e-5, which would shift its similarity by less than a hundredth."""
 
-def _sets(key: str, text: str, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"c": b["c"], "sh": [runs(words_of(t), size).view(np.int64) for t in b[text]]})
+            yield pd.DataFrame({"c": b["c"], "sh": [np.unique(runs(words_of(t), size).astype(np.uint32)).view(np.int32) for t in b[text]]})
 
     return run
 
@@ -232,32 +244,28 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, size: int = 5, thre
     sk = docs.select(key, text).mapInPandas(_sketches(key, text, size, min_words), f"id {kind}, cls binary, n int, fp long, bands array<long>")
     sk = cut(sk.withColumn("c", F.xxhash64("cls")))
     members = sk.groupBy("id").agg(F.min("c").alias("c"))
-    reps = sk.groupBy("c").agg(F.first(F.struct("n", "fp", "bands")).alias("s"), F.min("id").alias("rep"))
-    posts = reps.select("c", F.col("s.n").alias("n"), F.col("s.fp").alias("fp"), F.explode("s.bands").alias("band"))
-    one = F.struct("c", "fp", "n")
-    sizes = posts.groupBy("band").count().filter(F.col("count") > SHARD)
+    reps = sk.groupBy("c").agg(F.first(F.struct("fp", "bands")).alias("s"), F.min("id").alias("rep"))
+    posts = reps.select("c", F.col("s.fp").alias("fp"), F.explode("s.bands").alias("band"))
+    sample = sk.filter(F.pmod(F.xxhash64("c", F.lit(3)), F.lit(PLAN)) == 0).select("c", "bands").dropDuplicates(["c"]).select(F.explode("bands").alias("band"))
     # at most one shard in SHARD postings is large; they are few, but their number is not assumed
-    large = cut(sizes.withColumn("blocks", F.ceil(F.col("count") / (SHARD // 2)).cast("int")).select("band", "blocks"))
+    large = cut(sample.groupBy("band").count().filter(F.col("count") * PLAN > SHARD).withColumn("blocks", F.ceil(F.col("count") * PLAN / (SHARD // 2)).cast("int")).select("band", "blocks"))
+    lists = [F.collect_list("c").alias("ids"), F.collect_list("fp").alias("fps")]
     if large.isEmpty():
-        small, cells = posts, None
+        pairs = posts.groupBy("band").agg(*lists).filter(F.size("ids") > 1).select("ids", "fps").mapInPandas(_search, "a long, b long")
     else:
-        small = posts.join(large, "band", "left_anti")
+        few = posts.join(large, "band", "left_anti").groupBy("band").agg(*lists)
         big = posts.join(large, "band").withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         big = big.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = big.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j"), "side": F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)})
-    packed = lambda df, *by: df.groupBy(*by).agg(F.collect_list(F.struct(one, "side")).alias("m")).filter(F.size("m") > 1).select(
-        F.transform("m", lambda x: x["col1"]["c"]).alias("ids"), F.transform("m", lambda x: x["col1"]["fp"]).alias("fps"),
-        F.transform("m", lambda x: x["col1"]["n"]).alias("ns"), F.transform("m", lambda x: x["side"]).alias("sides"),
-    )
-    shards = packed(small.withColumn("side", F.lit(2)), "band")
-    if cells is not None:
-        shards = shards.unionByName(packed(cells, "band", "lo", "hi"))
-    pairs = cut(shards.mapInPandas(_search(threshold), "a long, b long").distinct())
+        many = cells.groupBy("band", "lo", "hi").agg(*lists, F.collect_list("side").alias("sides"))
+        pairs = few.filter(F.size("ids") > 1).select("ids", "fps").mapInPandas(_search, "a long, b long")
+        pairs = pairs.unionByName(many.filter(F.size("ids") > 1).select("ids", "fps", "sides").mapInPandas(_search, "a long, b long"))
+    pairs = cut(pairs.distinct())
     # only texts of classes in a candidate pair are read again; a filter of bounded size keeps the others from moving
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     who = reps.select("rep", "c").join(wanted, "c", "left_semi").withColumn("key", F.col("rep").cast("string"))
     texts = split_by_filter(docs.select(F.col(key).alias("rep"), text, F.col(key).cast("string").alias("key")), who, "key").filter("maybe").drop("maybe", "key")
-    sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets("c", text, size), "c long, sh array<long>")
+    sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets(text, size), "c long, sh array<int>")
     sets = cut(sets)
     full = pairs.join(sets.withColumnsRenamed({"c": "a", "sh": "sha"}), "a").join(sets.withColumnsRenamed({"c": "b", "sh": "shb"}), "b")
     return members, full.mapInPandas(_verify(threshold), "a long, b long, similarity double").distinct()
