@@ -13,8 +13,9 @@ from derlem.functions.text import number_key
 
 COURT = r"(Yargıtay|Danıştay|Anayasa Mahkemesi|Bölge Adliye Mahkemesi|Bölge İdare Mahkemesi|Sayıştay|Uyuşmazlık Mahkemesi)"
 CHAMBER = r"(\d{1,2}\.\s*(?:Hukuk|Ceza|İdari Dava)?\s*Daire(?:si)?)"
-ESAS = r"(?i)(?:esas(?:\s*no)?\s*[:.]?\s*(\d{4}/\d+)|(\d{4}/\d+)\s*(?:E\.|esas))"
-KARAR = r"(?i)(?:karar(?:\s*no)?\s*[:.]?\s*(\d{4}/\d+)|(\d{4}/\d+)\s*(?:K\.|karar|sayılı ilam))"
+#: A number named before is surer than one whose kind follows it.
+ESAS = (r"(?i)esas(?:\s*no)?\s*[:.]?\s*(\d{4}/\d+)", r"(\d{4}/\d+)\s*(?:E\.|[Ee]sas)")
+KARAR = (r"(?i)karar(?:\s*no)?\s*[:.]?\s*(\d{4}/\d+)", r"(\d{4}/\d+)\s*(?:K\.|sayılı (?:ilam|karar))")
 DATE = r"(\d{2})\.(\d{2})\.(\d{4})"
 
 
@@ -24,10 +25,10 @@ def candidates(df: DataFrame, key: str, text: str, limit: int = 10) -> DataFrame
     A line counts if it names a court or a number; confidence comes from the fields it has
     (court 3, the others 2 each: high from 7, medium from 4).
     """
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\n|(?<=[.!?])\s+")).alias("pos", "line")).filter(F.length("line") >= 10)
-    one = lambda p, *g: F.coalesce(*[F.nullif(F.regexp_extract("line", p, i), F.lit("")) for i in g])
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\n|(?<=\D[.!?])\s+(?=[A-ZÇĞİÖŞÜ])")).alias("pos", "line")).filter(F.length("line") >= 10)
+    one = lambda *ps: F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in ps])
     date = F.when(F.col("line").rlike(DATE), F.concat_ws("-", F.regexp_extract("line", DATE, 3), F.regexp_extract("line", DATE, 2), F.regexp_extract("line", DATE, 1)))
-    c = lines.select(key, "pos", one(COURT, 1).alias("court"), one(CHAMBER, 1).alias("chamber"), one(ESAS, 1, 2).alias("esas"), one(KARAR, 1, 2).alias("karar"), date.alias("cited_date"))
+    c = lines.select(key, "pos", one(COURT).alias("court"), one(CHAMBER).alias("chamber"), one(*ESAS).alias("esas"), one(*KARAR).alias("karar"), date.alias("cited_date"))
     c = c.filter("court is not null or esas is not null or karar is not null")
     fields = ["chamber", "cited_date", "esas", "karar"]
     score = F.when(F.col("court").isNotNull(), 3).otherwise(0)

@@ -88,4 +88,39 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
+_WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}|{_WS}$', '', 'g')"
+
+
+def _key_sql(c: str) -> str:
+    return f"lower({strip_sql(c)})"
+
+
+_SAME = "CASE WHEN a.tr IS NOT NULL AND b.tr IS NOT NULL THEN a.tr = b.tr WHEN a.tr IS NOT NULL THEN coalesce(b.st IN (a.tr, a.ex), false) WHEN b.tr IS NOT NULL THEN coalesce(a.st IN (b.tr, b.ex), false) ELSE a.st IS NOT DISTINCT FROM b.st END"
+_P2 = (
+    f"WITH s AS (SELECT snapshot_no n, {_key_sql('mevzuat_id')} k, {strip_sql('mevzuat_id')} id, [" + ", ".join(f"coalesce({strip_sql(c)}, '')" for c in ("ad", "tur", "mevzuat_no", "rg_sayisi")) + "] attrs, "
+    f"CASE WHEN {strip_sql('metin')} <> '' THEN sha256({strip_sql('metin')}) END tr, CASE WHEN {strip_sql('metin')} <> '' THEN sha256(metin) END ex, CASE WHEN coalesce({strip_sql('metin')}, '') = '' THEN nullif({_key_sql('metin_hash')}, '') END st "
+    f"FROM mevzuat_dokuman WHERE {strip_sql('mevzuat_id')} <> '' QUALIFY row_number() OVER (PARTITION BY snapshot_no, {_key_sql('mevzuat_id')} ORDER BY cekim_zamani DESC NULLS LAST, row_id DESC) = 1), "
+    "a AS (SELECT *, n + 1 m FROM s WHERE n < (SELECT max(n) FROM s)), b AS (SELECT *, n m FROM s WHERE n > (SELECT min(n) FROM s)), "
+    f"j AS (SELECT coalesce(a.m, b.m) m, coalesce(b.id, a.id) id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.attrs <> b.attrs OR NOT ({_SAME}) THEN 'changed' END kind FROM a FULL JOIN b ON a.m = b.m AND a.k = b.k) "
+)
+_DOC = lambda i, s: f"concat('d', coalesce({_key_sql(i)}, ''), '|', coalesce({_key_sql(s)}, ''))"
+_P3 = (
+    "WITH r AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{t}' src_table, '{f}' ref_field, row_id, {k} k, created_at c FROM {t} WHERE {f} IS NOT NULL"
+        for t, f, k in (("citation_edges", "citing_doc_id", _DOC("citing_doc_id", "citing_source")), ("citation_edges", "cited_doc_id", _DOC("cited_doc_id", "cited_source")), ("dedup_members", "cluster_id", f"concat('g', {_key_sql('cluster_id')})"))
+    )
+    + f"), p AS (SELECT k, min(c) c FROM (SELECT {_DOC('document_id', 'source')} k, created_at c FROM documents_v2 WHERE document_id IS NOT NULL UNION ALL SELECT concat('g', {_key_sql('cluster_id')}), created_at FROM dedup_clusters WHERE cluster_id IS NOT NULL) GROUP BY 1), "
+    f"x AS (SELECT DISTINCT CASE {_key_sql('tablo')} WHEN 'documents_v2' THEN {_DOC('kayit_id', 'kaynak')} WHEN 'dedup_clusters' THEN concat('g', {_key_sql('kayit_id')}) END k FROM silinen_kayit WHERE kayit_id IS NOT NULL), "
+    "o AS (SELECT src_table, ref_field, row_id, r.k, CASE WHEN p.k IS NULL AND x.k IS NOT NULL THEN 'deleted' WHEN p.k IS NULL THEN 'missing' WHEN p.c > r.c THEN 'late' END orphan_kind, coalesce(strftime(r.c, '%Y-%m'), '') period_ym FROM r LEFT JOIN p ON p.k = r.k LEFT JOIN x ON x.k = r.k) "
+)
+SQL = {
+    "p2_found": _P2 + "SELECT m snapshot_no, id mevzuat_id, kind change_kind FROM j WHERE kind IS NOT NULL",
+    "p3_found": _P3 + "SELECT src_table, ref_field, row_id, orphan_kind, period_ym FROM o WHERE orphan_kind IS NOT NULL",
+    "p3_report": _P3 + "SELECT src_table, ref_field, orphan_kind, period_ym, count(*) n_refs, count(DISTINCT k) n_keys FROM o WHERE orphan_kind IS NOT NULL GROUP BY 1, 2, 3, 4",
+}
 QUERIES = {f.__name__: f for f in (p1_found, p1_formats, p2_found, p2_archive, p2_log_check, p3_found, p3_report)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,17 +71,9 @@ def citation_graph_build(spark: SparkSession, d: str) -> DataFrame:
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts kept by a stream over the event file, drained into the shared folder."""
     path = os.path.join(d, "events.parquet")
-    base = tempfile.mkdtemp(prefix="stream-", dir=_local(shared_folder(spark)))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     like = spark.read.parquet(path)
     s = spark.readStream.schema(like.schema).parquet(path if os.path.isdir(path) else os.path.join(d, "events*.parquet"))
-    got: list[DataFrame] = []
     counts = jobs.windowed_counts(s, "ts", "event_type", late="3650 days")
-    jobs.run_available(counts, f"file://{base}/checkpoint", each=lambda b, _: b.write.mode("overwrite").parquet(f"file://{base}/out"), mode="complete")
-    got.append(spark.read.parquet(f"file://{base}/out"))
-    return got[0].select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("dy"), "n")
-
-
-def _local(folder: str) -> str:
-    path = folder.removeprefix("file://").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
+    jobs.run_available(counts, f"{base}/checkpoint", each=lambda b, _: b.write.mode("overwrite").parquet(f"{base}/out"), mode="complete")
+    return spark.read.parquet(f"{base}/out").select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("dy"), "n")

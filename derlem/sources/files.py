@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -54,12 +56,25 @@ def current(spark: SparkSession, root: str, columns: list[str] | None = None) ->
 
 
 def decode_pages(spark: SparkSession, folder: str, charset: str = "windows-1254") -> DataFrame:
-    """(path, text) of files of bytes; a charset named in the page's head wins over the default."""
-    b = spark.read.format("binaryFile").load(folder)
-    head = F.decode(F.substring("content", 1, 1024), "iso-8859-1")
-    named = F.lower(F.regexp_extract(head, r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1))
-    text = F.when(named.isin("utf-8", "utf8"), F.decode("content", "utf-8")).otherwise(F.decode("content", charset))
-    return b.select("path", text.alias("text"))
+    """(path, text) of files of bytes; a charset named in the page's head wins over the default.
+
+    The engine's own ``decode`` knows Unicode and Latin-1 only, so bytes are decoded in Arrow batches.
+    """
+    b = spark.read.format("binaryFile").load(folder).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"path": x["path"], "text": [_decode(c, charset) for c in x["content"]]})
+
+    return b.mapInPandas(run, "path string, text string")
+
+
+def _decode(content: bytes, charset: str) -> str:
+    named = re.search(rb"charset\s*=\s*[\"']?([\w-]+)", content[:1024], re.IGNORECASE)
+    try:
+        return content.decode(named[1].decode() if named else charset, errors="replace")
+    except LookupError:
+        return content.decode(charset, errors="replace")
 
 
 class ReplaySource(DataSource):
