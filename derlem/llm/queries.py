@@ -100,6 +100,14 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("folded").alias("text"))
 
 
+_WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+_STRIP = lambda c: f"regexp_replace({c}, '^{_WS}|{_WS}$', '', 'g')"
+_TEXT = f"CASE WHEN coalesce({_STRIP('full_text')}, '') <> '' THEN full_text ELSE markdown END"
+_LIMIT = "(SELECT max_len FROM parca_sinir WHERE lower(trim(tablo)) = '{}' LIMIT 1)"
+SQL = {
+    "p5_found": f"SELECT 'documents_v2' src_table, min({_STRIP('document_id')}) item_key FROM documents_v2 WHERE document_id IS NOT NULL AND length({_STRIP(_TEXT)}) > {_LIMIT.format('documents_v2')} GROUP BY lower({_STRIP('document_id')}) "
+    f"UNION ALL SELECT 'mevzuat_madde', min({_STRIP('mevzuat_id')} || '|' || sira) FROM mevzuat_madde WHERE length({_STRIP('metin')}) > {_LIMIT.format('mevzuat_madde')} GROUP BY lower({_STRIP('mevzuat_id')} || '|' || sira)"
+}
 QUERIES = {
     f.__name__: f
     for f in (p4_found, p4_values, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_groups, p8_ids, p9_assignment, p9_report, p10_found, p10_canonical)
