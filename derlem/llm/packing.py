@@ -111,9 +111,11 @@ def pack(items: DataFrame, capacities: DataFrame, *, rounds: int = 3, per_partit
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .select("kap", "capacity", "item", "piece_no", F.least(F.col("capacity").cast("long"), F.greatest(F.lit(0).cast("long"), s - F.col("piece_no") * F.col("capacity").cast("long"))).cast("int").alias("size"))
     )
+    # sizes are costly to make (tokens of whole texts): they are made once
+    rows = cut(rows)
     full = rows.filter("size = capacity").withColumn("bin_id", F.concat_ws("-", "kap", F.lit("full"), "item", "piece_no"))
     columns = ["kap", "capacity", "item", "piece_no", "size", "bin_id"]
-    loose = cut(rows.filter("size < capacity"))
+    loose = rows.filter("size < capacity")
     done = [full.select(columns)]
     for r in range(rounds):
         counts = dict(loose.groupBy("kap").count().collect())  # one row per kind
