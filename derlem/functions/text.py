@@ -18,8 +18,12 @@ def lower_tr(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """Words in order; null text has none. Cut first, lowered after, so that no letter splits a word."""
-    return F.transform(F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(WORD), F.lit(0)), lower_tr)
+    """Words in order, lowered; null text has none.
+
+    The one letter whose lower case would split a word (dotted I) is replaced before, so the whole
+    text is lowered at once instead of each word.
+    """
+    return F.regexp_extract_all(lower_tr(F.coalesce(_c(c), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def ascii_fold(c: Column | str) -> Column:

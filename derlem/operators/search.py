@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from derlem.functions.text import tokens
 
 
-def equal(word: str):
-    """A one-argument test; a default argument would be taken for the element's index."""
-    return lambda x: x == word
-
-
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) for every distinct word of every document."""
     return df.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -45,8 +40,10 @@ def norms(weights: DataFrame, key: str) -> DataFrame:
 
 def counts(df: DataFrame, key: str, text: str, terms: list[str], extra: list[str] | None = None) -> DataFrame:
     """(key, dl, f0, f1, ...): occurrences of each query term, in one narrow pass."""
-    d = df.select(key, *(extra or []), tokens(text).alias("_t"))
-    return d.select(key, *(extra or []), F.size("_t").alias("dl"), *[F.size(F.filter("_t", equal(t))).alias(f"f{i}") for i, t in enumerate(terms)])
+    # behind a generator the words are cut once a row, however often later predicates name the counts
+    d = df.select(key, *(extra or []), F.explode(F.array(tokens(text))).alias("_t"))
+    n = F.size("_t")
+    return d.select(key, *(extra or []), n.alias("dl"), *[(n - F.size(F.array_remove("_t", t))).alias(f"f{i}") for i, t in enumerate(terms)])
 
 
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], *, mode: str = "and", k1: float = 1.2, b: float = 0.75) -> DataFrame:
