@@ -45,7 +45,7 @@ class InvertedFile:
         dims = array_to_vector(F.col("_u")).alias("features")
         share = F.lit(max(1, -(-vectors.count() // fit_rows)))
         sample = unit.filter(F.pmod(F.xxhash64(key), share) == 0).select(dims)
-        self.model = KMeans(k=cells, seed=seed, maxIter=15).fit(sample)
+        self.model = KMeans(k=cells, seed=seed, maxIter=8).fit(sample)
         self.centres = [c.tolist() for c in self.model.clusterCenters()]
         self.key, self.vector = key, vector
         scored = F.array(*[F.struct(dot(F.col("_u"), F.array(*map(F.lit, c))).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(self.centres)])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from derlem.functions.text import jaccard, lower_tr, snippet, tokens
 from derlem.operators import search, vectors
 from derlem.plans.queries import BooleanQuery, parse_match
-from derlem.session import table
+from derlem.session import spread, table
 
 TERMS = ["kira", "bedeli", "sözleşme"]
 ANY = ["tapu", "kira", "tahliye"]
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 TOK = r"list_transform(regexp_extract_all(coalesce(text,''), '[\p{L}\p{N}_]+'), lambda x: lower(translate(x,'İI','iı')))"

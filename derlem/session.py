@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give less than half of them something to do.
+
+    A table of one small file is one task however long its texts take. Tables of many files stay
+    as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if have * 2 < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints that every executor can read.
 
