@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from derlem.functions.keys import effective_text, fold_key, strip
 from derlem.llm import lookalikes, neardup, packing, pii, splitting, survivors, tokens
-from derlem.session import table
+from derlem.session import spread, table
 
 TOKENIZER = "byte_bpe_50k"
 
@@ -49,18 +49,18 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every occurrence once, however often its record was delivered."""
-    docs = table(spark, d, "documents_v2").filter("document_id is not null").select(strip("document_id").alias("document_id"), "full_text", "markdown")
+    docs = spread(table(spark, d, "documents_v2").filter("document_id is not null").select(strip("document_id").alias("document_id"), "full_text", "markdown"))
     found = pii.find(docs, "document_id", ["full_text", "markdown"])
     return found.select("document_id", "field_name", "pii_type", "start_pos").distinct()
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The delivered rows' texts with typed placeholders."""
-    return pii.redacted(table(spark, d, "documents_v2"), "row_id", ["full_text", "markdown"])
+    return pii.redacted(spread(table(spark, d, "documents_v2").select("row_id", "full_text", "markdown")), "row_id", ["full_text", "markdown"])
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents_v2").filter("document_id is not null").select(strip("document_id").alias("id"), effective_text().alias("t"))
+    docs = spread(table(spark, d, "documents_v2").filter("document_id is not null").select(strip("document_id").alias("id"), effective_text().alias("t")))
     return neardup.near_duplicates(docs, "id", "t", size=3, threshold=0.6, min_words=30)
 
 
@@ -73,12 +73,16 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.components(*_near(spark, d))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"), "doc_id", "text", TOKENIZER)
+    return tokens.encode(_texts(spark, d), "doc_id", "text", TOKENIZER)
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    sizes = tokens.lengths(table(spark, d, "documents"), "doc_id", "text", TOKENIZER).select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"))
+    sizes = tokens.lengths(_texts(spark, d), "doc_id", "text", TOKENIZER).select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"))
     kinds = table(spark, d, "kap_boyut").filter(fold_key("tokenizer") == TOKENIZER).select("kap", F.col("kapasite").alias("capacity"))
     return packing.pack(sizes, kinds)
 
@@ -92,12 +96,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.same_looking(lookalikes.canonical(table(spark, d, "documents"), "doc_id", "text", keep_text=False), "doc_id")
+    return lookalikes.same_looking(lookalikes.canonical(_texts(spark, d), "doc_id", "text", keep_text=False), "doc_id")
 
 
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every text."""
-    return lookalikes.canonical(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("folded").alias("text"))
+    return lookalikes.canonical(_texts(spark, d), "doc_id", "text").select("doc_id", F.col("folded").alias("text"))
 
 
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
