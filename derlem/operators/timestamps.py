@@ -15,6 +15,7 @@ overwritten.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +49,9 @@ def _int(c: Column) -> Column:
     return F.when(c != "", c).cast("int")
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+def _lookup(table: dict, key: Column, kind: str = "int") -> Column:
+    """The value of a key; the table is one folded literal, not an expression per entry."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>"), key)
 
 
 def _day_micros(y: Column, m: Column, d: Column) -> Column:
@@ -127,7 +128,7 @@ def add_readings(df: DataFrame, column: str, zone: str = "Europe/Istanbul", nume
     offset = F.when(tail.rlike(off), F.when(F.regexp_extract(tail, off, 1) == "-", -1).otherwise(1) * (_int(F.regexp_extract(tail, off, 2)) * 60 + _int(F.regexp_extract(tail, off, 3)))).when(abbr != "", _lookup(ABBREVIATIONS, abbr))
     known = _zones(spark)
     region = F.regexp_extract(tail, r"^ *\[?\(?([a-z]+/[a-z_]+(?:/[a-z_]+)?)", 1)
-    region = F.when(region != "", _lookup(_zones(spark), region))
+    region = F.when(region != "", _lookup(_zones(spark), region, "string"))
     df = _fix(df, _t=time, _off=F.when(F.col("_has"), offset), _zone=F.coalesce(F.when(F.col("_has"), region), F.lit(zone)))
 
     p = F.col("_p")
@@ -208,9 +209,8 @@ def normalise_timestamps(df: DataFrame, column: str, source: str, *, zone: str =
     weights = fit_mixture(read, source)
     flat = {f"{src}\x1f{k[0]}{k[1]}": w for src, ws in weights.items() for k, w in ws.items()}
     if flat:
-        weight = F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])
         src = F.coalesce(F.col(source).cast("string"), F.lit("None"))
-        look = lambda kind, v: F.coalesce(F.try_element_at(weight, F.concat(src, F.lit("\x1f" + kind), v)), F.lit(1e-9))
+        look = lambda kind, v: F.coalesce(_lookup(flat, F.concat(src, F.lit("\x1f" + kind), v), "double"), F.lit(1e-9))
         scored = F.transform("readings", lambda r: F.struct((look("f", r["format"]) * look("e", _era(r["micros"]).cast("string"))).alias("w"), r["micros"].alias("m"), r["format"].alias("f")))
     else:
         scored = F.transform("readings", lambda r: F.struct(F.lit(1.0).alias("w"), r["micros"].alias("m"), r["format"].alias("f")))
