@@ -70,8 +70,9 @@ def _fix(df: DataFrame, **cols: Column) -> DataFrame:
 
 def _zones(spark: SparkSession) -> dict[str, str]:
     """Region zones known to the JVM, by their folded names."""
-    ids = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()
-    return {z.lower(): z for z in sorted(ids) if "/" in z and not z.startswith(("Etc/", "SystemV/"))}
+    jvm = spark.sparkContext._jvm.java
+    ids = jvm.lang.String.join(",", jvm.time.ZoneId.getAvailableZoneIds())
+    return {z.lower(): z for z in sorted(ids.split(",")) if "/" in z and not z.startswith(("Etc/", "SystemV/"))}
 
 
 def add_readings(df: DataFrame, column: str, zone: str = "Europe/Istanbul", numeric_order: str | None = "day_first", century: int = 2000) -> DataFrame:
