@@ -101,13 +101,13 @@ def rrf(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return u.groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6, norm: str = "reference") -> DataFrame:
+def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6, norm: str = "inverse") -> DataFrame:
     """weight * bm25n + (1 - weight) * cosine over the union of both.
 
-    ``norm``: ``reference`` maps a BM25 score s to 1 / (1 + |s|), which falls as matches get
+    ``norm``: ``inverse`` maps a BM25 score s to 1 / (1 + |s|), which falls as matches get
     stronger; ``monotone`` maps it to |s| / (1 + |s|).
     """
     a = F.abs("bm25")
-    n = 1 / (1 + a) if norm == "reference" else a / (1 + a)
+    n = 1 / (1 + a) if norm == "inverse" else a / (1 + a)
     j = lexical.select(key, F.col("score").alias("bm25")).join(vector.select(key, F.col("score").alias("cos")), key, "full_outer")
     return j.select(key, (F.lit(weight) * F.coalesce(n, F.lit(0.0)) + F.lit(1 - weight) * F.coalesce("cos", F.lit(0.0))).alias("score"))

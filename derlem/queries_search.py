@@ -94,7 +94,7 @@ _HYBRID = "hy AS (SELECT doc_id, 0.6 * coalesce({n}, 0) + 0.4 * coalesce(t.score
 
 @query(f"WITH {_bm25_sql(ANY, 'OR')}, {_tfidf_sql(ANY)}, {_HYBRID.format(n='1 / (1 + abs(b.score))')} SELECT doc_id, round(score, 6) score FROM hy")
 def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Linear fusion with the norm that falls as matches get stronger, for parity."""
+    """Linear fusion with the norm that falls as matches get stronger."""
     docs = _docs(spark, d)
     h = search.hybrid(_bm25(spark, d, ANY, "or"), search.tfidf_cosine(docs, "doc_id", "text", ANY), "doc_id")
     return h.select("doc_id", F.round("score", 6).alias("score"))
