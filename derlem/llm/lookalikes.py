@@ -39,6 +39,7 @@ SELECTORS = "".join(map(chr, range(0xFE00, 0xFE10)))
 WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 32}
 LIGATURES = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl", 0xFB05: "st", 0xFB06: "st"}
 HYPHENS = {0x2010: "-", 0x2011: "-"}
+SALTS = 16
 _TOKEN = re.compile("[\\w\u0300-\u036f]+")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "]")
 _SWAP = str.maketrans(LOOKALIKES)
@@ -162,11 +163,12 @@ def canonical(df: DataFrame, key: str, text: str, *, keep_text: bool = True) ->
     odd = base.filter("raw is not null and canon is null")
     pair = odd.select(key, F.explode(F.arrays_zip("tokens", "repaired")).alias("p")).select(key, F.col("p.tokens").alias("t"), F.col("p.repaired").alias("r"))
     words = base.filter("words is not null").select(F.explode("words").alias("r")).distinct()
-    # a word can be repaired in a third of all texts: the accepted words are one row each, and the texts' side is salted by the skew join
+    # a word may have to be repaired in a third of all texts: its texts are salted, and the accepted words, one row each, repeated per salt
     spelled = pair.select("t", "r").distinct()
     known = words.unionByName(spelled.groupBy("r").agg(F.count("*").alias("k")).filter("k > 1").select("r")).distinct()
     accepted = spelled.join(known, "r", "left_semi")
-    fixes = pair.select(key, "t").join(accepted, "t").groupBy(key).agg(F.collect_list(F.struct("t", "r")).alias("pairs"))
+    salted = accepted.withColumn("s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    fixes = pair.select(key, "t", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("s")).join(salted, ["t", "s"]).groupBy(key).agg(F.collect_list(F.struct("t", "r")).alias("pairs"))
     schema = f"`{key}` {kind}, raw binary, canon binary, folded string"
     repaired = odd.select(key, "raw", "folded").join(fixes, key, "left").mapInPandas(_repair_rows(key, keep_text), schema)
     return plain.unionByName(repaired)
