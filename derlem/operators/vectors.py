@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Axes that bound a cosine before it is computed.
+HEAD = 6
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,6 +33,33 @@ def best_per(scored: DataFrame, group: str, key: str) -> DataFrame:
     return scored.groupBy(group).agg(F.max(F.struct("score", (-F.col(key)).alias("k"))).alias("b")).select(group, (-F.col("b.k")).alias(key), F.col("b.score").alias("score"))
 
 
+def fuzzy_pairs(vectors: DataFrame, least: float = 0.85, most_days: int = 365, salts: int = 8) -> DataFrame:
+    """(doc_a, source_a, doc_b, source_b, score, n_links, date_gap, confidence) of suspected duplicates; nothing is merged.
+
+    ``vectors``: one row per chunk with k, document_id, source, provider_id, vector, court, clusters (array), iso and dotted
+    (the date as read in either writing). Every chunk meets every other one of its court and provider, and the best pair of
+    chunks counts. Records of one cluster are known already; a date gap counts where both dates have the same writing. A bound
+    of the cosine from the first ``HEAD`` axes and the length of the rest drops most pairs, and never one that is alike, before
+    the exact cosine. The work grows with the square of the largest court, which is salted.
+    """
+    n = norm(F.col("vector"))
+    u = vectors.filter(n > 0).select("*", F.transform("vector", lambda x: x.cast("double") / n).alias("u"), F.size("vector").alias("dim")).drop("vector")
+    axes = [f"h{i}" for i in range(HEAD)]
+    u = u.withColumns({h: F.coalesce(F.get("u", F.lit(i)), F.lit(0.0)) for i, h in enumerate(axes)}).withColumn("rest", norm(F.slice("u", HEAD + 1, F.greatest(F.col("dim") - HEAD, F.lit(0)))))
+    own = ["k", "document_id", "source", "clusters", "iso", "dotted", "u", *axes, "rest"]
+    on = ["court", "provider_id", "dim", "salt"]
+    a = u.withColumn("salt", F.pmod(F.xxhash64("k", "u"), F.lit(salts)).cast("int")).select(*on, *[F.col(c).alias(f"{c}_a") for c in own])
+    b = u.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(*on, *[F.col(c).alias(f"{c}_b") for c in own])
+    gap = F.coalesce(*[F.abs(F.date_diff(f"{c}_a", f"{c}_b")) for c in ("iso", "dotted")])
+    bound = sum((F.col(f"{h}_a") * F.col(f"{h}_b") for h in axes), F.col("rest_a") * F.col("rest_b"))
+    j = a.join(b, on).filter((bound >= least - 1e-9) & (F.col("k_a") < F.col("k_b")) & ~F.arrays_overlap("clusters_a", "clusters_b") & F.coalesce(gap <= most_days, F.lit(True)))
+    # behind a generator, so that the exact cosine is not pulled into the join's condition
+    j = j.select("*", gap.alias("gap"), F.inline(F.array(F.struct(dot(F.col("u_a"), F.col("u_b")).alias("s"))))).filter(F.col("s") >= least)
+    g = j.groupBy("k_a", "k_b").agg(*[F.first(f"{c}_{x}").alias(f"{o}_{x}") for x in "ab" for c, o in (("document_id", "doc"), ("source", "source"))], F.max("s").alias("s"), F.count("*").alias("n_links"), F.first("gap").alias("date_gap"))
+    confidence = F.when(F.col("s") > 0.95, "high").when(F.col("s") > 0.9, "medium").otherwise("low")
+    return g.select("doc_a", "source_a", "doc_b", "source_b", F.round("s", 6).alias("score"), "n_links", "date_gap", confidence.alias("confidence"))
+
+
 class InvertedFile:
     """Cells of a k-means over unit vectors; a query looks into the nearest ``probe`` cells.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from derlem.functions.keys import fold_key, is_blank, pair_key, strip
 from derlem.functions.text import ascii_fold, tokens
 from derlem.operators import judging, search, vectors
 from derlem.queries_corpus import AS_OF, REC, _dv2, _records
@@ -123,7 +124,7 @@ def chunk_gaps(spark: SparkSession, d: str) -> DataFrame:
     "WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings) SELECT a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.e, b.e), 6) score, CASE WHEN list_cosine_similarity(a.e, b.e) > 0.95 THEN 'high' WHEN list_cosine_similarity(a.e, b.e) > 0.9 THEN 'medium' ELSE 'low' END confidence FROM a JOIN b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3"
 )
 def fuzzy_pairs_same_label(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors whose id is divisible by 50 against all of the same label, at a cosine of 0.3 or more."""
+    """A search, not the pair operator (that is fuzzy_duplicates): vectors whose id is divisible by 50 against all of the same label, at a cosine of 0.3 or more."""
     e = table(spark, d, "embeddings")
     a = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
@@ -131,6 +132,18 @@ def fuzzy_pairs_same_label(spark: SparkSession, d: str) -> DataFrame:
     return j.select("a", "b", F.round("s", 6).alias("score"), F.when(F.col("s") > 0.95, "high").when(F.col("s") > 0.9, "medium").otherwise("low").alias("confidence"))
 
 
+@query()
+def fuzzy_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records of one court (none is one bucket), not yet clustered together, at a cosine of 0.85 or more and at most 365 days apart."""
+    key = pair_key("document_id", "source").alias("k")
+    date = lambda pattern, form: F.when(F.col("decision_date").rlike(pattern), F.try_to_timestamp("decision_date", F.lit(form)).cast("date"))
+    court = F.when(is_blank("court"), "unknown").otherwise(strip("court"))
+    recs = _records(spark, d).select(key, "document_id", "source", court.alias("court"), date(r"^\d{4}-\d{1,2}-\d{1,2}\z", "yyyy-M-d").alias("iso"), date(r"^\d{1,2}\.\d{1,2}\.\d{4}\z", "d.M.yyyy").alias("dotted"))
+    groups = table(spark, d, "dedup_members").filter(~is_blank("cluster_id")).groupBy(key).agg(F.collect_set(fold_key("cluster_id")).alias("clusters"))
+    v = table(spark, d, "embedding_vectors").select(key, "provider_id", "vector").join(recs, "k").join(groups, "k", "left")
+    return vectors.fuzzy_pairs(v.withColumn("clusters", F.coalesce("clusters", F.array().cast("array<string>"))))
+
+
 _ARG = "regexp_matches(full_text, '(?i)(hükme esas|gerekçe|sonuç olarak)')"
 
 
