@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gaps(df: DataFrame, group: str, day: str) -> DataFrame:
-    """(group, n, median_gap, newest) over distinct days; a group with one day has no gap."""
-    u = df.filter(F.col(day).isNotNull()).select(group, day).distinct()
-    g = u.withColumn("_gap", F.date_diff(day, F.lag(day).over(Window.partitionBy(group).orderBy(day))))
-    return g.groupBy(group).agg(F.count("*").alias("n"), F.round(F.median("_gap"), 3).alias("median_gap"), F.max(day).cast("string").alias("newest"))
+def gaps(df: DataFrame, group: list[str], day: str, distinct: bool = True) -> DataFrame:
+    """(group, n, median_gap, newest) over distinct days, or over those of all rows; a group with one day has no gap."""
+    u = df.filter(F.col(day).isNotNull()).select(*group, day)
+    u = u.distinct() if distinct else u
+    g = u.withColumn("_gap", F.date_diff(day, F.lag(day).over(Window.partitionBy(*group).orderBy(day))))
+    return g.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.median("_gap"), 3).alias("median_gap"), F.max(day).cast("string").alias("newest"))
 
 
 def is_series(stats: DataFrame, kinds: list[str], least_gap: int = 150) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from derlem.functions.keys import effective_text, fold_key, strip
 from derlem.functions.text import ascii_fold, number_key, year_of
 from derlem.operators import graph, maintenance, quality, versions
+from derlem.operators.timestamps import normalise_timestamps
 from derlem.session import table
 
 QUERIES, SQL = {}, {}
@@ -223,10 +224,17 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
 # -- versions and maintenance ------------------------------------------------------------
 
 
+def _laws(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries of the laws with ``nm``, the folded name, and ``d``, the day in Istanbul that rg_tarihi names in any writing."""
+    read = normalise_timestamps(table(spark, d, "mevzuat_dokuman").drop("metin"), "rg_tarihi", "kaynak")
+    day = F.from_utc_timestamp(F.timestamp_micros("utc_micros"), "Europe/Istanbul").cast("date")
+    return read.withColumns({"nm": ascii_fold("ad"), "d": day})
+
+
 @query("WITH g AS (SELECT mevzuat_id, try_cast(rg_tarihi AS DATE) d, snapshot_no FROM mevzuat_dokuman WHERE regexp_matches(rg_tarihi, '^\\d{4}-\\d{2}-\\d{2}$')), v AS (SELECT tur, try_strptime(rg_tarihi, '%Y-%m-%d')::DATE d FROM mevzuat_dokuman WHERE regexp_matches(rg_tarihi, '^\\d{4}-\\d{2}-\\d{2}$')), u AS (SELECT DISTINCT tur, d FROM v WHERE d IS NOT NULL), l AS (SELECT tur, d, d - lag(d) OVER (PARTITION BY tur ORDER BY d) gap FROM u) SELECT tur, count(*) n, round(median(gap), 3) median_gap, max(d)::VARCHAR newest FROM l GROUP BY 1")
 def median_gap(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "mevzuat_dokuman").filter(F.col("rg_tarihi").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return versions.gaps(docs.select("tur", F.expr("try_to_date(rg_tarihi, 'yyyy-MM-dd')").alias("d")), "tur", "d")
+    """Per series (kind and folded name) of all rows: its distinct days of publication, and the days between them."""
+    return versions.gaps(_laws(spark, d), ["tur", "nm"], "d")
 
 
 @query("WITH x AS (SELECT *, upper(trim(regexp_replace(upper(translate(ad, 'çğıöşüÇĞİÖŞÜâîûÂÎÛ', 'cgiosuCGIOSUaiuAIU')), '[^A-Z0-9]+', ' ', 'g'))) nm FROM mevzuat_dokuman WHERE ad IS NOT NULL AND mevzuat_id IS NOT NULL) SELECT tur, nm, mevzuat_id, snapshot_no, row_id FROM (SELECT *, row_number() OVER (PARTITION BY tur, nm ORDER BY snapshot_no DESC, cekim_zamani DESC NULLS LAST, mevzuat_id, row_id) r FROM x) WHERE r = 1")

@@ -20,3 +20,17 @@ def test_fuzzy_duplicates(spark, tmp_path):
     got = {(r.doc_a + r.doc_b, r.score, r.n_links, r.date_gap, r.confidence) for r in run(spark, tmp_path, "fuzzy_duplicates").collect()}
     # C is too late for A and B; D has another writing of its date, and is in a cluster with B; H is unlike
     assert got == {("AB", 1.0, 2, 152, "high"), ("AD", 1.0, 2, None, "high"), ("CD", 1.0, 1, None, "high"), ("FG", 1.0, 1, None, "high")}
+
+
+LAWS = "row_id long, snapshot_no int, mevzuat_id string, kaynak string, tur string, ad string, rg_tarihi string, cekim_zamani timestamp, metin string"
+
+
+def laws(spark, folder, rows):
+    """rows: snapshot_no, mevzuat_id, tur, ad, rg_tarihi."""
+    put(spark, folder, "mevzuat_dokuman", [(i, n, k, "m", tur, ad, day, None, None) for i, (n, k, tur, ad, day) in enumerate(rows)], LAWS)
+
+
+def test_median_gap(spark, tmp_path):
+    laws(spark, tmp_path, [(1, "1", "T", "Çay", "03/09/2017"), (1, "2", "T", "ÇAY", "2018-09-03"), (2, "2", "T", "ÇAY", "3 Eyl 2018"), (1, "3", "T", "Su", "15.02.2021"), (1, "4", "U", "Su", None)])
+    got = {tuple(r) for r in run(spark, tmp_path, "median_gap").select("tur", "nm", "n", "median_gap", "newest").collect()}
+    assert got == {("T", "CAY", 2, 365.0, "2018-09-03"), ("T", "SU", 1, None, "2021-02-15")}
