@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from derlem.functions.keys import effective_text, fold_key, strip
+from derlem.functions.keys import effective_text, fold_key, is_blank, strip
 from derlem.functions.text import ascii_fold, number_key, year_of
 from derlem.operators import graph, maintenance, quality, versions
 from derlem.operators.timestamps import normalise_timestamps
@@ -13,6 +13,8 @@ from derlem.session import table
 
 QUERIES, SQL = {}, {}
 AS_OF = "2025-06-30"
+#: Kinds of legislation that are published again and again under one name.
+SERIES_KINDS = ["TEBLIGLER", "TEBLIG", "YONETMELIK"]
 
 
 def query(sql: str | None = None):
@@ -239,9 +241,11 @@ def median_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH x AS (SELECT *, upper(trim(regexp_replace(upper(translate(ad, 'çğıöşüÇĞİÖŞÜâîûÂÎÛ', 'cgiosuCGIOSUaiuAIU')), '[^A-Z0-9]+', ' ', 'g'))) nm FROM mevzuat_dokuman WHERE ad IS NOT NULL AND mevzuat_id IS NOT NULL) SELECT tur, nm, mevzuat_id, snapshot_no, row_id FROM (SELECT *, row_number() OVER (PARTITION BY tur, nm ORDER BY snapshot_no DESC, cekim_zamani DESC NULLS LAST, mevzuat_id, row_id) r FROM x) WHERE r = 1")
 def version_series_current(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "mevzuat_dokuman").filter("ad is not null and mevzuat_id is not null").withColumn("nm", ascii_fold("ad"))
-    w = Window.partitionBy("tur", "nm").orderBy(F.col("snapshot_no").desc(), F.col("cekim_zamani").desc_nulls_last(), "mevzuat_id", "row_id")
-    return docs.withColumn("r", F.row_number().over(w)).filter("r = 1").select("tur", "nm", "mevzuat_id", "snapshot_no", "row_id")
+    """The current document of each series, and every document that is in none; of a document the last delivery holds."""
+    w = Window.partitionBy(fold_key("mevzuat_id")).orderBy(F.col("snapshot_no").desc(), F.col("cekim_zamani").desc_nulls_last(), F.col("row_id").desc())
+    docs = _laws(spark, d).filter(~is_blank("mevzuat_id")).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    docs = docs.select("tur", F.nullif("nm", F.lit("")).alias("nm"), strip("mevzuat_id").alias("mevzuat_id"), "snapshot_no", "row_id", "d")
+    return versions.current(docs, ["tur", "nm"], "mevzuat_id", "d", SERIES_KINDS).drop("d")
 
 
 @query("WITH a AS (SELECT mevzuat_id, max(metin_hash) h, max(guncelleme_tarihi) g FROM mevzuat_dokuman WHERE snapshot_no = 1 GROUP BY 1), b AS (SELECT mevzuat_id, max(metin_hash) h, max(guncelleme_tarihi) g FROM mevzuat_dokuman WHERE snapshot_no = 2 GROUP BY 1) SELECT coalesce(a.mevzuat_id, b.mevzuat_id) mevzuat_id, CASE WHEN a.mevzuat_id IS NULL THEN 'new' WHEN b.mevzuat_id IS NULL THEN 'gone' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' WHEN a.g IS DISTINCT FROM b.g THEN 'metadata' ELSE 'same' END decision FROM a FULL JOIN b ON a.mevzuat_id = b.mevzuat_id")

@@ -34,3 +34,14 @@ def test_median_gap(spark, tmp_path):
     laws(spark, tmp_path, [(1, "1", "T", "Çay", "03/09/2017"), (1, "2", "T", "ÇAY", "2018-09-03"), (2, "2", "T", "ÇAY", "3 Eyl 2018"), (1, "3", "T", "Su", "15.02.2021"), (1, "4", "U", "Su", None)])
     got = {tuple(r) for r in run(spark, tmp_path, "median_gap").select("tur", "nm", "n", "median_gap", "newest").collect()}
     assert got == {("T", "CAY", 2, 365.0, "2018-09-03"), ("T", "SU", 1, None, "2021-02-15")}
+
+
+def test_version_series_current(spark, tmp_path):
+    yearly = [(1, "a", "TEBLIG", "Ücret", "02.01.2019"), (1, "b", "TEBLIG", "ÜCRET", "2 Ocak 2020"), (1, "c", "TEBLIG", "ucret", "2020-12-24"), (2, "b ", "TEBLIG", "ÜCRET", "2020/01/02")]
+    law = [(1, "d", "KANUN", "İş", "2001-01-01"), (1, "e", "KANUN", "İş", "2011-01-01")]
+    monthly = [(1, "f", "TEBLIG", "Meslek", "2020-01-01"), (1, "g", "TEBLIG", "Meslek", "2020-02-01")]
+    undated = [(1, "h", "TEBLIG", "Vergi", "2010-01-01"), (1, "i", "TEBLIG", "Vergi", "2012-01-01"), (1, "j", "TEBLIG", "Vergi", "?")]
+    same_day = [(1, k, "YONETMELIK", "Su", t) for k, t in (("k", "2015-01-01"), ("l", "2015-01-01"), ("m", "2015-01-01"), ("n", "2017-01-01"))]
+    nameless = [(1, "o", "TEBLIG", None, "2010-01-01"), (1, "p", "TEBLIG", None, "2012-01-01")]
+    laws(spark, tmp_path, yearly + law + monthly + undated + same_day + nameless)
+    assert sorted(r.mevzuat_id for r in run(spark, tmp_path, "version_series_current").collect()) == list("cdefghijklmnop")
