@@ -267,8 +267,9 @@ _DAYS = "done AS (SELECT DISTINCT strptime(substr(sayfa, 1, 8), '%Y%m%d')::DATE
 @query(f"WITH {_DAYS} SELECT d::VARCHAR AS dy FROM cal WHERE d NOT IN (SELECT d FROM done) OR d >= DATE '2024-12-25'")
 def pending_days(spark: SparkSession, d: str) -> DataFrame:
     """Days of two years without a fetched page, and the last week again."""
-    page = table(spark, d, "rg_ogeler").filter(F.col("sayfa").rlike("^20[0-2][0-9](0[1-9]|1[0-2])(0[1-9]|1[0-9]|2[0-8])"))
-    return maintenance.pending_days(page.select(F.to_date(F.substring("sayfa", 1, 8), "yyyyMMdd").alias("d")), "2023-01-01", "2024-12-31", refresh=7).select(F.col("d").cast("string").alias("dy"))
+    page = table(spark, d, "rg_ogeler").filter(F.col("sayfa").rlike("^20[0-2][0-9](0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])"))
+    # days that do not exist, as 20230230, are null and match none
+    return maintenance.pending_days(page.select(F.expr("try_to_date(substring(sayfa, 1, 8), 'yyyyMMdd')").alias("d")), "2023-01-01", "2024-12-31", refresh=7).select(F.col("d").cast("string").alias("dy"))
 
 
 @query("SELECT sayfa, no, kind FROM (SELECT sayfa, no, CASE WHEN no < lag(no) OVER (ORDER BY sayfa, no0) THEN 'below_previous' END kind FROM (SELECT substr(sayfa,1,6) sayfa, max(try_cast(sayi_no AS BIGINT)) no, min(try_cast(sayi_no AS BIGINT)) no0 FROM rg_ogeler WHERE sayfa IS NOT NULL GROUP BY 1)) WHERE kind IS NOT NULL")

@@ -45,3 +45,10 @@ def test_version_series_current(spark, tmp_path):
     nameless = [(1, "o", "TEBLIG", None, "2010-01-01"), (1, "p", "TEBLIG", None, "2012-01-01")]
     laws(spark, tmp_path, yearly + law + monthly + undated + same_day + nameless)
     assert sorted(r.mevzuat_id for r in run(spark, tmp_path, "version_series_current").collect()) == list("cdefghijklmnop")
+
+
+def test_pending_days(spark, tmp_path):
+    pages = ["20230129", "20230130m1", "20230331", "20240229-2", "20230230", "20240101", "20230132", "x20230105", None]
+    put(spark, tmp_path, "rg_ogeler", [(p,) for p in pages], "sayfa string")
+    got = {r.dy for r in run(spark, tmp_path, "pending_days").collect()}
+    assert len(got) == 731 - 5 and not got & {"2023-01-29", "2023-01-30", "2023-03-31", "2024-02-29", "2024-01-01"} and "2023-01-05" in got
