@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from derlem.functions.text import jaccard, number_key
+from derlem.functions.text import number_key
 
 #: Types of legislation by words of their title, the first that fits counts.
 TYPES = (("anayasa", "ANAYASA"), ("kanun hükmünde kararname", "KHK"), ("cumhurbaşkanlığı kararnamesi", "CBK"), ("yönetmeli", "YONETMELIK"), ("yonetmeli", "YONETMELIK"), ("tebliğ", "TEBLIG"), ("teblig", "TEBLIG"), ("tüzü", "TUZUK"), ("kanun", "KANUN"))
@@ -52,11 +52,27 @@ def carry_over(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str
     return j.withColumns({f: F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"_{f}")) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
-def overlap_bucket(a: Column, b: Column) -> Column:
-    s = jaccard(a, b)
+def overlap_bucket(shared: Column, union: Column) -> Column:
+    """The bucket of two sets by the sizes of their intersection and union; two empty ones share nothing."""
+    s = F.when(union > 0, shared / union).otherwise(F.lit(0.0))
     return F.when(s >= 0.3, "strong").when(s >= 0.1, "weak").otherwise("none")
 
 
+def vocabulary_overlap(docs: DataFrame, group: str, toks: Column) -> DataFrame:
+    """(a, b, bucket) of every two groups, a before b, by the words that their texts have in common.
+
+    Words are counted by the set of groups that have them, so only those sets, as wide as there are groups, meet in pairs.
+    """
+    words = docs.select(group, F.explode(toks).alias("w")).distinct()
+    sets = words.groupBy("w").agg(F.sort_array(F.collect_set(group)).alias("gs")).groupBy("gs").agg(F.count("*").alias("n"))
+    size = sets.select(F.explode("gs").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+    one = sets.filter(F.size("gs") > 1).select("gs", "n", F.posexplode("gs").alias("i", "a"))
+    shared = one.select("a", "n", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("b")).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    g = docs.select(F.col(group).alias("g")).distinct().join(size, "g", "left").select("g", F.coalesce("n", F.lit(0)).alias("n"))
+    pairs = g.toDF("a", "n_a").join(g.toDF("b", "n_b"), F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return pairs.select("a", "b", overlap_bucket(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared")).alias("bucket"))
+
+
 def stem(word: str, rounds: int = 2) -> list[str]:
     """A word and what is left after taking off endings, at most ``rounds`` times; stems keep three letters."""
     out = [word]

@@ -10,7 +10,7 @@ from derlem.functions.text import ascii_fold, tokens
 from derlem.operators import judging, search, vectors
 from derlem.queries_corpus import AS_OF, REC, _dv2, _records
 from derlem.queries_search import TOK
-from derlem.session import table
+from derlem.session import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -157,11 +157,9 @@ def argument_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT source, list_distinct(flatten(list(ts))) ws FROM (SELECT source, {TOK} ts FROM documents WHERE lang = 'de') GROUP BY 1) SELECT a.source a, b.source b, CASE WHEN len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.3 THEN 'strong' WHEN len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.1 THEN 'weak' ELSE 'none' END bucket FROM t a JOIN t b ON a.source < b.source")
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Vocabularies of the sources' German texts: as many rows as sources have such texts."""
-    ws = table(spark, d, "documents").filter("lang = 'de'").select("source", F.explode(tokens("text")).alias("w")).distinct().groupBy("source").agg(F.collect_list("w").alias("ws"))
-    empty = table(spark, d, "documents").filter("lang = 'de'").select("source").distinct().join(ws, "source", "left").select("source", F.coalesce("ws", F.array().cast("array<string>")).alias("ws"))
-    j = empty.select(F.col("source").alias("a"), F.col("ws").alias("x")).join(empty.select(F.col("source").alias("b"), F.col("ws").alias("y")), F.col("a") < F.col("b"))
-    return j.select("a", "b", judging.overlap_bucket(F.col("x"), F.col("y")).alias("bucket"))
+    """Shared words of the vocabularies of every two sources, over all documents."""
+    docs = spread(table(spark, d, "documents").select("source", "text"))
+    return judging.vocabulary_overlap(docs.filter("source is not null"), "source", tokens("text"))
 
 
 @query("WITH m AS (SELECT DISTINCT mevzuat_id, sira, madde_no, lower(regexp_replace(translate(coalesce(madde_no,''),'İI','iı'), '\\s+', '', 'g')) k FROM mevzuat_madde), l AS (SELECT mevzuat_id, min(mevzuat_no) mevzuat_no, count(DISTINCT tur) n_types FROM mevzuat_dokuman GROUP BY 1) SELECT m.mevzuat_id, m.sira, m.madde_no, l.mevzuat_no, l.n_types > 1 ambiguous FROM m JOIN l ON l.mevzuat_id = m.mevzuat_id WHERE k = '2'")

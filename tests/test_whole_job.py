@@ -52,3 +52,10 @@ def test_pending_days(spark, tmp_path):
     put(spark, tmp_path, "rg_ogeler", [(p,) for p in pages], "sayfa string")
     got = {r.dy for r in run(spark, tmp_path, "pending_days").collect()}
     assert len(got) == 731 - 5 and not got & {"2023-01-29", "2023-01-30", "2023-03-31", "2024-02-29", "2024-01-01"} and "2023-01-05" in got
+
+
+def test_keyword_overlap(spark, tmp_path):
+    texts = [("a", "tr", "bir iki üç dört"), ("a", "tr", "İki beş"), ("b", None, "bir iki altı"), ("c", "en", "one iki two three four five six"), ("d", "de", None), ("e", "fr", "altı bir")]
+    put(spark, tmp_path, "documents", texts, "source string, lang string, text string")
+    got = {r.a + r.b: r.bucket for r in run(spark, tmp_path, "keyword_overlap").collect()}
+    assert got == {"ab": "strong", "ac": "none", "ad": "none", "ae": "weak", "bc": "weak", "bd": "none", "be": "strong", "cd": "none", "ce": "none", "de": "none"}
