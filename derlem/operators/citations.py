@@ -41,16 +41,24 @@ def candidates(df: DataFrame, key: str, text: str, limit: int = 10) -> DataFrame
     return c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r", "pos", "score")
 
 
-def build_edges(cands: DataFrame, records: DataFrame, key: str) -> DataFrame:
+def build_edges(cands: DataFrame, records: DataFrame, key: str, year: str | None = None) -> DataFrame:
     """(key, cited, confidence, match_type), the strongest edge of each pair.
 
     Both numbers and a compatible court are high; the decision number within the same chamber is
-    medium. A court's name alone is no evidence.
+    medium, and so is a compatible court with a decision within a year of the cited date, where
+    ``records`` have the decision's ``year``. A court's name alone is no evidence.
+
+    The third rule has no number to join on: a candidate with a court and a date meets every record
+    of that court and those three years, so its edges grow with the size of these groups.
     """
-    r = records.select(F.col(key).alias("cited"), F.lower("court").alias("rc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("rch"), number_key("esas_no").alias("re"), number_key("karar_no").alias("rk"))
-    c = cands.select(key, F.lower("court").alias("cc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("cch"), number_key("esas").alias("ce"), number_key("karar").alias("ck"))
+    ry = F.col(year) if year else F.lit(None).cast("int")
+    r = records.select(ry.alias("ry"), F.col(key).alias("cited"), F.lower("court").alias("rc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("rch"), number_key("esas_no").alias("re"), number_key("karar_no").alias("rk"))
+    c = cands.select(key, F.substring("cited_date", 1, 4).cast("int").alias("cy"), F.lower("court").alias("cc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("cch"), number_key("esas").alias("ce"), number_key("karar").alias("ck"))
     fits = F.col("cc").isNull() | F.col("rc").isNull() | F.col("rc").contains(F.col("cc")) | F.col("cc").contains(F.col("rc"))
     high = c.join(r, (c.ce == r.re) & (c.ck == r.rk)).filter(fits).select(key, "cited", F.lit(1).alias("o"), F.lit("high").alias("confidence"), F.lit("exact_numbers").alias("match_type"))
     med = c.join(r, (c.ck == r.rk) & (c.cch == r.rch)).select(key, "cited", F.lit(2).alias("o"), F.lit("medium").alias("confidence"), F.lit("number_chamber").alias("match_type"))
-    best = high.unionByName(med).filter(F.col(key) != F.col("cited")).groupBy(key, "cited").agg(F.min(F.struct("o", "confidence", "match_type")).alias("x"))
+    courts = r.filter("rc != ''").select("rc").distinct().join(F.broadcast(c.filter("cc is not null").select("cc").distinct()), F.col("rc").contains(F.col("cc")) | F.col("cc").contains(F.col("rc")))
+    years = c.filter("cc is not null and cy is not null").select(key, "cc", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("ry")).distinct()
+    near = years.join(courts, "cc").join(r.select("rc", "ry", "cited"), ["rc", "ry"]).select(key, "cited", F.lit(3).alias("o"), F.lit("medium").alias("confidence"), F.lit("court_date").alias("match_type"))
+    best = high.unionByName(med).unionByName(near).filter(F.col(key) != F.col("cited")).groupBy(key, "cited").agg(F.min(F.struct("o", "confidence", "match_type")).alias("x"))
     return best.select(key, "cited", "x.confidence", "x.match_type")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from derlem.functions.keys import effective_text
 from derlem.operators import citations, documents, maintenance
-from derlem.session import shared_folder, table
+from derlem.operators.timestamps import normalise_timestamps
+from derlem.session import cut, shared_folder, table
 from derlem.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -64,7 +65,11 @@ def citation_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def citation_graph_build(spark: SparkSession, d: str) -> DataFrame:
     r = _records(spark, d)
-    return citations.build_edges(citations.candidates(r, "document_id", "t"), r, "document_id")
+    # the year in Istanbul that decision_date names, in any writing
+    year = F.year(F.from_utc_timestamp(F.timestamp_micros("utc_micros"), "Europe/Istanbul"))
+    dated = normalise_timestamps(r.select("document_id", "source", "court", "chamber", "esas_no", "karar_no", "decision_date"), "decision_date", "source").select("document_id", "court", "chamber", "esas_no", "karar_no", year.alias("year"))
+    # both are narrow and used by every rule
+    return citations.build_edges(cut(citations.candidates(r, "document_id", "t")), cut(dated), "document_id", "year")
 
 
 @query("SELECT event_type, date_trunc('day', ts)::VARCHAR AS dy, count(*) n FROM events GROUP BY 1, 2")

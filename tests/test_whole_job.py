@@ -59,3 +59,12 @@ def test_keyword_overlap(spark, tmp_path):
     put(spark, tmp_path, "documents", texts, "source string, lang string, text string")
     got = {r.a + r.b: r.bucket for r in run(spark, tmp_path, "keyword_overlap").collect()}
     assert got == {"ab": "strong", "ac": "none", "ad": "none", "ae": "weak", "bc": "weak", "bd": "none", "be": "strong", "cd": "none", "ce": "none", "de": "none"}
+
+
+def test_citation_graph_build(spark, tmp_path):
+    text = "Yargıtay 4. Hukuk Dairesi 12.05.2015 tarihli, Esas No: 2011/5 Karar No: 2012/6 kararında böyle der."
+    docs = [("A", "Danıştay", None, None, None, "2020-01-01", text), ("B", "Yargıtay", "4. Hukuk Dairesi", "2011/5", "2012/6", "12.05.2015", None), ("C", "YARGITAY", None, "1/1", "1/1", "3 Haz 2016", None),
+            ("D", "Yargıtay", None, None, None, "2014/02/01", None), ("E", "Yargıtay", None, None, None, "2017-01-01", None), ("F", "Danıştay", None, None, None, "2015-05-12", None), ("G", "", None, None, None, "2015-05-12", None)]
+    put(spark, tmp_path, "documents_v2", [(i, k, "s", c, ch, e, n, t, x, None, None) for i, (k, c, ch, e, n, t, x) in enumerate(docs)], "row_id long, document_id string, source string, court string, chamber string, esas_no string, karar_no string, decision_date string, full_text string, markdown string, retrieved_at timestamp")
+    got = {tuple(r) for r in run(spark, tmp_path, "citation_graph_build").collect()}
+    assert got == {("A", "B", "high", "exact_numbers"), ("A", "D", "medium", "court_date")}
