@@ -33,11 +33,11 @@ def sync_actions(here: DataFrame, there: DataFrame, keys: list[str], time: str)
     return j.select(*keys, F.when(a.isNull(), "insert").when(b.isNull(), "only_here").when(newer, "newer_there").otherwise("keep").alias("action"))
 
 
-def change_decision(old: DataFrame, new: DataFrame, key: str, content: str, date: str) -> DataFrame:
-    j = old.select(key, F.struct(content, date).alias("_a")).join(new.select(key, F.struct(content, date).alias("_b")), key, "full_outer")
+def change_decision(old: DataFrame, new: DataFrame, keys: list[str], content: str, date: str) -> DataFrame:
+    j = old.select(*keys, F.struct(content, date).alias("_a")).join(new.select(*keys, F.struct(content, date).alias("_b")), keys, "full_outer")
     a, b = F.col("_a"), F.col("_b")
     kind = F.when(a.isNull(), "new").when(b.isNull(), "gone").when(~a[content].eqNullSafe(b[content]), "changed").when(~a[date].eqNullSafe(b[date]), "metadata").otherwise("same")
-    return j.select(key, kind.alias("decision"))
+    return j.select(*keys, kind.alias("decision"))
 
 
 def pending_days(done: DataFrame, first: str, last: str, refresh: int = 0) -> DataFrame:

@@ -250,9 +250,17 @@ def version_series_current(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH a AS (SELECT mevzuat_id, max(metin_hash) h, max(guncelleme_tarihi) g FROM mevzuat_dokuman WHERE snapshot_no = 1 GROUP BY 1), b AS (SELECT mevzuat_id, max(metin_hash) h, max(guncelleme_tarihi) g FROM mevzuat_dokuman WHERE snapshot_no = 2 GROUP BY 1) SELECT coalesce(a.mevzuat_id, b.mevzuat_id) mevzuat_id, CASE WHEN a.mevzuat_id IS NULL THEN 'new' WHEN b.mevzuat_id IS NULL THEN 'gone' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' WHEN a.g IS DISTINCT FROM b.g THEN 'metadata' ELSE 'same' END decision FROM a FULL JOIN b ON a.mevzuat_id = b.mevzuat_id")
 def change_decision(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "mevzuat_dokuman").filter("mevzuat_id is not null")
-    one = lambda n: docs.filter(F.col("snapshot_no") == n).groupBy("mevzuat_id").agg(F.max("metin_hash").alias("h"), F.max("guncelleme_tarihi").alias("g"))
-    return maintenance.change_decision(one(1), one(2), "mevzuat_id", "h", "g")
+    """Every snapshot against the one before it, by the latest delivery of each record."""
+    docs = table(spark, d, "mevzuat_dokuman").filter(~is_blank("mevzuat_id") & F.col("snapshot_no").isNotNull())
+    order = F.struct(F.coalesce(F.unix_micros(F.col("cekim_zamani").cast("timestamp")), F.lit(-(2**62))), F.col("row_id"))
+    row = F.struct(strip("mevzuat_id").alias("id"), fold_key("metin_hash").alias("h"), F.col("guncelleme_tarihi").alias("g"))
+    rows = docs.groupBy("snapshot_no", fold_key("mevzuat_id").alias("k")).agg(F.max_by(row, order).alias("r")).select("snapshot_no", "k", "r.*")
+    # one row per snapshot
+    steps = docs.select("snapshot_no").distinct().withColumn("next", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))).filter("next is not null")
+    old = rows.join(F.broadcast(steps), "snapshot_no").drop("snapshot_no").withColumnRenamed("next", "snapshot_no")
+    new = rows.join(F.broadcast(steps.select(F.col("next").alias("snapshot_no"))), "snapshot_no")
+    ids = rows.groupBy("k").agg(F.max_by("id", "snapshot_no").alias("mevzuat_id"))
+    return maintenance.change_decision(old, new, ["snapshot_no", "k"], "h", "g").join(ids, "k").select("snapshot_no", "mevzuat_id", "decision")
 
 
 @query("SELECT DISTINCT n.mevzuat_id FROM mevzuat_dokuman n WHERE n.snapshot_no = 4 AND n.mevzuat_id NOT IN (SELECT mevzuat_id FROM mevzuat_dokuman WHERE snapshot_no < 4 AND mevzuat_id IS NOT NULL)")

@@ -68,3 +68,13 @@ def test_citation_graph_build(spark, tmp_path):
     put(spark, tmp_path, "documents_v2", [(i, k, "s", c, ch, e, n, t, x, None, None) for i, (k, c, ch, e, n, t, x) in enumerate(docs)], "row_id long, document_id string, source string, court string, chamber string, esas_no string, karar_no string, decision_date string, full_text string, markdown string, retrieved_at timestamp")
     got = {tuple(r) for r in run(spark, tmp_path, "citation_graph_build").collect()}
     assert got == {("A", "B", "high", "exact_numbers"), ("A", "D", "medium", "court_date")}
+
+
+def test_change_decision(spark, tmp_path):
+    import datetime
+
+    at = lambda n: datetime.datetime(2025, 1, n)
+    rows = [(1, "A", "z", "x", at(1)), (1, "a ", "b", "x", at(2)), (2, "A", "B", "x", at(3)), (2, "B", "c", "x", None), (3, "A", "B", "y", at(5)), (3, "B", "c", "x", at(5)), (5, "B", "d", "x", at(6)), (5, "B", "c", "x", at(7))]
+    put(spark, tmp_path, "mevzuat_dokuman", [(i, *r) for i, r in enumerate(rows)], "row_id long, snapshot_no int, mevzuat_id string, metin_hash string, guncelleme_tarihi string, cekim_zamani timestamp")
+    got = {tuple(r) for r in run(spark, tmp_path, "change_decision").collect()}
+    assert got == {(2, "A", "same"), (2, "B", "new"), (3, "A", "metadata"), (3, "B", "same"), (5, "A", "gone"), (5, "B", "same")}
