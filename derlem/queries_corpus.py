@@ -78,10 +78,12 @@ def anti_missing_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {REC}, a AS (SELECT * FROM rec WHERE row_id % 2 = 0), b AS (SELECT document_id, source, max(retrieved_at) retrieved_at FROM documents_v2 WHERE row_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(a.document_id, b.document_id) document_id, coalesce(a.source, b.source) source, CASE WHEN a.document_id IS NULL THEN 'insert' WHEN b.document_id IS NULL THEN 'only_here' WHEN b.retrieved_at > a.retrieved_at OR (a.retrieved_at IS NULL AND b.retrieved_at IS NOT NULL) THEN 'newer_there' ELSE 'keep' END action FROM a FULL JOIN b ON a.document_id = b.document_id AND a.source = b.source")
 def sync_newest_wins(spark: SparkSession, d: str) -> DataFrame:
-    """Two stores that share records: what a synchronisation does with each key."""
-    a = _records(spark, d).filter("row_id % 2 = 0").select("document_id", "source", "retrieved_at")
-    b = _dv2(spark, d).filter("row_id % 3 = 0").groupBy("document_id", "source").agg(F.max("retrieved_at").alias("retrieved_at"))
-    return maintenance.sync_actions(a, b, ["document_id", "source"], "retrieved_at")
+    """Two stores that share records, the first delivery of each and all later ones: what a synchronisation does with each key."""
+    keys = ["document_id", "source"]
+    x = _dv2(spark, d).select(*keys, "retrieved_at", F.row_number().over(Window.partitionBy(*keys).orderBy("row_id")).alias("r"))
+    a = x.filter("r = 1").select(*keys, "retrieved_at")
+    b = x.filter("r > 1").groupBy(*keys).agg(F.max("retrieved_at").alias("retrieved_at"))
+    return maintenance.sync_actions(a, b, keys, "retrieved_at")
 
 
 @query("SELECT row_id, document_id FROM documents_v2 WHERE regexp_matches(document_id, '^(TEST|DEMO|SYN|FAKE|MOCK)') AND coalesce(source_url, '') = ''")

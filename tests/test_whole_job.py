@@ -78,3 +78,13 @@ def test_change_decision(spark, tmp_path):
     put(spark, tmp_path, "mevzuat_dokuman", [(i, *r) for i, r in enumerate(rows)], "row_id long, snapshot_no int, mevzuat_id string, metin_hash string, guncelleme_tarihi string, cekim_zamani timestamp")
     got = {tuple(r) for r in run(spark, tmp_path, "change_decision").collect()}
     assert got == {(2, "A", "same"), (2, "B", "new"), (3, "A", "metadata"), (3, "B", "same"), (5, "A", "gone"), (5, "B", "same")}
+
+
+def test_sync_newest_wins(spark, tmp_path):
+    import datetime
+
+    at = lambda n: datetime.datetime(2025, 1, n)
+    rows = [(1, "A", at(1)), (7, "A", at(2)), (11, "A", None), (5, "B", at(3)), (13, "B", at(1)), (17, "C", None), (19, "D", None), (23, "D", at(1))]
+    put(spark, tmp_path, "documents_v2", [(i, k, "s", t) for i, k, t in rows], "row_id long, document_id string, source string, retrieved_at timestamp")
+    got = {r.document_id: r.action for r in run(spark, tmp_path, "sync_newest_wins").collect()}
+    assert got == {"A": "newer_there", "B": "keep", "C": "only_here", "D": "newer_there"}
