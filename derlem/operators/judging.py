@@ -11,8 +11,6 @@ from derlem.functions.text import number_key
 TYPES = (("anayasa", "ANAYASA"), ("kanun hükmünde kararname", "KHK"), ("cumhurbaşkanlığı kararnamesi", "CBK"), ("yönetmeli", "YONETMELIK"), ("yonetmeli", "YONETMELIK"), ("tebliğ", "TEBLIG"), ("teblig", "TEBLIG"), ("tüzü", "TUZUK"), ("kanun", "KANUN"))
 #: Content states with whether text is at hand and how sure that is.
 STATES = {"full_text": ("available", "high"), "html_markdown": ("available", "medium"), "pdf_link_only": ("link", "low"), "metadata_only": ("metadata", "low"), "unavailable": ("none", "none")}
-#: Endings of Turkish words that queries are stripped of, longest first.
-SUFFIXES = ("lerinin", "larının", "lerini", "larını", "lerin", "ların", "leri", "ları", "sinin", "sının", "inin", "ının", "nin", "nın", "den", "dan", "ler", "lar", "in", "ın", "de", "da", "i", "ı", "e", "a")
 
 
 def rerank(score: Column, usable: Column, age_days: Column) -> Column:
@@ -73,18 +71,6 @@ def vocabulary_overlap(docs: DataFrame, group: str, toks: Column) -> DataFrame:
     return pairs.select("a", "b", overlap_bucket(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared")).alias("bucket"))
 
 
-def stem(word: str, rounds: int = 2) -> list[str]:
-    """A word and what is left after taking off endings, at most ``rounds`` times; stems keep three letters."""
-    out = [word]
-    for _ in range(rounds):
-        w = out[-1]
-        cut = next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 3), None)
-        if cut is None:
-            break
-        out.append(cut)
-    return list(dict.fromkeys(out))
-
-
 def hash_embedding(df: DataFrame, key: str, toks: Column, dims: int = 128) -> DataFrame:
     """(key, vector): words at weight 1.5 and the trigrams of long words at 0.35, hashed to signed axes, of length 1.
 

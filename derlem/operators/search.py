@@ -1,13 +1,14 @@
-"""Ranking over text: index tables, BM25, TF-IDF, fusion.
+"""Ranking over text: scores in one pass over texts without an index, fusion, pages.
 
-An index is three tables: postings (doc, term, tf), documents (doc, dl) and terms (term, df). A
-query touches the postings of its own terms only; where no index is stored, ``score_scan`` counts
-the query's terms in one pass over the texts and moves nothing but their statistics.
+Queries over a corpus score from the stored index (``index``). The functions here that take texts serve
+small sets and columns that have none, and say what the index must give.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derlem.functions.text import tokens
@@ -111,3 +112,55 @@ def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6,
     n = 1 / (1 + a) if norm == "inverse" else a / (1 + a)
     j = lexical.select(key, F.col("score").alias("bm25")).join(vector.select(key, F.col("score").alias("cos")), key, "full_outer")
     return j.select(key, (F.lit(weight) * F.coalesce(n, F.lit(0.0)) + F.lit(1 - weight) * F.coalesce("cos", F.lit(0.0))).alias("score"))
+
+
+def two_stage(every: DataFrame, some: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, score, all_terms): documents with every term, and where these are fewer than ``limit`` those with some as well.
+
+    The choice is part of the plan: one row that says whether the second stage counts.
+    """
+    few = every.limit(limit).agg((F.count("*") < limit).alias("_few"))
+    more = some.join(every.select(key), key, "left_anti").join(F.broadcast(few), F.col("_few")).drop("_few")
+    return every.select(key, "score", F.lit(True).alias("all_terms")).unionByName(more.select(key, "score", F.lit(False).alias("all_terms")))
+
+
+def fallback(every: DataFrame, some: DataFrame, least: int) -> DataFrame:
+    """``every``, or ``some`` in its place where it has fewer than ``least`` rows and ``some`` has more than it."""
+    n = every.limit(least).agg(F.count("*").alias("_n")).join(some.limit(least + 1).agg(F.count("*").alias("_m")))
+    use = F.broadcast(n.select(((F.col("_n") >= least) | (F.col("_m") <= F.col("_n"))).alias("_every")))
+    return every.join(use, F.col("_every")).drop("_every").unionByName(some.join(use, ~F.col("_every")).drop("_every"))
+
+
+def predicate(where: dict, exact: tuple[str, ...] = ()) -> Column:
+    """A filter from fields and values: equality for ``exact`` fields, flags and numbers, else containment without regard to case.
+
+    None as a value wants a null; a list wants any of its values; a pair (from, to) wants a range with both ends.
+    """
+    parts = [F.lit(True)]
+    for f, v in where.items():
+        c = F.col(f)
+        if v is None:
+            parts.append(c.isNull())
+        elif isinstance(v, list):
+            parts.append(c.isin(v))
+        elif isinstance(v, tuple):
+            parts.append(c.between(*v))
+        elif f in exact or not isinstance(v, str):
+            parts.append(c == v)
+        else:
+            parts.append(c.ilike(v if "%" in v else f"%{v}%"))
+    return reduce(lambda a, b: a & b, parts)
+
+
+def page(found: DataFrame, key: str, *, sort: str = "relevance", date: str | None = None, time: str | None = None, ascending: bool = False, limit: int = 10, offset: int = 0) -> DataFrame:
+    """``limit`` rows after ``offset`` in the order named by ``sort``, with ``total``, the number of all.
+
+    Orders: relevance, decision_date_desc and _asc (by ``date``), fetched_at_desc and _asc (by ``time``). Missing dates come last
+    in a falling order and first in a rising one; an unknown name is relevance; ties go to the smaller key.
+    """
+    by = {"decision_date": date, "fetched_at": time}.get(sort.rsplit("_", 1)[0])
+    if by:
+        first = F.col(by).desc_nulls_last() if sort.endswith("_desc") else F.col(by).asc_nulls_first()
+    else:
+        first = F.col("score").asc() if ascending else F.col("score").desc()
+    return found.orderBy(first, F.col(key).asc()).offset(offset).limit(limit).join(F.broadcast(found.agg(F.count("*").alias("total"))))

@@ -9,7 +9,8 @@ from derlem.functions.keys import fold_key, is_blank, pair_key, strip
 from derlem.functions.text import ascii_fold, tokens
 from derlem.operators import judging, search, vectors
 from derlem.queries_corpus import AS_OF, REC, _dv2, _records
-from derlem.queries_search import TOK
+from derlem.plans.understanding import expand
+from derlem.queries_search import TOK, _bm25_sql, index
 from derlem.session import spread, table
 
 QUERIES, SQL = {}, {}
@@ -221,22 +222,34 @@ def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return judging.hash_embedding(table(spark, d, "documents"), "doc_id", tokens("text"))
 
 
-@query()
+_STEMMED = expand(["bedelini", "taşınmazın"])
+
+
+@query(f"WITH {_bm25_sql(_STEMMED, 'OR')} SELECT doc_id, round(score, 6) score FROM bm")
 def suffix_expanded_search(spark: SparkSession, d: str) -> DataFrame:
     """OR over the query's words and their stems."""
-    terms = list(dict.fromkeys(s for w in ("bedelini", "taşınmazın") for s in judging.stem(w)))
-    return search.bm25(table(spark, d, "documents"), "doc_id", "text", terms, mode="or")
+    return index(spark, d).bm25(_STEMMED, mode="or").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query()
+_RARE = ["kamulaştırma", "tescilini", "ecrimisil", "ruhsat"]
+
+
+def _fallback_sql(least: int) -> str:
+    return f"WITH {_bm25_sql(_RARE, 'AND', 'a')}, {_bm25_sql(_RARE, 'OR', 'o')}, u AS (SELECT (SELECT count(*) FROM a) >= {least} OR (SELECT count(*) FROM o) <= (SELECT count(*) FROM a) AS every) SELECT doc_id, round(score, 6) score FROM a, u WHERE every UNION ALL SELECT doc_id, round(score, 6) FROM o, u WHERE NOT every"
+
+
+@query(_fallback_sql(3))
 def and_or_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Every term first; where fewer than three match and some-term search finds more, that."""
-    docs = table(spark, d, "documents")
-    terms = ["kamulaştırma", "tescilini", "ecrimisil", "ruhsat"]
-    every = search.bm25(docs, "doc_id", "text", terms)
-    if every.limit(3).count() >= 3:
-        return every
-    return search.bm25(docs, "doc_id", "text", terms, mode="or")
+    ix = index(spark, d)
+    return search.fallback(ix.bm25(_RARE), ix.bm25(_RARE, mode="or"), 3).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_fallback_sql(10_000_000))
+def live_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The same where a whole page of rows is wanted, so that the search for some terms takes over."""
+    ix = index(spark, d)
+    return search.fallback(ix.bm25(_RARE), ix.bm25(_RARE, mode="or"), 10_000_000).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from derlem.functions.text import jaccard, lower_tr, snippet, tokens
 from derlem.operators import search, vectors
+from derlem.operators.index import Index, index_of
 from derlem.plans.queries import BooleanQuery, parse_match
+from derlem.plans.understanding import expand
 from derlem.session import spread, table
 
 TERMS = ["kira", "bedeli", "sözleşme"]
@@ -60,15 +62,24 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def index(spark: SparkSession, d: str) -> Index:
+    """The stored index over documents.text."""
+    return index_of(spark, f"{d}/documents.parquet", "doc_id", "text", _docs(spark, d))
+
+
 def _bm25(spark: SparkSession, d: str, terms: list[str] = TERMS, mode: str = "and") -> DataFrame:
-    return search.bm25(_docs(spark, d), "doc_id", "text", terms, mode=mode)
+    return index(spark, d).bm25(terms, mode=mode).withColumnRenamed("key", "doc_id")
+
+
+def _cosine(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:
+    return index(spark, d).cosine(terms).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {_bm25_sql(TERMS, 'OR')}, best AS ({_top_sql('bm', 10, 'ASC')}) SELECT b.doc_id, b.score, b.rank, d.lang, d.source FROM best b JOIN documents d USING (doc_id)")
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     """Ranked on narrow columns; the winners' metadata is joined last."""
     best = _rounded(search.top(_bm25(spark, d, mode="or"), "doc_id", 10, ascending=True))
-    return _docs(spark, d).select("doc_id", "lang", "source").join(F.broadcast(best), "doc_id")
+    return table(spark, d, "documents").select("doc_id", "lang", "source").join(F.broadcast(best), "doc_id")
 
 
 @query(f"WITH {_bm25_sql(ANY[:2], 'AND')} SELECT doc_id, round(score, 6) score FROM bm")
@@ -76,17 +87,27 @@ def bm25_and(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, ANY[:2]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_bm25_sql(TERMS, 'AND', 'a')}, {_bm25_sql(TERMS, 'OR', 'o')}, u AS (SELECT o.doc_id, coalesce(a.score, o.score) score, (a.doc_id IS NOT NULL) all_terms FROM o LEFT JOIN a USING (doc_id)) SELECT doc_id, round(score, 6) score, all_terms FROM u")
+def _two_stage_sql(limit: int) -> str:
+    return f"WITH {_bm25_sql(TERMS, 'AND', 'a')}, {_bm25_sql(expand(TERMS), 'OR', 'o')} SELECT doc_id, round(score, 6) score, true all_terms FROM a UNION ALL SELECT doc_id, round(score, 6), false FROM o WHERE (SELECT count(*) FROM a) < {limit} AND doc_id NOT IN (SELECT doc_id FROM a)"
+
+
+@query(_two_stage_sql(200))
 def two_stage_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with every term keep that score; those with some come in beside them."""
-    every, some = _bm25(spark, d), _bm25(spark, d, mode="or")
-    j = some.join(every.withColumnRenamed("score", "s2"), "doc_id", "left")
-    return j.select("doc_id", F.round(F.coalesce("s2", "score"), 6).alias("score"), F.col("s2").isNotNull().alias("all_terms"))
+    """Documents with every term; where they are fewer than 200, also those with some of the terms or their stems."""
+    t = search.two_stage(_bm25(spark, d), _bm25(spark, d, expand(TERMS), "or"), "doc_id", 200)
+    return t.select("doc_id", F.round("score", 6).alias("score"), "all_terms")
+
+
+@query(_two_stage_sql(3))
+def two_stage_enough(spark: SparkSession, d: str) -> DataFrame:
+    """The same where three are enough: the second stage adds nothing."""
+    t = search.two_stage(_bm25(spark, d), _bm25(spark, d, expand(TERMS), "or"), "doc_id", 3)
+    return t.select("doc_id", F.round("score", 6).alias("score"), "all_terms")
 
 
 @query(f"WITH {_tfidf_sql(ANY)} {_top_sql('ti', 10)}")
 def tfidf_cosine_top10(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top(search.tfidf_cosine(_docs(spark, d), "doc_id", "text", ANY), "doc_id", 10))
+    return _rounded(search.top(_cosine(spark, d, ANY), "doc_id", 10))
 
 
 _HYBRID = "hy AS (SELECT doc_id, 0.6 * coalesce({n}, 0) + 0.4 * coalesce(t.score, 0) score FROM bm b FULL JOIN ti t USING (doc_id))"
@@ -95,15 +116,13 @@ _HYBRID = "hy AS (SELECT doc_id, 0.6 * coalesce({n}, 0) + 0.4 * coalesce(t.score
 @query(f"WITH {_bm25_sql(ANY, 'OR')}, {_tfidf_sql(ANY)}, {_HYBRID.format(n='1 / (1 + abs(b.score))')} SELECT doc_id, round(score, 6) score FROM hy")
 def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
     """Linear fusion with the norm that falls as matches get stronger."""
-    docs = _docs(spark, d)
-    h = search.hybrid(_bm25(spark, d, ANY, "or"), search.tfidf_cosine(docs, "doc_id", "text", ANY), "doc_id")
+    h = search.hybrid(_bm25(spark, d, ANY, "or"), _cosine(spark, d, ANY), "doc_id")
     return h.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(ANY, 'OR')}, {_tfidf_sql(ANY)}, {_HYBRID.format(n='abs(b.score) / (1 + abs(b.score))')} {_top_sql('hy', 10)}")
 def hybrid_monotone_top10(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return _rounded(search.top(search.hybrid(_bm25(spark, d, ANY, "or"), search.tfidf_cosine(docs, "doc_id", "text", ANY), "doc_id", norm="monotone"), "doc_id", 10))
+    return _rounded(search.top(search.hybrid(_bm25(spark, d, ANY, "or"), _cosine(spark, d, ANY), "doc_id", norm="monotone"), "doc_id", 10))
 
 
 @query(
@@ -112,26 +131,36 @@ def hybrid_monotone_top10(spark: SparkSession, d: str) -> DataFrame:
 )
 def rrf_top10(spark: SparkSession, d: str) -> DataFrame:
     lex = search.top(_bm25(spark, d, ANY, "or"), "doc_id", 20, ascending=True)
-    sem = search.top(search.tfidf_cosine(_docs(spark, d), "doc_id", "text", ANY), "doc_id", 20)
+    sem = search.top(_cosine(spark, d, ANY), "doc_id", 20)
     return _rounded(search.top(search.rrf([lex, sem], "doc_id"), "doc_id", 10))
 
 
 @query(f"WITH {POST} SELECT term, count(*) df, round(ln((SELECT count(DISTINCT doc_id) FROM post) / count(*)), 6) idf FROM post GROUP BY 1")
 def idf_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return search.idf(search.postings(_docs(spark, d), "doc_id", "text"), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
+    """The frozen frequencies of the index."""
+    return index(spark, d).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_tfidf_sql(ANY)} SELECT doc_id, round(norm, 6) norm, n_terms FROM nrm")
 def tf_vector_norms(spark: SparkSession, d: str) -> DataFrame:
-    post = search.postings(_docs(spark, d), "doc_id", "text")
-    n = search.norms(search.tfidf(post, search.idf(post, "doc_id"), "doc_id"), "doc_id")
-    return n.select("doc_id", F.round("norm", 6).alias("norm"), "n_terms")
+    return index(spark, d).documents().filter("norm is not null").select(F.col("key").alias("doc_id"), F.round("norm", 6).alias("norm"), "n_terms")
+
+
+@query("SELECT count(*) n_table, count(*) n_index, 0 n_missing, 0 n_orphans, 1.0 coverage FROM documents")
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    """The index beside the table it was made of."""
+    return index(spark, d).status(table(spark, d, "documents"), "doc_id")
+
+
+@query(f"WITH {POST} SELECT term, count(*) df FROM post WHERE starts_with(term, 'kamu') GROUP BY 1")
+def index_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).vocabulary("kamu")
 
 
 def _fts(spark: SparkSession, d: str, q: str, **how) -> DataFrame:
-    pred = parse_match(q, **how).column(tokens("text"))
-    docs = _docs(spark, d).select("doc_id", "lang", "source", "text")
-    return (docs.filter(pred) if pred is not None else docs.limit(0)).select("doc_id", "lang", "source")
+    m = parse_match(q, **how)
+    keys = index(spark, d).match(m.terms, m.phrases, prefix=m.prefix).withColumnRenamed("key", "doc_id")
+    return table(spark, d, "documents").select("doc_id", "lang", "source").join(keys, "doc_id", "left_semi")
 
 
 @query(f"SELECT doc_id, lang, source FROM documents WHERE list_contains({TOK}, 'tapu') AND list_contains({TOK}, 'kira')")
@@ -282,19 +311,70 @@ def profile_similarity_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return j.select("lang_a", "lang_b", F.round(jaccard(F.col("a"), F.col("b")), 4).alias("similarity")).filter("similarity > 0")
 
 
-def search_documents(spark: SparkSession, d: str, text: str, mode: str = "lexical", k: int = 10) -> DataFrame:
-    """The facade over one corpus: lexical, semantic, hybrid or rrf; another mode is an error."""
-    terms = parse_match(text).terms
+def _facade_sql(scored: str, order: str, page: str, score: str = "round(score, 6)") -> str:
+    return f"WITH {scored}, j AS (SELECT s.doc_id, s.score, d.lang, d.source, d.fetched_at FROM s JOIN documents d USING (doc_id) WHERE d.lang = 'tr' AND d.source ILIKE '%yargitay%') SELECT doc_id, {score} score, lang, source, (SELECT count(*) FROM j) total FROM j ORDER BY {order} {page}"
+
+
+WHERE = {"lang": "tr", "source": "%yargitay%"}
+_S = "s AS (SELECT doc_id, score FROM {})"
+
+
+def search_documents(spark: SparkSession, d: str, text: str, mode: str = "lexical", *, where: dict | None = None, sort: str = "relevance", limit: int = 10, offset: int = 0) -> DataFrame:
+    """(doc_id, score, lang, source, total): one page of a search over the corpus.
+
+    ``mode``: lexical, semantic, hybrid or rrf; another one is an error. ``where`` is applied before the page is cut. An unknown
+    ``sort`` sorts by relevance. ``total`` counts what fits on any page.
+    """
+    m = parse_match(text)
+    terms = [*m.terms, *(w for p in m.phrases for w in p)]
     if not terms:
         raise ValueError("a search needs at least one term")
-    docs = _docs(spark, d)
+    ix = index(spark, d)
+    key = lambda df: df.withColumnRenamed("key", "doc_id")
     if mode == "lexical":
-        return search.top(search.bm25(docs, "doc_id", "text", terms), "doc_id", k, ascending=True)
-    if mode == "semantic":
-        return search.top(search.tfidf_cosine(docs, "doc_id", "text", terms), "doc_id", k)
-    lex, sem = search.bm25(docs, "doc_id", "text", terms, mode="or"), search.tfidf_cosine(docs, "doc_id", "text", terms)
-    if mode == "hybrid":
-        return search.top(search.hybrid(lex, sem, "doc_id"), "doc_id", k)
-    if mode == "rrf":
-        return search.top(search.rrf([search.top(lex, "doc_id", 2 * k, ascending=True), search.top(sem, "doc_id", 2 * k)], "doc_id"), "doc_id", k)
-    raise ValueError(f"no such mode: {mode}")
+        scored = key(ix.bm25(terms))
+        if m.phrases:
+            scored = scored.join(key(ix.match(m.terms, m.phrases)), "doc_id", "left_semi")
+    elif mode == "semantic":
+        scored = key(ix.cosine(terms))
+    elif mode == "hybrid":
+        scored = search.hybrid(key(ix.bm25(terms, mode="or")), key(ix.cosine(terms)), "doc_id", norm="monotone")
+    elif mode == "rrf":
+        fetch = 2 * (limit + offset)
+        scored = search.rrf([search.top(key(ix.bm25(terms, mode="or")), "doc_id", fetch, ascending=True), search.top(key(ix.cosine(terms)), "doc_id", fetch)], "doc_id")
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    meta = table(spark, d, "documents").select("doc_id", "lang", "source", "fetched_at")
+    found = scored.join(meta.filter(search.predicate(where or {}, exact=("lang", "doc_kind"))), "doc_id")
+    return search.page(found, "doc_id", sort=sort, time="fetched_at", ascending=mode == "lexical", limit=limit, offset=offset).select("doc_id", F.round("score", 6).alias("score"), "lang", "source", "total")
+
+
+@query(_facade_sql(f"{_bm25_sql(ANY[:2], 'AND')}, {_S.format('bm')}", "score, doc_id", "LIMIT 10"))
+def search_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return search_documents(spark, d, "tapu kira", where=WHERE)
+
+
+@query(_facade_sql(f"{_bm25_sql(ANY[:2], 'AND')}, {_S.format('bm')}", "fetched_at DESC NULLS LAST, doc_id", "LIMIT 5 OFFSET 5"))
+def search_lexical_newest(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of five, latest fetched first."""
+    return search_documents(spark, d, "tapu kira", where=WHERE, sort="fetched_at_desc", limit=5, offset=5)
+
+
+@query(_facade_sql(f"{_tfidf_sql(ANY)}, {_S.format('ti')}", "score DESC, doc_id", "LIMIT 10"))
+def search_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return search_documents(spark, d, " ".join(ANY), "semantic", where=WHERE)
+
+
+@query(_facade_sql(f"{_bm25_sql(ANY, 'OR')}, {_tfidf_sql(ANY)}, {_HYBRID.format(n='abs(b.score) / (1 + abs(b.score))')}, {_S.format('hy')}", "score DESC, doc_id", "LIMIT 10"))
+def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return search_documents(spark, d, " ".join(ANY), "hybrid", where=WHERE)
+
+
+@query(
+    _facade_sql(
+        f"{_bm25_sql(ANY, 'OR')}, {_tfidf_sql(ANY)}, r AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) rank FROM bm QUALIFY rank <= 40 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) rank FROM ti QUALIFY rank <= 40), f AS (SELECT doc_id, sum(1.0 / (60 + rank)) score FROM r GROUP BY 1), {_S.format('f')}",
+        "score DESC, doc_id", "LIMIT 20",
+    )
+)
+def search_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return search_documents(spark, d, " ".join(ANY), "rrf", where=WHERE, limit=20)
