@@ -2,10 +2,13 @@
 
 Every text is folded first: characters that cannot be seen go, blanks of one width become a space,
 line ends become line feeds, full-width forms and ligatures become their usual letters, and
-accents are composed. Then look-alike letters are repaired by script: in a token whose letters
-come from several scripts, or all of whose letters are look-alikes, they are replaced, but only
-where the corpus itself contains the resulting word: in one script, or behind another spelling that
-is repaired to it. The vocabulary is that of all
+accents are composed. Then look-alike letters are repaired by script. The dominant script of a token
+is the one to which most of its letters belong that exist in no other; a token of look-alikes alone
+shows none and is read as Latin. In a mixed token the letters of other scripts are replaced by their
+look-alikes of the dominant one, Latin, Greek or Cyrillic alike, if the whole token can be written in
+it. A second rule concerns disguised tokens: all their letters belong to one other script, and all
+are look-alikes of Latin ones. Either is replaced only where the corpus itself contains the resulting
+word: in one script, or behind another spelling that is repaired to it. The vocabulary is that of all
 texts; it stays distributed and is joined with the candidates only.
 
 Defined results: null texts stay null and are in no pair; a text of which nothing visible is left
@@ -19,6 +22,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,13 +30,12 @@ from pyspark.sql import functions as F
 
 from derlem.session import cut
 
-#: Letters of other scripts with the same shape as Latin ones, Greek then Cyrillic.
-LOOKALIKES = dict(
-    zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϹϲϳ" + "АВЕЅІЈКМНОРСТХԚԜаеѕіјорсухһԁԛԝ",
-        "ABEZHIKMNOPTYXoCcj" + "ABESIJKMHOPCTXQWaesijopcyxhdqw",
-    )
-)
+#: Letters of other scripts with the same shape as Latin ones.
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϹϲϳ", "ABEZHIKMNOPTYXoCcj"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХԚԜаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXQWaesijopcyxhdqw"))
+#: Latin letters that pass for Greek ones within a Greek word, though not the other way round.
+WITHIN_GREEK = {"a": "α", "v": "ν", "p": "ρ"}
+LOOKALIKES = GREEK | CYRILLIC
 #: Characters that leave no mark, beside all format characters (category Cf).
 INVISIBLE = "\u034f\u180b\u180c\u180d\u180e\u115f\u1160"
 SELECTORS = "".join(map(chr, range(0xFE00, 0xFE10)))
@@ -41,8 +44,15 @@ LIGATURES = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "f
 HYPHENS = {0x2010: "-", 0x2011: "-"}
 SALTS = 16
 _TOKEN = re.compile("[\\w\u0300-\u036f]+")
-_FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "]")
-_SWAP = str.maketrans(LOOKALIKES)
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_OF_LATIN = {"GREEK": {v: k for k, v in GREEK.items()} | WITHIN_GREEK, "CYRILLIC": {v: k for k, v in CYRILLIC.items()}}
+#: Per script, what its words put in place of a look-alike.
+_TO = {
+    "LATIN": str.maketrans(LOOKALIKES),
+    "GREEK": str.maketrans(_OF_LATIN["GREEK"] | {c: _OF_LATIN["GREEK"][x] for c, x in CYRILLIC.items() if x in _OF_LATIN["GREEK"]}),
+    "CYRILLIC": str.maketrans(_OF_LATIN["CYRILLIC"] | {g: _OF_LATIN["CYRILLIC"][x] for g, x in GREEK.items() if x in _OF_LATIN["CYRILLIC"]}),
+}
+_SHARED = {*LOOKALIKES, *LOOKALIKES.values()}
 _ODD = re.compile(r"[^\x00-\x7fçğıöşüÇĞİÖŞÜâîûÂÎÛéèêëàäßñ’]|\r")
 
 
@@ -78,22 +88,29 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+@lru_cache(maxsize=100_000)
+def script(c: str) -> str:
+    """The script of a letter by its Unicode name, '' for anything else."""
+    return unicodedata.name(c, " ").split(" ")[0] if c.isalpha() else ""
+
+
 def dominant(token: str) -> str:
-    """The script of most letters of a token: Latin on a tie, '' without letters."""
+    """The script of most letters that exist in one script only: Latin on a tie or without such letters, '' without any letter."""
     n: dict[str, int] = {}
-    for c in token:
-        if c.isalpha():
-            s = unicodedata.name(c, " ").split(" ")[0]
-            n[s] = n.get(s, 0) + 1
-    return max(n, key=lambda s: (n[s], s == "LATIN")) if n else ""
+    letters = [c for c in token if c.isalpha()]
+    for c in letters:
+        if c not in _SHARED:
+            n[script(c)] = n.get(script(c), 0) + 1
+    return max(n, key=lambda s: (n[s], s == "LATIN")) if n else "LATIN" if letters else ""
 
 
 def repair(token: str) -> str | None:
-    """The token with look-alikes replaced, if all its letters are Latin then; None if not."""
-    new = unicodedata.normalize("NFC", token.translate(_SWAP))
-    if new == token:
+    """The token in its dominant script, if all its letters can be written in it; None if not, or if it is so already."""
+    to = dominant(token)
+    if to not in _TO:
         return None
-    return new if all(not c.isalpha() or unicodedata.name(c, " ").startswith("LATIN") for c in new) else None
+    new = unicodedata.normalize("NFC", token.translate({ord(c): _TO[to][ord(c)] for c in set(token) if ord(c) in _TO[to] and script(c) != to}))
+    return new if new != token and all(script(c) in ("", to) for c in new) else None
 
 
 def candidates(text: str) -> dict[str, str]:
@@ -177,25 +194,22 @@ def canonical(df: DataFrame, key: str, text: str, *, keep_text: bool = True) ->
 def same_looking(canon: DataFrame, key: str, *, expand: int = 256) -> DataFrame:
     """Pairs (doc_a, doc_b) whose texts differ but look the same.
 
-    Groups of up to ``expand`` members come out with every such pair. In larger ones every two
-    different texts are linked by their first holders and every further copy by one pair, so that
-    no link between different texts is lost and copies do not multiply.
+    Groups of up to ``expand`` members come out with every such pair. Larger ones come out as a star:
+    to look the same is the same for all members, so one pair with the group's first text for each
+    member (a copy of that text meets the smallest holder of another) holds the whole group together.
     """
-    rows = canon.filter("raw is not null").select(F.col(key).alias("id"), "raw", "canon")
+    # read several times: ids and hashes only
+    rows = cut(canon.filter("raw is not null").select(F.col(key).alias("id"), "raw", "canon"))
     texts = rows.groupBy("canon", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    groups = texts.groupBy("canon").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("first").alias("one")).filter("k > 1")
+    groups = texts.groupBy("canon").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min_by(F.struct("first", "raw"), "first").alias("one")).filter("k > 1")
     empty = _hash("")
     groups = groups.filter(F.col("canon") != F.lit(empty))
     # few groups have several texts; only their members go on
     members = cut(rows.join(groups, "canon"))
-    small = members.filter(F.col("n") <= expand)
+    small = members.filter(F.col("n") <= expand).select("canon", "id", "raw")
     both = small.alias("a").join(small.alias("b"), (F.col("a.canon") == F.col("b.canon")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")))
     out = both.select(F.col("a.id").alias("doc_a"), F.col("b.id").alias("doc_b"))
-    large = texts.join(groups.filter(F.col("n") > expand).select("canon", "one"), "canon")
-    firsts = large.alias("a").join(large.alias("b"), (F.col("a.canon") == F.col("b.canon")) & (F.col("a.first") < F.col("b.first")))
-    out = out.unionByName(firsts.select(F.col("a.first").alias("doc_a"), F.col("b.first").alias("doc_b")))
-    # a copy is linked with the group's first text, or, if it has that text itself, with the smallest holder of another
-    other = large.filter("first <> one").groupBy("canon").agg(F.min("first").alias("other"))
-    copies = members.filter(F.col("n") > expand).join(large.select("canon", "raw", "first"), ["canon", "raw"]).join(other, "canon").filter("id <> first")
-    to = F.when(F.col("first") == F.col("one"), F.col("other")).otherwise(F.col("one"))
-    return out.unionByName(copies.select(F.least("id", to).alias("doc_a"), F.greatest("id", to).alias("doc_b")))
+    large = members.filter(F.col("n") > expand).select("canon", "id", "raw", "one")
+    other = large.filter(F.col("raw") != F.col("one.raw")).groupBy("canon").agg(F.min("id").alias("other"))
+    star = large.join(other, "canon").filter(F.col("id") != F.col("one.first")).withColumn("to", F.when(F.col("raw") == F.col("one.raw"), F.col("other")).otherwise(F.col("one.first")))
+    return out.unionByName(star.select(F.least("id", "to").alias("doc_a"), F.greatest("id", "to").alias("doc_b"))).distinct()

@@ -215,12 +215,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(text: str, size: int):
-    """The sets for verification, as 32-bit hashes: two runs of one pair of texts collide with a
-    probability near 1e-5, which would shift its similarity by less than a hundredth."""
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"c": b["c"], "sh": [np.unique(runs(words_of(t), size).astype(np.uint32)).view(np.int32) for t in b[text]]})
+            yield pd.DataFrame({"c": b["c"], "sh": [runs(words_of(t), size).view(np.int64) for t in b[text]]})
 
     return run
 
@@ -228,7 +225,7 @@ def _sets(text: str, size: int):
 def _verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = [jaccard(np.asarray(x), np.asarray(y)) for x, y in zip(b["sha"], b["shb"])]
+            s = [jaccard(x, y) for x, y in zip(b["sha"], b["shb"])]
             keep = np.array(s) >= threshold if len(s) else np.zeros(0, bool)
             yield pd.DataFrame({"a": b["a"][keep], "b": b["b"][keep], "similarity": np.array(s)[keep]})
 
@@ -265,8 +262,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, size: int = 5, thre
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     who = reps.select("rep", "c").join(wanted, "c", "left_semi").withColumn("key", F.col("rep").cast("string"))
     texts = split_by_filter(docs.select(F.col(key).alias("rep"), text, F.col(key).cast("string").alias("key")), who, "key").filter("maybe").drop("maybe", "key")
-    sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets(text, size), "c long, sh array<int>")
-    sets = cut(sets)
+    sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets(text, size), "c long, sh array<long>")
+    # both sides of the join read one exchange of the sets
     full = pairs.join(sets.withColumnsRenamed({"c": "a", "sh": "sha"}), "a").join(sets.withColumnsRenamed({"c": "b", "sh": "shb"}), "b")
     return members, full.mapInPandas(_verify(threshold), "a long, b long, similarity double").distinct()
 
@@ -286,23 +283,21 @@ def document_pairs(members: DataFrame, links: DataFrame, *, expand: int = 64) ->
     return inside.unionByName(star).unionByName(across)
 
 
-def components(members: DataFrame, links: DataFrame, *, rounds: int = 40) -> DataFrame:
+def components(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, group, n_links): every member with the smallest class name reachable from its own.
 
     Classes hand on the smallest name they know along links until nothing changes; names jump over
     their own name's name each round, so the number of rounds grows with the logarithm of a
     group's diameter.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    names = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("g"), F.count("*").alias("n_links"))
-    names = cut(names)
-    for _ in range(rounds):
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    names = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("g"), F.count("*").alias("n_links")))
+    changed = True
+    while changed:
         heard = both.join(names.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))
         new = names.join(heard, "a").select("a", F.least("g", "h").alias("g2"), "g", "n_links")
         jump = names.select(F.col("a").alias("g2"), F.col("g").alias("far"))
         new = cut(new.join(jump, "g2", "left").select("a", F.least("g2", F.coalesce("far", "g2")).alias("g"), F.col("g").alias("old"), "n_links"))
         changed = not new.filter("g <> old").isEmpty()
         names = new.drop("old")
-        if not changed:
-            break
     return members.join(names.withColumnRenamed("a", "c"), "c", "left").select("id", F.coalesce("g", "c").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -12,8 +12,8 @@ from derlem.session import spread, table
 TOKENIZER = "byte_bpe_50k"
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.group_records(table(spark, d, "dedup_clusters"), table(spark, d, "dedup_members"), table(spark, d, "documents_v2"))
+def _groups(spark: SparkSession, d: str, values: bool = False) -> DataFrame:
+    return survivors.group_records(table(spark, d, "dedup_clusters"), table(spark, d, "dedup_members"), table(spark, d, "documents_v2"), values=values)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,16 +22,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
     """Every value of every field with its posterior under the two-sided source model."""
-    return survivors.judged_values(survivors.claims(_groups(spark, d)))
+    return survivors.judged_values(survivors.claims(_groups(spark, d, values=True)))
 
 
-def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Per field, how often the model's most probable value is the survivor of the stated order."""
+    return survivors.agreement(survivors.claims(_groups(spark, d, values=True)))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    """(src_table, item_key, t, max_len, overlap_len) of the delivered rows whose text is above its table's limit."""
     limits = table(spark, d, "parca_sinir")
     at = lambda t: F.broadcast(limits.filter(fold_key("tablo") == t).select("max_len", "overlap_len").limit(1))  # noqa: E731  one row per table
     docs = table(spark, d, "documents_v2").select(F.lit("documents_v2").alias("src_table"), strip("document_id").alias("item_key"), effective_text().alias("t")).crossJoin(at("documents_v2"))
     arts = table(spark, d, "mevzuat_madde").select(F.lit("mevzuat_madde").alias("src_table"), F.concat(strip("mevzuat_id"), F.lit("|"), F.col("sira")).alias("item_key"), F.col("metin").alias("t")).crossJoin(at("mevzuat_madde"))
-    long = docs.unionByName(arts).filter(F.col("item_key").isNotNull() & (F.length(strip("t")) > F.col("max_len")))
-    return splitting.split_long(long, ["src_table", "item_key"], "t", "max_len", "overlap_len", with_text=with_text)
+    return docs.unionByName(arts).filter(F.col("item_key").isNotNull() & (F.length(strip("t")) > F.col("max_len")))
+
+
+def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    """Of each item one text is split: the others are left out before, by a join that carries lengths and hashes."""
+    long = _long(spark, d).withColumns({"_k": F.lower("item_key"), "_v": F.struct(F.length(strip("t")).alias("n"), F.xxhash64("t").alias("h"), F.col("item_key").alias("i"))})
+    if not with_text:
+        # for the list of items any delivery will do
+        return splitting.split_long(long, ["src_table", "item_key"], "t", "max_len", "overlap_len", with_text=False)
+    best = long.groupBy("src_table", "_k").agg(F.max("_v").alias("_v"), F.min("item_key").alias("item_key"))
+    won = long.drop("item_key").join(best, ["src_table", "_k", "_v"])
+    # deliveries with one and the same text: one of them
+    own = won.dropDuplicates(["src_table", "_k"])
+    return splitting.split_long(own, ["src_table", "item_key"], "t", "max_len", "overlap_len")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,12 +57,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """The pieces themselves; of a record delivered again the longest text counts."""
+    """The pieces themselves; of a record delivered again the longest text counts, of equally long ones that with the largest hash."""
     p = _pieces(spark, d, True)
-    whole = p.groupBy("src_table", F.lower("item_key").alias("_k"), "n_chunks").agg(F.min("item_key").alias("item_key"), F.max("end").alias("len"), F.max_by(F.struct("start", "end", "chunk"), F.struct("end", "chunk")).alias("_x"))
-    best = whole.groupBy("src_table", "_k").agg(F.max(F.struct("len", "n_chunks")).alias("b")).select("src_table", "_k", F.col("b.n_chunks").alias("n_chunks"))
-    p = p.withColumn("_k", F.lower("item_key")).join(best, ["src_table", "_k", "n_chunks"])
-    return p.groupBy("src_table", "_k", "n_chunks", "chunk_index").agg(F.min("item_key").alias("item_key"), F.max(F.struct("end", "start", "chunk")).alias("x")).select("src_table", "item_key", "chunk_index", "n_chunks", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), F.col("x.chunk").alias("chunk"))
+    return p.select("src_table", "item_key", "chunk_index", "n_chunks", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "chunk")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,5 +129,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_values, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_groups, p8_ids, p9_assignment, p9_report, p10_found, p10_canonical)
+    for f in (p4_found, p4_values, p4_agreement, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_groups, p8_ids, p9_assignment, p9_report, p10_found, p10_canonical)
 }

@@ -1,15 +1,17 @@
 """Best representative of each duplicate group, field by field.
 
-Two parts share one set of claims (group, field, value, member). ``survivors`` takes for every
-field the first member with a value in a stated order of trust. ``latent_quality`` is the two-sided
-model: each distinct value of a field is true or false, each source asserts true values with its
-sensitivity and false ones with one minus its specificity; expectation-maximisation infers both
-from agreement alone. ``judged_values`` keeps every value of a field whose posterior reaches a
-threshold, so fields with several true values retain them all.
+Two parts share one set of records. ``survivors`` takes for every field the first member with a value
+in a stated order of trust. ``latent_quality`` is the two-sided model: each distinct value of a field
+is true or false, each source asserts true values with its sensitivity and false ones with one minus
+its specificity; expectation-maximisation infers both, and how often a field's values are true, from
+agreement alone. A member without a value for a field is silent: it neither asserts nor denies.
+``judged_values`` keeps every value whose posterior reaches a threshold, so fields with several true
+values retain them all. ``agreement`` counts how often the value it holds for most probable is the one
+of the stated order.
 
 Nothing but counts per source reaches the driver: claims are first grouped into signatures (which
-sources assert a value, which are silent), and each round sums expected counts per source on the
-executors. The number of sources is that of the feeds that deliver records.
+sources assert a value, which another one), and each round sums expected counts per source on the
+executors. The number of sources is that of the feeds that deliver records, and the quality is one per source and field.
 
 Defined results: members that are in no record table, groups with one member left and fields
 without any value give no row; repeated members and deliveries count once; null parts of the
@@ -48,22 +50,31 @@ def trust_order(doc: str, source: str) -> Column:
     return F.struct(rank.cast("int").alias("state"), (-length).alias("len"), late.alias("late"), strip(doc).alias("document_id"), strip(source).alias("source"))
 
 
-def group_records(clusters: DataFrame, members: DataFrame, docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One narrow row per delivered record of a group: cluster_id, key, order and ``has`` per field, with value hashes.
+def group_records(clusters: DataFrame, members: DataFrame, docs: DataFrame, fields: tuple[str, ...] = FIELDS, *, values: bool = False) -> DataFrame:
+    """One narrow row per delivered record of a group: cluster_id, key, order and, per field, the hash of its value.
 
-    Texts are measured and hashed before the join and do not move.
+    Texts are measured and hashed before the join and do not move. Only the dates of members are read. With ``values`` the
+    fields come as structs (h, v) with the value itself beside its hash; a full text's is its SHA-256.
     """
-    dated = add_readings(docs, "decision_date") if "decision_date" in fields else docs
-    value = lambda f: F.regexp_replace(F.lower(strip(f)), f"[{BLANKS}]+", " ")
-    has = {f: F.col(f).rlike(r"[\p{L}\p{N}]") & (F.size("readings") > 0 if f == "decision_date" else F.lit(True)) for f in fields}
-    dated_value = F.element_at("readings", 1)["micros"].cast("string")
-    rec = dated.filter("document_id is not null").select(
+    number = lambda f: F.nullif(F.regexp_extract(f, r"(\d{4}\s*/\s*\d+)", 1), F.lit(""))  # noqa: E731  a case number, whatever stands around it
+    value = lambda f: F.regexp_replace(F.lower(F.coalesce(number(f), strip(f)) if f in ("esas_no", "karar_no") else strip(f)), f"[{BLANKS}]+", "" if f in ("esas_no", "karar_no") else " ")
+    has = lambda f: F.col(f).rlike(r"[\p{L}\p{N}]")
+    shown = lambda f: F.sha2(F.encode(strip(f), "utf-8"), 256) if f == "full_text" else strip(f)
+    cell = lambda f: F.struct(F.xxhash64(value(f)).alias("h"), shown(f).alias("v")) if values else F.xxhash64(value(f))
+    rec = docs.filter("document_id is not null").select(
         pair_key("document_id", "source").alias("key"), trust_order("document_id", "source").alias("order"),
-        *[F.when(has[f], F.xxhash64(dated_value if f == "decision_date" else value(f))).alias(f) for f in fields],
+        *[F.col(f) if f == "decision_date" else F.when(has(f), cell(f)).alias(f) for f in fields],
     )
     m = members.filter("cluster_id is not null and document_id is not null").select(fold_key("cluster_id").alias("ck"), pair_key("document_id", "source").alias("key")).distinct()
     c = clusters.filter("cluster_id is not null").groupBy(fold_key("cluster_id").alias("ck")).agg(F.min(strip("cluster_id")).alias("cluster_id"))
-    return m.join(c, "ck").join(rec, "key").drop("ck")
+    got = m.join(c, "ck").join(rec, "key").drop("ck")
+    if "decision_date" not in fields:
+        return got
+    # the day in Istanbul is the date's value, whatever its writing
+    dated = add_readings(got, "decision_date")
+    moment = F.xxhash64(F.from_utc_timestamp(F.timestamp_micros(F.element_at("readings", 1)["micros"]), "Europe/Istanbul").cast("date").cast("string"))
+    day = F.struct(moment.alias("h"), strip("decision_date").alias("v")) if values else moment
+    return dated.withColumn("decision_date", F.when(has("decision_date") & (F.size("readings") > 0), day)).drop("readings")
 
 
 def survivors(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -74,64 +85,92 @@ def survivors(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame
 
 
 def claims(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(cluster_id, field_name, value, yes, no): sources of the members that assert a value and of those that do not."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")
+    """(cluster_id, field_name, value, shown, holder, yes, no): per distinct value the sources that assert it and those that assert another.
+
+    ``records`` with ``values``. ``holder`` is the most trusted record with the value; the groups' members are few.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("c")) for f in fields])).alias("x")
     src = F.coalesce(fold_key(F.col("order.source")), F.lit(""))
-    rows = records.select("cluster_id", "key", src.alias("src"), each).select("cluster_id", "key", "src", "x.*").groupBy("cluster_id", "field_name", "key", "src").agg(F.array_compact(F.collect_set("value")).alias("vs"))
-    group = rows.groupBy("cluster_id", "field_name").agg(F.collect_list(F.struct("src", "vs")).alias("ms")).filter(F.size("ms") > 1)
-    v = F.explode(F.array_distinct(F.flatten(F.transform("ms", lambda m: m["vs"])))).alias("value")
-    named = group.select("*", v)
-    side = lambda yes: F.array_sort(F.transform(F.filter("ms", lambda m: F.array_contains(m["vs"], F.col("value")) == F.lit(yes)), lambda m: m["src"]))
-    return named.select("cluster_id", "field_name", "value", side(True).alias("yes"), side(False).alias("no"))
+    rows = records.select("cluster_id", "key", "order", src.alias("src"), each).select("cluster_id", "key", "order", "src", "x.field_name", "x.c.h", "x.c.v").filter("h is not null")
+    said = rows.groupBy("cluster_id", "field_name", "h", "key", "src").agg(F.min(F.struct("order", "v")).alias("o"))
+    value = said.groupBy("cluster_id", "field_name", "h").agg(F.sort_array(F.collect_list("src")).alias("yes"), F.min("o").alias("o"), F.collect_set("key").alias("keys"))
+    others = said.select("cluster_id", "field_name", "key", "src").distinct().groupBy("cluster_id", "field_name").agg(F.collect_list(F.struct("key", "src")).alias("ms"))
+    no = F.array_sort(F.transform(F.filter("ms", lambda m: ~F.array_contains(F.col("keys"), m["key"])), lambda m: m["src"]))
+    return value.join(others, ["cluster_id", "field_name"]).select("cluster_id", "field_name", F.col("h").alias("value"), F.col("o.v").alias("shown"), F.col("o.order").alias("holder"), "yes", no.alias("no"))
+
 
+Quality = dict[tuple[str, str], tuple[float, float]]
 
-def posterior(yes: list[str], no: list[str], q: dict[str, tuple[float, float]], prior: float) -> float:
-    """Probability that a value is true, given each source's (sensitivity, specificity)."""
-    a, b = np.log(prior), np.log(1 - prior)
+
+def posterior(field: str, yes: list[str], no: list[str], q: Quality, prior: dict[str, float]) -> float:
+    """Probability that a value is true, given the (sensitivity, specificity) of each source for the field."""
+    p = prior.get(field, 0.5)
+    a, b = np.log(p), np.log(1 - p)
     for s in yes:
-        sens, spec = q[s]
+        sens, spec = q[s, field]
         a, b = a + np.log(sens), b + np.log(1 - spec)
     for s in no:
-        sens, spec = q[s]
+        sens, spec = q[s, field]
         a, b = a + np.log(1 - sens), b + np.log(spec)
     return float(1 / (1 + np.exp(np.clip(b - a, -500, 500))))
 
 
-def latent_quality(claim: DataFrame, rounds: int = 8, start: tuple[float, float] = (0.8, 0.7), smooth: float = 2.0) -> tuple[dict[str, tuple[float, float]], float]:
-    """Sensitivity and specificity per source, and the prior of truth."""
-    sig = cut(claim.groupBy("yes", "no").count())
-    names = [r[0] for r in sig.select(F.explode(F.concat("yes", "no")).alias("s")).distinct().collect()]
-    q, prior = dict.fromkeys(names, start), 0.5
+def latent_quality(claim: DataFrame, rounds: int = 12, start: tuple[float, float] = (0.6, 0.95), weight: float = 10.0) -> tuple[Quality, dict[str, float]]:
+    """Sensitivity and specificity per source and field, and per field the prior of truth.
+
+    ``start`` is what is believed of a source before its claims are seen, with the weight of ``weight`` of them: false values
+    are rarer than missing ones. Qualities are learned for each field apart: where members rightly have values of their own
+    (an address, a text) the sensitivity comes out low, so that another value is no denial.
+    """
+    sig = cut(claim.groupBy("field_name", "yes", "no").count())
+    names = [(r["s"], r["field_name"]) for r in sig.select("field_name", F.explode(F.concat("yes", "no")).alias("s")).distinct().collect()]
+    q: Quality = dict.fromkeys(names, start)
+    prior: dict[str, float] = {}
     for _ in range(rounds):
 
-        def expect(batches: Iterator[pd.DataFrame], q: dict = q, prior: float = prior) -> Iterator[pd.DataFrame]:
+        def expect(batches: Iterator[pd.DataFrame], q: Quality = q, prior: dict = prior) -> Iterator[pd.DataFrame]:
             for b in batches:
                 got: dict = {}
-                for yes, no, n in zip(b["yes"], b["no"], b["count"]):
-                    t = posterior(yes, no, q, prior)
-                    for s, hit in [*((s, 1) for s in yes), *((s, 0) for s in no), ("\x00", 1)]:
-                        x = got.setdefault(s, np.zeros(4))
+                for f, yes, no, n in zip(b["field_name"], b["yes"], b["no"], b["count"]):
+                    t = posterior(f, yes, no, q, prior)
+                    for s, hit in [*((s, 1) for s in yes), *((s, 0) for s in no), (None, 1)]:
+                        x = got.setdefault((s, f), np.zeros(4))
                         x += n * np.array([t * hit, t, (1 - t) * (1 - hit), 1 - t])
-                yield pd.DataFrame([(s, *x) for s, x in got.items()], columns=["s", "tp", "t", "tn", "f"])
-
-        sums = sig.mapInPandas(expect, "s string, tp double, t double, tn double, f double").groupBy("s").agg(*[F.sum(c).alias(c) for c in ("tp", "t", "tn", "f")])
-        rows = {r["s"]: r for r in sums.collect()}
-        total = rows.pop("\x00", None)
-        if total is None:
-            break
-        prior = float(np.clip((total["t"] + smooth) / (total["t"] + total["f"] + 2 * smooth), 0.05, 0.95))
-        q = q | {s: ((r["tp"] + smooth * start[0]) / (r["t"] + smooth), (r["tn"] + smooth * start[1]) / (r["f"] + smooth)) for s, r in rows.items()}
-        q = {s: (min(max(a, 0.01), 0.99), min(max(b, 0.01), 0.99)) for s, (a, b) in q.items()}
+                yield pd.DataFrame([(s, f, *x) for (s, f), x in got.items()], columns=["s", "f", "tp", "true", "tn", "false"])
+
+        sums = sig.mapInPandas(expect, "s string, f string, tp double, `true` double, tn double, `false` double").groupBy("s", "f").agg(*[F.sum(c).alias(c) for c in ("tp", "true", "tn", "false")])
+        # one row per source and field, and one per field
+        for r in sums.collect():
+            if r["s"] is None:
+                prior = prior | {r["f"]: (r["true"] + weight) / (r["true"] + r["false"] + 2 * weight)}
+            else:
+                sens, spec = (r["tp"] + weight * start[0]) / (r["true"] + weight), (r["tn"] + weight * start[1]) / (r["false"] + weight)
+                q = q | {(r["s"], r["f"]): (min(max(sens, 0.01), 0.99), min(max(spec, 0.01), 0.99))}
     return q, prior
 
 
 def judged_values(claim: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Every claimed value with its posterior and whether it is retained."""
+    """(cluster_id, field_name, value, document_id, source, n_yes, n_no, posterior, retained) of every claimed value.
+
+    ``value`` is the value itself, a full text's SHA-256; document_id and source name its most trusted holder.
+    """
     q, prior = latent_quality(claim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = [posterior(y, n, q, prior) for y, n in zip(b["yes"], b["no"])]
-            yield pd.DataFrame({"cluster_id": b["cluster_id"], "field_name": b["field_name"], "value": b["value"], "n_yes": b["yes"].map(len), "n_no": b["no"].map(len), "posterior": p, "retained": [x >= threshold for x in p]})
+            p = [posterior(f, y, n, q, prior) for f, y, n in zip(b["field_name"], b["yes"], b["no"])]
+            yield pd.DataFrame({**{c: b[c] for c in ("cluster_id", "field_name", "value", "document_id", "source")}, "n_yes": b["yes"].map(len), "n_no": b["no"].map(len), "posterior": p, "retained": [x >= threshold for x in p]})
+
+    slim = claim.select("cluster_id", "field_name", F.col("shown").alias("value"), "holder.document_id", "holder.source", "yes", "no")
+    return slim.mapInPandas(run, "cluster_id string, field_name string, value string, document_id string, source string, n_yes int, n_no int, posterior double, retained boolean")
 
-    return claim.mapInPandas(run, "cluster_id string, field_name string, value long, n_yes int, n_no int, posterior double, retained boolean")
+
+def agreement(claim: DataFrame) -> DataFrame:
+    """Per field: groups, those whose members assert several values, and how often the value the model holds for most probable is that of the stated order.
+
+    ``n_same`` counts all groups, ``n_same_contested`` those with several values. Equal posteriors go to the more trusted holder.
+    """
+    judged = judged_values(claim).join(claim.select("cluster_id", "field_name", F.col("holder.document_id").alias("document_id"), F.col("holder.source").alias("source"), "holder"), ["cluster_id", "field_name", "document_id", "source"])
+    best = judged.groupBy("cluster_id", "field_name").agg(F.min("holder").alias("stated"), F.min(F.struct((-F.round("posterior", 9)).alias("p"), "holder")).alias("m"), F.count("*").alias("k"), F.count_if("retained").alias("kept"))
+    same = F.col("stated").eqNullSafe(F.col("m.holder"))
+    return best.groupBy("field_name").agg(F.count("*").alias("n_groups"), F.count_if(F.col("k") > 1).alias("n_contested"), F.count_if(same).alias("n_same"), F.count_if(same & (F.col("k") > 1)).alias("n_same_contested"), F.sum("k").alias("n_values"), F.sum("kept").alias("n_retained"))
