@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from derlem.session import cut
+
 BLOCK_BITS = 32_768
 MAX_BLOCKS = 4_096  # 16 MB at most
 HASHES = 6
@@ -34,28 +36,40 @@ def _positions(key: Column) -> list[Column]:
     return [F.pmod(a + b * i, F.lit(BLOCK_BITS)) for i in range(HASHES)]
 
 
-def bloom_blocks(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(block, bits) rows of the filter, and the number of blocks. ``keys`` need not be distinct."""
+def bloom_blocks(keys: DataFrame, key: str) -> tuple[DataFrame, int, bool]:
+    """(block, bits) rows of the filter, the number of blocks, and whether it has four bits a key. ``keys`` need not be distinct."""
     n = keys.count()
     blocks = max(1, min(MAX_BLOCKS, -(-n * BITS_PER_KEY // BLOCK_BITS)))
     put = keys.select(_block(F.col(key), blocks).alias("block"), F.explode(F.array(*_positions(F.col(key)))).alias("p"))
-    return put.groupBy("block").agg(F.bitmap_construct_agg("p").alias("bits")), blocks
+    return put.groupBy("block").agg(F.bitmap_construct_agg("p").alias("bits")), blocks, n * 4 <= MAX_BLOCKS * BLOCK_BITS
+
+
+def _words(bits: Column) -> Column:
+    """A block's bitmap as 64-bit numbers, made once a block, so that a row tests a bit without cutting bytes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring(bits, i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
 
 
-def _bit(bits: Column, p: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1
+def _bit(words: Column, p: Column) -> Column:
+    # bytes of a word stand from its highest to its lowest
+    at = (7 - F.shiftright(p.bitwiseAND(F.lit(63)), 3)) * 8 + p.bitwiseAND(F.lit(7))
+    return F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), at.cast("int")) == 1
 
 
 def split_by_filter(refs: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """``refs`` with ``maybe``: false where the filter proves that no parent has the key."""
-    bits, blocks = bloom_blocks(parents, key)
-    r = refs.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(bits.withColumnRenamed("block", "_block")), "_block", "left")
+    """``refs`` with ``maybe``: false where the filter proves that no parent has the key.
+
+    Beyond the number of parents at which ``MAX_BLOCKS`` give a key four bits the filter would prove next to nothing: then
+    none is built and every reference is left to the exact join.
+    """
+    bits, blocks, useful = bloom_blocks(parents, key)
+    if not useful:
+        return refs.withColumn("maybe", F.lit(True))
+    r = refs.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(bits.select(F.col("block").alias("_block"), _words(F.col("bits")).alias("_words"))), "_block", "left")
     hit = None
     for p in _positions(F.col(key)):
-        one = _bit(F.col("bits"), p)
+        one = _bit(F.col("_words"), p)
         hit = one if hit is None else hit & one
-    return r.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_block", "bits")
+    return r.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_block", "_words")
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -67,7 +81,8 @@ def find_orphans(refs: DataFrame, parents: DataFrame, deleted: DataFrame) -> Dat
     # the parent's earliest time, one row per key; what the log of deletions says matters only where no parent is left
     own = parents.groupBy("key").agg(F.min("created_at").alias("_since"), F.lit(True).alias("_there"))
     log = deleted.select("key").distinct().withColumn("_gone", F.lit(True))
-    judged = split_by_filter(refs, own.select("key"), "key")
+    # narrow rows that several branches read: judged once
+    judged = cut(split_by_filter(refs, own.select("key"), "key"))
     hot = judged.groupBy("key").count()
     hot = hot.join(F.broadcast(judged.agg(F.count("*").alias("_n"))), F.col("count") >= F.greatest(F.lit(HOT_LEAST), F.col("_n") * HOT_SHARE)).select("key", F.lit(True).alias("_hot"))
     facts = own.join(log, "key", "full_outer")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from derlem.functions.keys import fold_key, pair_key
+from derlem.functions.dates_sql import moments
+from derlem.functions.keys import fold_key, is_blank, pair_key, strip
 from derlem.operators.orphans import find_orphans, orphan_report
-from derlem.operators.snapshots import snapshot_changes
+from derlem.operators.snapshots import latest_hashes, snapshot_changes
 from derlem.operators.timestamps import normalise_timestamps
 from derlem.session import table
 
@@ -44,12 +45,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_archive(spark: SparkSession, d: str) -> DataFrame:
-    """Changes whose earlier text was archived in mevzuat_dokuman_gecmis, and how many were not."""
-    ch = _changes(spark, d).filter("change_kind <> 'added'").withColumn("k", fold_key("mevzuat_id"))
-    kept = table(spark, d, "mevzuat_dokuman_gecmis").groupBy(fold_key("mevzuat_id").alias("k")).agg(F.countDistinct("metin_hash").alias("n_archived"))
-    return ch.join(kept, "k", "left").groupBy("snapshot_no", "change_kind").agg(
-        F.count("*").alias("n_changes"), F.count("n_archived").alias("n_with_archive"), F.coalesce(F.sum("n_archived"), F.lit(0)).alias("n_archived_texts")
-    )
+    """Changes and removals per snapshot, and how many of them have the text they replace in mevzuat_dokuman_gecmis.
+
+    A change counts whose earlier delivery had a text; it is archived if the archive holds that very text (surrounding blanks
+    apart) under the law's id, whatever the archive's own hash says.
+    """
+    ch = _changes(spark, d).filter("change_kind <> 'added'").select("snapshot_no", fold_key("mevzuat_id").alias("k"), "change_kind")
+    docs = table(spark, d, "mevzuat_dokuman")
+    rows = latest_hashes(docs, key="mevzuat_id", snapshot="snapshot_no", attributes=["ad"], content="metin", content_hash="metin_hash", time="cekim_zamani", tie="row_id")
+    # one number per delivery
+    steps = docs.filter("snapshot_no is not null").select("snapshot_no").distinct().withColumn("next", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))).filter("next is not null")
+    before = rows.join(F.broadcast(steps), F.col("snap") == F.col("snapshot_no")).select(F.col("next").alias("snapshot_no"), "k", F.col("r.trimmed").alias("h"))
+    kept = table(spark, d, "mevzuat_dokuman_gecmis").filter(~is_blank("mevzuat_id") & ~is_blank("metin")).select(fold_key("mevzuat_id").alias("k"), F.sha2(F.encode(strip("metin"), "utf-8"), 256).alias("h")).distinct().withColumn("kept", F.lit(1))
+    j = ch.join(before, ["snapshot_no", "k"], "left").join(kept, ["k", "h"], "left")
+    return j.groupBy("snapshot_no", "change_kind").agg(F.count("*").alias("n_changes"), F.count("h").alias("n_with_text"), F.count("kept").alias("n_archived"))
 
 
 def p2_log_check(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +127,14 @@ _P3 = (
     f"x AS (SELECT DISTINCT CASE {_key_sql('tablo')} WHEN 'documents_v2' THEN {_DOC('kayit_id', 'kaynak')} WHEN 'dedup_clusters' THEN concat('g', {_key_sql('kayit_id')}) END k FROM silinen_kayit WHERE kayit_id IS NOT NULL), "
     "o AS (SELECT src_table, ref_field, row_id, r.k, CASE WHEN p.k IS NULL AND x.k IS NOT NULL THEN 'deleted' WHEN p.k IS NULL THEN 'missing' WHEN p.c > r.c THEN 'late' END orphan_kind, coalesce(strftime(r.c, '%Y-%m'), '') period_ym FROM r LEFT JOIN p ON p.k = r.k LEFT JOIN x ON x.k = r.k) "
 )
+_DATES = " UNION ALL ".join(f"SELECT '{t}' src_table, row_id, {f} raw FROM {t}" for t, f in DATE_FIELDS.items())
+_ARCHIVE = (
+    f", g AS (SELECT DISTINCT {_key_sql('mevzuat_id')} k, sha256({strip_sql('metin')}) h FROM mevzuat_dokuman_gecmis WHERE {strip_sql('metin')} <> ''), c AS (SELECT m, coalesce(b.k, a.k) k, a.tr h, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.attrs <> b.attrs OR NOT ({_SAME}) THEN 'changed' END kind FROM a LEFT JOIN b USING (m, k)) "
+)
 SQL = {
+    "p1_found": f"WITH raw AS ({_DATES}), {moments('t', 'raw', 'raw', 'src_table, row_id')} SELECT src_table, row_id, strftime(utc, '%Y-%m-%dT%H:%M:%S.%fZ') utc_ts FROM t WHERE utc IS NOT NULL",
+    "p2_archive": _P2.rstrip() + _ARCHIVE + "SELECT m snapshot_no, kind change_kind, count(*) n_changes, count(c.h) n_with_text, count(g.h) n_archived FROM c LEFT JOIN g ON g.k = c.k AND g.h = c.h WHERE kind IS NOT NULL GROUP BY 1, 2",
+    "p2_log_check": _P2 + ", got AS (SELECT m n, count(*) FILTER (kind = 'changed') n_changed, count(*) FILTER (kind = 'added') n_added FROM j WHERE kind IS NOT NULL GROUP BY 1), log AS (SELECT snapshot_no n, sum(degisen) log_changed, sum(yeni) log_added FROM (SELECT DISTINCT snapshot_no, parti_no, tur, listelenen, degisen, yeni FROM mevzuat_guncelleme_log) GROUP BY 1) SELECT coalesce(got.n, log.n) snapshot_no, n_changed, n_added, log_changed, log_added FROM got FULL JOIN log ON got.n = log.n",
     "p2_found": _P2 + "SELECT m snapshot_no, id mevzuat_id, kind change_kind FROM j WHERE kind IS NOT NULL",
     "p3_found": _P3 + "SELECT src_table, ref_field, row_id, orphan_kind, period_ym FROM o WHERE orphan_kind IS NOT NULL",
     "p3_report": _P3 + "SELECT src_table, ref_field, orphan_kind, period_ym, count(*) n_refs, count(DISTINCT k) n_keys FROM o WHERE orphan_kind IS NOT NULL GROUP BY 1, 2, 3, 4",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def get_session(cores: int = 8, app: str = "derlem", **conf: str) -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
@@ -44,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints that every executor can read.
 
     Taken from ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary
-    folder of this machine is set once for the session.
+    folder of this machine is set once for the session and removed with it.
     """
     sc = spark.sparkContext
     got = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         got = tempfile.mkdtemp(prefix="derlem-")
+        atexit.register(shutil.rmtree, got, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(got)
     return got
