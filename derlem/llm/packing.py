@@ -28,13 +28,19 @@ WASTE = 0.02
 
 
 def lower_bound(sizes: np.ndarray, capacity: int, k_max: int = 24) -> int:
-    """Containers that any packing of ``sizes`` (each at most ``capacity``) needs at least.
+    """Containers that any packing of ``sizes`` (each at most ``capacity``) needs at least."""
+    return histogram_bound(np.bincount(sizes[sizes > 0], minlength=capacity + 1), capacity, k_max)
+
+
+def histogram_bound(counts: np.ndarray, capacity: int, k_max: int = 24) -> int:
+    """The same from the number of items of each size from 0 to ``capacity``.
 
     The greatest of the bounds of two families of dual feasible functions: one counts items above
     capacity - a as full and those below a as nothing, for every useful a; the other rounds
     sizes to multiples of capacity / k.
     """
-    h = np.bincount(sizes[sizes > 0], minlength=capacity + 1).astype(np.int64)
+    h = counts.astype(np.int64)
+    h[0] = 0
     if not h.any():
         return 0
     x = np.arange(capacity + 1, dtype=np.int64)
@@ -137,10 +143,24 @@ def pack(items: DataFrame, capacities: DataFrame, *, rounds: int = 3, per_partit
     return out
 
 
+def _bound_of(rows: pd.DataFrame) -> pd.DataFrame:
+    capacity = int(rows["capacity"].iloc[0])
+    counts = np.zeros(capacity + 1, np.int64)
+    np.add.at(counts, rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    return pd.DataFrame({"kap": [rows["kap"].iloc[0]], "bound": [histogram_bound(counts, capacity)]})
+
+
 def packing_report(packed: DataFrame) -> DataFrame:
-    """Per kind: containers, items, tokens, the whole-table lower bound by volume and the fill."""
+    """Per kind: containers, pieces, tokens, the certified lower bound over all items, the gap to it, and the fill.
+
+    The bound is that of the dual feasible functions over the whole table, from the number of pieces of each size: one row per
+    kind and size, at most as many as the capacity.
+    """
+    sizes = packed.groupBy("kap", "capacity", "size").agg(F.count("*").alias("n"))
+    bound = sizes.groupBy("kap").applyInPandas(_bound_of, "kap string, bound long")
     bins = packed.groupBy("kap", "capacity", "bin_id").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
-    return bins.groupBy("kap", "capacity").agg(
+    got = bins.groupBy("kap", "capacity").agg(
         F.count("*").alias("n_bins"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"),
         F.ceil(F.sum("used") / F.first("capacity")).alias("volume_bound"), (F.sum("used") / (F.count("*") * F.first("capacity"))).alias("fill"),
     )
+    return got.join(bound, "kap").withColumn("gap", F.col("n_bins") - F.col("bound"))

@@ -74,28 +74,31 @@ class Model:
     def _direction(self, x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
         h = self.hidden
         n, t_max = x.shape
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        out = np.empty((t_max, n, h), np.float32)
-        quarter, half, one = np.float32(0.25), np.float32(0.5), np.float32(1)
-        z = np.empty((n, 4 * h), np.float32)
+        # the slope and the middle of the clipped gates go into the look-ups once, not into every step
+        scale = np.repeat(np.array([0.25, 1], table.dtype), [3 * h, h])
+        table, u = table * scale + np.repeat(np.array([0.5, 0], table.dtype), [3 * h, h]), u * scale
+        kind = table.dtype
+        state, cell = np.zeros((n, h), kind), np.zeros((n, h), kind)
+        out = np.empty((t_max, n, h), kind)
+        one = kind.type(1)
+        low = np.repeat(np.array([0, -1], kind), [3 * h, h])
+        z, r = np.empty((n, 4 * h), kind), np.empty((n, 4 * h), kind)
+        columns = np.ascontiguousarray(x.T)
         for t in range(t_max):
             if keep is not None:
-                z = np.empty((n, 4 * h), np.float32)
-            np.take(table, x[:, t], axis=0, out=z, mode="clip")
-            z += state @ u
-            s, g = z[:, : 3 * h], z[:, 3 * h :]
-            s *= quarter
-            s += half
-            np.clip(s, 0, one, out=s)
-            np.clip(g, -one, one, out=g)
+                z = np.empty((n, 4 * h), kind)
+            np.take(table, columns[t], axis=0, out=z, mode="clip")
+            np.matmul(state, u, out=r)
+            np.add(z, r, out=z)
+            np.maximum(z, low, out=z)
+            np.minimum(z, one, out=z)
             before = cell
             cell = z[:, h : 2 * h] * cell
-            cell += z[:, :h] * g
-            tc = np.clip(cell, -one, one)
+            cell += z[:, :h] * z[:, 3 * h :]
+            tc = np.minimum(np.maximum(cell, -one), one)
             if keep is not None:
                 keep.append((z, before, tc, state, cell))
-            state = z[:, 2 * h : 3 * h] * tc
-            out[t] = state
+            state = np.multiply(z[:, 2 * h : 3 * h], tc, out=out[t])
         return out.transpose(1, 0, 2)
 
     def emissions(self, x: np.ndarray, n: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
@@ -111,37 +114,55 @@ class Model:
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
         out: list = [None] * len(seqs)
         a = self.p["a"]
+        # no path can gain by a transition more than this over staying outside of items
+        spare = max(0.0, float((a - a[0, 0]).max()))
         for k in range(0, len(order), batch):
-            part = order[k : k + batch]
-            x, n = pad([seqs[i] for i in part])
+            hold, live = [], []
             # states of a few hundred rows stay in the cache
-            e = np.concatenate([self.emissions(x[i : i + inner], n[i : i + inner]) for i in range(0, len(part), inner)])
-            t_max = x.shape[1]
-            back = np.zeros((t_max, len(part), K), np.uint8)
-            score = e[:, 0].copy()
-            for t in range(1, t_max):
-                best, arg = score[:, :1] + a[0], np.zeros((len(part), K), np.uint8)
-                for j in range(1, K):
-                    s = score[:, j : j + 1] + a[j]
-                    better = s > best
-                    best = np.where(better, s, best)
-                    arg[better] = j
-                back[t] = arg
-                live = (t < n)[:, None]
-                score = np.where(live, best + e[:, t], score)
-            last = score.argmax(1)
-            lab = np.zeros((len(part), t_max), np.uint8)
-            cur = last
-            rows = np.arange(len(part))
-            for t in range(t_max - 1, -1, -1):
-                live = t < n
-                lab[live, t] = cur[live]
-                if t:
-                    cur = np.where(live, back[t][rows, cur], cur)
-            for r, i in enumerate(part):
-                out[i] = lab[r, : n[r]]
+            for i in range(k, min(k + batch, len(order)), inner):
+                part = order[i : i + inner]
+                x, n = pad([seqs[j] for j in part])
+                e = self.emissions(x, n)
+                # where every other label is worse at every place, the best path is outside throughout
+                gain = (e[:, :, 1:].max(2) - e[:, :, 0] + spare > 0) & (np.arange(x.shape[1])[None, :] < n[:, None])
+                some = gain.any(1)
+                for r, j in enumerate(part):
+                    if not some[r]:
+                        out[j] = np.zeros(n[r], np.uint8)
+                    else:
+                        hold.append(e[r, : n[r]])
+                        live.append(j)
+            for j, lab in zip(live, self._viterbi(hold) if hold else []):
+                out[j] = lab
         return out
 
+    def _viterbi(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """The best path through the scores (length, label) of each input."""
+        a, n = self.p["a"], np.array([len(x) for x in parts])
+        t_max, rows = int(n.max()), np.arange(len(parts))
+        # labels first, so that each step works on whole rows of inputs
+        e = np.zeros((t_max, K, len(parts)), np.float32)
+        for r, x in enumerate(parts):
+            e[: len(x), :, r] = x
+        back = np.zeros((t_max, K, len(parts)), np.uint8)
+        score = e[0].copy()
+        for t in range(1, t_max):
+            new = np.empty_like(score)
+            for j in range(K):
+                cand = score + a[:, j : j + 1]
+                new[j] = cand.max(0)
+                back[t, j] = cand.argmax(0)
+            new += e[t]
+            score = np.where(t < n, new, score)
+        cur = score.argmax(0)
+        lab = np.zeros((len(parts), t_max), np.uint8)
+        for t in range(t_max - 1, -1, -1):
+            on = t < n
+            lab[on, t] = cur[on]
+            if t:
+                cur = np.where(on, back[t, cur, rows], cur)
+        return [lab[r, : n[r]] for r in rows]
+
     # -- training -------------------------------------------------------------------------
 
     def loss(self, seqs: list[np.ndarray], tags: list[np.ndarray]) -> tuple[float, dict]:

@@ -2,10 +2,12 @@
 
 Labelled spans come from a bounded sample of stretches (``MAX_STRETCHES``) of documents_v2. A
 teacher marks what is certain: numbers with right check digits, telephones, written-out e-mail
-addresses, addresses with a quarter or street, and names made of parts of the name list. In half of
+addresses, addresses with a quarter or street (from its name on, without a usual word before it), and
+names made of parts of the name list. In half of
 the stretches the names are exchanged for others that are put together from the list's parts or
 from random syllables, so that the model learns where and how names stand and not which they are.
-Some stretches are learned in capitals as well.
+In others an e-mail address, a telephone or an identity number is put between any two words, so that
+these are known apart from the sentences they came in. Some stretches are learned in capitals as well.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pathlib import Path
 
 import numpy as np
 
-from derlem.llm.pii import _EMAIL, _NUM, _UP, _digits, valid_id, windows
+from derlem.llm.pii import _EMAIL, _NUM, _UP, _digits, cover, plain, valid_id
 from derlem.llm.pii_model import LABELS, MODEL, Model, code
 
 MAX_STRETCHES = 40_000
+#: Windows without items per other window.
+PLAIN = 0.5
 _CAP = rf"[{_UP}][\w]+"
-_NAMES = re.compile(rf"{_CAP}(?:(?:-|,? +\*{{0,2}}|\n){_CAP}){{0,4}}")
+_NAMES = re.compile(rf"{_CAP}(?:(?:-|,? +\*{{0,2}}|,? ?\n){_CAP}){{0,4}}")
 _ROAD = r"(?:[Mm]ahalle(?:si)?|[Mm]ah\.|MAHALLESİ|MAH\.|Mh\.|[Ss]okak|[Ss]okağı|[Ss]ok\.|SOKAK|SOKAĞI|SOK\.|Sk\.|SK\.|[Cc]addesi|[Cc]ad\.|CADDESİ|CAD\.|Cd\.|CD\.|[Bb]ulvarı|BULVARI|Bulv\.|BULV\.|Blv\.|BLV\.)"
 _ADDRESS = re.compile(rf"(?:{_CAP}[ \n]){{1,2}}?{_ROAD}(?:[ \n,]+(?:(?:{_CAP}[ \n])|\d+\.[ \n])?{_ROAD})?[^;)]{{0,60}}?{_CAP}/[\n ]?{_CAP}|(?:{_CAP}[ \n]){{1,2}}?{_ROAD}(?:[ \n,]+(?:(?:{_CAP}[ \n])|\d+\.[ \n])?{_ROAD})?[^;)]{{0,40}}?\d+(?:/\d+)?")
 ORDINARY = {"deniz", "yıldız", "barış", "toprak", "güneş"}
@@ -75,8 +79,9 @@ class Names:
         return w[0].replace("i", "İ").replace("ı", "I").upper() + w[1:]
 
 
-def teach(text: str, names: Names) -> np.ndarray:
-    """A label per character."""
+def teach(text: str, names: Names, usual: frozenset[str] = frozenset()) -> np.ndarray:
+    """A label per character. ``usual``: words that the texts write in small letters too, so that at the beginning of a
+    sentence they are no part of an address's name."""
     lab = np.zeros(len(text), np.uint8)
 
     def put(a: int, b: int, kind: str) -> None:
@@ -96,7 +101,7 @@ def teach(text: str, names: Names) -> np.ndarray:
     for m in _ADDRESS.finditer(text):
         a, b = m.span()
         first = re.match(rf"{_CAP}[ \n](?={_CAP}[ \n]{_ROAD})", text[a:])
-        if first and names.kind(first.group().strip()):
+        if first and (names.kind(first.group().strip()) or low(first.group().strip()) in usual):
             a += first.end()
         put(a, b, "address")
     for m in _NAMES.finditer(text):
@@ -140,6 +145,42 @@ def telephone(r: random.Random) -> str:
     return head + area + r.choice([sep, " ", sep]) + sep.join(d(n) for n in rest)
 
 
+def address_of_mail(r: random.Random) -> str:
+    """An e-mail address in one of many writings, hidden ones too."""
+    word = lambda a, b: "".join(r.choice("abcçdefgğhıijklmnoöprsştuüvyz"[:: r.choice([1, 1, 2])]) for _ in range(r.randint(a, b)))
+    local = r.choice([word(3, 10), f"{word(2, 8)}.{word(2, 9)}", f"{word(1, 8)}_{r.randint(0, 99)}", f"{word(3, 8)}{r.randint(0, 999)}", f"{word(3, 8)}+{word(2, 5)}{r.randint(0, 9)}", f"av.{word(4, 9)}"])
+    end = r.choice(["com", "com.tr", "net", "org", "org.tr", "gov.tr", "edu.tr", "example", "test", "invalid"])
+    at = r.choice(["@"] * 6 + [" @ ", "[at]", "(at)", " [at] ", " (at) "])
+    dot = r.choice([".", "[nokta]", "(nokta)", " [dot] "]) if at not in ("@", " @ ") and r.random() < 0.5 else "."
+    if r.random() < 0.05:
+        at, dot = " at ", " nokta "
+    mail = local + at + r.choice([word(3, 9), f"{word(3, 6)}-{word(3, 6)}", f"{word(3, 7)}.{word(3, 6)}"]).replace(".", dot) + dot + end.replace(".", dot)
+    return mail.upper() if r.random() < 0.08 else mail
+
+
+def identity(r: random.Random) -> str:
+    """An identity number with right check digits, in one of several writings."""
+    d = [r.randint(1, 9), *(r.randint(0, 9) for _ in range(8))]
+    d.append((sum(d[0:9:2]) * 7 - sum(d[1:8:2])) % 10)
+    d.append(sum(d) % 10)
+    n = "".join(map(str, d))
+    return r.choice([n, n, f"{n[:3]} {n[3:6]} {n[6:9]} {n[9:]}", f"{n[:3]}-{n[3:6]}-{n[6:9]}-{n[9:]}", f"{n[:5]} {n[5:]}"])
+
+
+def transplant(text: str, lab: np.ndarray, r: random.Random) -> tuple[str, np.ndarray]:
+    """The window with an item put between two of its words, so that the item is learned apart from the sentences it came in."""
+    gaps = [m.start() for m in re.finditer(r" ", text) if not lab[m.start() : m.start() + 2].any()]
+    if not gaps:
+        return text, lab
+    at = r.choice(gaps) + 1
+    kind, new = r.choice([("email", address_of_mail(r)), ("email", address_of_mail(r)), ("phone", telephone(r)), ("id_no", identity(r))])
+    before, after = r.choice([("", " "), ("", " "), ("(", ") "), ("<", "> "), ("", ", "), ("", ". "), (": ", " "), ("**", "** ")])
+    first = len(new) - len(new.lstrip("+("))
+    own = np.zeros(len(before) + len(new) + len(after), np.uint8)
+    own[len(before) + first : len(before) + len(new)] = LABELS.index(kind)
+    return text[:at] + before + new + after + text[at:], np.concatenate([lab[:at], own, lab[at:]])
+
+
 def renumber(text: str, lab: np.ndarray, r: random.Random) -> tuple[str, np.ndarray]:
     """The stretch with other telephone numbers in the places of its own."""
     k = LABELS.index("phone")
@@ -156,35 +197,50 @@ def renumber(text: str, lab: np.ndarray, r: random.Random) -> tuple[str, np.ndar
     return "".join([*out, text[at:]]), np.concatenate([*labs, lab[at:]])
 
 
+def usual_words(texts: list[str], least: int = 3) -> frozenset[str]:
+    """Words that stand in small letters at least ``least`` times."""
+    n = Counter(w for t in texts for w in re.findall(r"\b[a-zçğıöşüâîû]{3,}\b", t))
+    return frozenset(w for w, k in n.items() if k >= least)
+
+
 def examples(texts: list[str], names: Names, seed: int = 3) -> tuple[list[str], list[np.ndarray]]:
     r = random.Random(seed)
+    texts = list(map(plain, texts))
+    usual = usual_words(texts)
     seen, xs, ys = set(), [], []
-    plain = 0
+    empty = 0
     for t in texts:
-        for a, b in windows(t):
-            s = t[a : min(b, a + 220)]
+        whole = teach(t, names, usual)
+        # windows that begin at any place, so that the model learns to read on from the middle of a word
+        shift = r.randrange(64)
+        for a, b in cover(len(t)):
+            a, b = (a, b) if a == 0 else (a - shift, b - shift)
+            s, lab = t[a:b], whole[a:b]
             shape = re.sub(r"\d", "0", s)
             if shape in seen:
                 continue
             seen.add(shape)
-            lab = teach(s, names)
             if not lab.any():
-                # stretches without items are many and alike
-                if plain > 0.6 * len(xs) + 50:
+                # windows without items are many and alike
+                if empty > PLAIN * len(xs) + 50:
                     continue
-                plain += 1
+                empty += 1
             xs.append(s)
             ys.append(lab)
             if (lab == LABELS.index("person")).any() and r.random() < 0.5:
                 s2, l2 = exchange(s, lab, names, r)
                 xs.append(s2)
                 ys.append(l2)
-            if (lab == LABELS.index("phone")).any():
+            if (lab == LABELS.index("phone")).any() and r.random() < 0.5:
                 s2, l2 = renumber(s, lab, r)
                 xs.append(s2)
                 ys.append(l2)
+            if r.random() < 0.35:
+                s2, l2 = transplant(s, lab, r)
+                xs.append(s2)
+                ys.append(l2)
             up = upper(s)
-            if r.random() < (0.08 if lab.any() else 0.2) and len(up) == len(s):
+            if r.random() < (0.08 if lab.any() else 0.1) and len(up) == len(s):
                 xs.append(up)
                 ys.append(lab)
             if len(xs) >= MAX_STRETCHES:
@@ -214,7 +270,7 @@ def main(folder: str, seconds: float = 240) -> None:
     print(len(xs), "stretches", sum(map(len, xs)), "characters", Counter(LABELS[k] for y in ys for k in set(y.tolist())), flush=True)
     hold = len(xs) // 10
     model = Model()
-    model.fit([code(x) for x in xs[hold:]], [y.astype(np.int64) for y in ys[hold:]], epochs=14, seconds=seconds, rate=0.015, log=lambda s: print(s, flush=True))
+    model.fit([code(x) for x in xs[hold:]], [y.astype(np.int64) for y in ys[hold:]], epochs=12, seconds=seconds, rate=0.015, log=lambda s: print(s, flush=True))
     print(score(model, xs[:hold], ys[:hold]))
     model.save(MODEL)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from derlem.functions.dates_sql import moments
 from derlem.functions.keys import effective_text, fold_key, strip
 from derlem.llm import lookalikes, neardup, packing, pii, splitting, survivors, tokens
 from derlem.session import spread, table
@@ -123,7 +124,23 @@ _WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 _STRIP = lambda c: f"regexp_replace({c}, '^{_WS}|{_WS}$', '', 'g')"
 _TEXT = f"CASE WHEN coalesce({_STRIP('full_text')}, '') <> '' THEN full_text ELSE markdown END"
 _LIMIT = "(SELECT max_len FROM parca_sinir WHERE lower(trim(tablo)) = '{}' LIMIT 1)"
+_KEY = lambda c: f"lower({_STRIP(c)})"
+_STATE = f"CASE WHEN {_KEY('st')} IN ('full_text', 'html_markdown') AND n2 < 50 THEN 4 ELSE coalesce(list_position(['full_text', 'html_markdown', 'pdf_link_only', 'metadata_only', 'unavailable'], {_KEY('st')}), 6) END"
+_FIELD = " UNION ALL ".join(f"SELECT cluster_id, '{f}' field_name, id, src, state, n, retrieved_at FROM o WHERE regexp_matches({f}, '[\\p{{L}}\\p{{N}}]')" + (" AND utc IS NOT NULL" if f == "decision_date" else "") for f in survivors.FIELDS)
+_P4 = (
+    f"WITH c AS (SELECT {_KEY('cluster_id')} ck, min({_STRIP('cluster_id')}) cluster_id FROM dedup_clusters WHERE cluster_id IS NOT NULL GROUP BY 1), m AS (SELECT DISTINCT {_KEY('cluster_id')} ck, {_KEY('document_id')} d, coalesce({_KEY('source')}, '') s FROM dedup_members WHERE cluster_id IS NOT NULL AND document_id IS NOT NULL), "
+    f"{moments('dt', 'documents_v2', 'decision_date', 'row_id')}, r AS (SELECT {_KEY('document_id')} d, coalesce({_KEY('source')}, '') s, {_STRIP('document_id')} id, {_STRIP('source')} src, {', '.join(survivors.FIELDS)}, retrieved_at, content_status st, length(coalesce({_STRIP(f'regexp_replace({_TEXT}, {chr(39)}{_WS}{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '')) n, length(coalesce({_STRIP(_TEXT)}, '')) n2, utc FROM documents_v2 JOIN dt USING (row_id) WHERE document_id IS NOT NULL), "
+    f"j AS (SELECT c.cluster_id, r.*, {_STATE} state FROM m JOIN c USING (ck) JOIN r USING (d, s)), o AS (SELECT * FROM j WHERE cluster_id IN (SELECT cluster_id FROM j GROUP BY 1 HAVING count(DISTINCT (d, s)) > 1)), f AS ({_FIELD}) "
+    "SELECT cluster_id, field_name, id document_id, src source FROM f QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY state, n DESC, retrieved_at DESC NULLS LAST, id, src) = 1"
+)
+# brute force over all runs of three words
+_P7 = (
+    f"WITH t AS (SELECT DISTINCT {_STRIP('document_id')} id, regexp_extract_all(lower(replace({_TEXT}, 'İ', 'i' || chr(775))), '[\\p{{L}}\\p{{N}}]+') w FROM documents_v2 WHERE document_id IS NOT NULL), r AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) h FROM (SELECT id, w, unnest(range(1, len(w) - 1)) i FROM t WHERE len(w) >= 30)), n AS (SELECT id, count(*) n FROM r GROUP BY 1), "
+    "c AS (SELECT a.id x, b.id y, count(*) k FROM r a JOIN r b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2) SELECT x doc_a, y doc_b FROM c JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE k >= 0.6 * (a.n + b.n - k)"
+)
 SQL = {
+    "p4_found": _P4,
+    "p7_found": _P7,
     "p5_found": f"SELECT 'documents_v2' src_table, min({_STRIP('document_id')}) item_key FROM documents_v2 WHERE document_id IS NOT NULL AND length({_STRIP(_TEXT)}) > {_LIMIT.format('documents_v2')} GROUP BY lower({_STRIP('document_id')}) "
     f"UNION ALL SELECT 'mevzuat_madde', min({_STRIP('mevzuat_id')} || '|' || sira) FROM mevzuat_madde WHERE length({_STRIP('metin')}) > {_LIMIT.format('mevzuat_madde')} GROUP BY lower({_STRIP('mevzuat_id')} || '|' || sira)"
 }

@@ -2,8 +2,10 @@
 
 A text above the limit is cut at the strongest boundary near its middle (paragraph, then line,
 sentence, word, any character that is not inside a combining sequence), and its halves again while they exceed the limit less
-the overlap. Afterwards every piece but the first is extended to the left by the overlap. Pieces
-cover the text without gaps, and without overlap they concatenate to it.
+the overlap. Afterwards every piece but the first is extended to the left by the overlap, or, where that
+would begin inside a word, from the next word on. Pieces cover the text without gaps, and without overlap
+they concatenate to it. A full stop behind a number, an initial or an abbreviation, or before a small
+letter, ends no sentence.
 
 Defined results: null, blank and short texts are one piece (or none with ``only_long``); the
 lengths count code points of the text without surrounding white space; a text without any
@@ -25,6 +27,29 @@ from derlem.functions.keys import BLANKS
 _GAP = re.compile(r"\s+")
 _ENDS = ".!?…:;"
 _CLOSERS = "\"')]»”’*_"
+#: Abbreviations of more than two letters that a full stop follows, in small letters.
+_SHORT = {"prof", "doç", "yrd", "uzm", "öğr", "alm", "bkz", "sok", "cad", "mah", "bul", "bulv", "apt", "tel", "müh", "mim", "şti", "ltd", "san", "tic", "esas", "karş", "hzl", "çev", "ing", "fak", "üni", "dan", "yarg", "yön", "kan"}
+_WORD_BEFORE = re.compile(r"(\w+)$")
+
+
+def _full_stop(text: str, p: int, after: int) -> bool:
+    """Whether the full stop at ``p`` ends a sentence that the next one follows at ``after``."""
+    word = _WORD_BEFORE.search(text, max(0, p - 24), p)
+    if word and (len(word[1]) < 3 or word[1].isdigit() or word[1].lower() in _SHORT or set(word[1]) <= set("IVXLCDM")):
+        return False
+    return not (after < len(text) and text[after].islower())
+
+
+def _begin(text: str, low: int, high: int) -> int:
+    """Where an overlap that may reach from ``low`` to ``high`` begins: with a word, and never inside a combined character."""
+    if low == 0 or text[low - 1].isspace():
+        return low
+    gap = _GAP.search(text, low, high)
+    if gap and gap.end() < high:
+        return gap.end()
+    while low < high and (unicodedata.combining(text[low]) or text[low] in "\u200d\ufe0f\n"):
+        low += 1
+    return low
 
 
 def boundaries(text: str) -> list[list[int]]:
@@ -39,7 +64,7 @@ def boundaries(text: str) -> list[list[int]]:
             p = a - 1
             while p > 0 and text[p] in _CLOSERS:
                 p -= 1
-            rank = 2 if p >= 0 and text[p] in _ENDS[:4] else 3
+            rank = 2 if p >= 0 and text[p] in _ENDS[:4] and (text[p] != "." or _full_stop(text, p, b)) else 3
         found[rank].append(b)
     return found
 
@@ -85,7 +110,7 @@ def bisect(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         todo += [(a, at), (at, b)]
     starts = [0, *sorted(cuts)]
     ends = [*starts[1:], n]
-    return [(max(0, s - overlap) if i else 0, e) for i, (s, e) in enumerate(zip(starts, ends))]
+    return [(_begin(text, max(0, s - overlap), s) if i and overlap else s, e) for i, (s, e) in enumerate(zip(starts, ends))]
 
 
 def split_long(df: DataFrame, keys: list[str], text: str, limit: str, overlap: str, *, with_text: bool = True, only_long: bool = True) -> DataFrame:

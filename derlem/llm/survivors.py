@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from derlem.functions.keys import BLANKS, effective_text, fold_key, pair_key, strip
+from derlem.operators.orphans import split_by_filter
 from derlem.operators.timestamps import add_readings
 from derlem.session import cut
 
@@ -51,21 +52,22 @@ def trust_order(doc: str, source: str) -> Column:
 
 
 def group_records(clusters: DataFrame, members: DataFrame, docs: DataFrame, fields: tuple[str, ...] = FIELDS, *, values: bool = False) -> DataFrame:
-    """One narrow row per delivered record of a group: cluster_id, key, order and, per field, the hash of its value.
+    """One narrow row per delivered record of a group: cluster_id, key, order and, per field, whether it has a value.
 
-    Texts are measured and hashed before the join and do not move. Only the dates of members are read. With ``values`` the
-    fields come as structs (h, v) with the value itself beside its hash; a full text's is its SHA-256.
+    Texts are measured before the join and do not move. Only the dates of members are read. With ``values`` the fields come as
+    structs (h, v) with the value, a full text's as its SHA-256, beside the hash of the form in which values compare.
     """
     number = lambda f: F.nullif(F.regexp_extract(f, r"(\d{4}\s*/\s*\d+)", 1), F.lit(""))  # noqa: E731  a case number, whatever stands around it
     value = lambda f: F.regexp_replace(F.lower(F.coalesce(number(f), strip(f)) if f in ("esas_no", "karar_no") else strip(f)), f"[{BLANKS}]+", "" if f in ("esas_no", "karar_no") else " ")
     has = lambda f: F.col(f).rlike(r"[\p{L}\p{N}]")
     shown = lambda f: F.sha2(F.encode(strip(f), "utf-8"), 256) if f == "full_text" else strip(f)
-    cell = lambda f: F.struct(F.xxhash64(value(f)).alias("h"), shown(f).alias("v")) if values else F.xxhash64(value(f))
-    rec = docs.filter("document_id is not null").select(
-        pair_key("document_id", "source").alias("key"), trust_order("document_id", "source").alias("order"),
+    cell = lambda f: F.struct(F.xxhash64(value(f)).alias("h"), shown(f).alias("v")) if values else F.lit(True)
+    m = members.filter("cluster_id is not null and document_id is not null").select(fold_key("cluster_id").alias("ck"), pair_key("document_id", "source").alias("key")).distinct()
+    # a filter of bounded size leaves out the records that are in no group before their texts are measured
+    rec = split_by_filter(docs.filter("document_id is not null").withColumn("_key", pair_key("document_id", "source")), m.select(F.col("key").alias("_key")), "_key").filter("maybe").select(
+        F.col("_key").alias("key"), trust_order("document_id", "source").alias("order"),
         *[F.col(f) if f == "decision_date" else F.when(has(f), cell(f)).alias(f) for f in fields],
     )
-    m = members.filter("cluster_id is not null and document_id is not null").select(fold_key("cluster_id").alias("ck"), pair_key("document_id", "source").alias("key")).distinct()
     c = clusters.filter("cluster_id is not null").groupBy(fold_key("cluster_id").alias("ck")).agg(F.min(strip("cluster_id")).alias("cluster_id"))
     got = m.join(c, "ck").join(rec, "key").drop("ck")
     if "decision_date" not in fields:
@@ -73,7 +75,7 @@ def group_records(clusters: DataFrame, members: DataFrame, docs: DataFrame, fiel
     # the day in Istanbul is the date's value, whatever its writing
     dated = add_readings(got, "decision_date")
     moment = F.xxhash64(F.from_utc_timestamp(F.timestamp_micros(F.element_at("readings", 1)["micros"]), "Europe/Istanbul").cast("date").cast("string"))
-    day = F.struct(moment.alias("h"), strip("decision_date").alias("v")) if values else moment
+    day = F.struct(moment.alias("h"), strip("decision_date").alias("v")) if values else F.lit(True)
     return dated.withColumn("decision_date", F.when(has("decision_date") & (F.size("readings") > 0), day)).drop("readings")
 
 

@@ -8,7 +8,7 @@ from derlem.llm.neardup import LEAF, RADIUS, VantageTree, jaccard, runs, shard_p
 from derlem.llm.packing import best_fit_decreasing, lower_bound
 from derlem.llm.pii import check, cover, find_all, redact, stitch, valid_id
 from derlem.llm.pii_model import Model
-from derlem.llm.splitting import bisect
+from derlem.llm.splitting import bisect, boundaries
 from derlem.llm.tokens import codec, first_sure, last_sure
 
 
@@ -65,11 +65,20 @@ def test_bisect():
         assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(e - s <= limit for s, e in spans)
         ends = [e for _, e in spans]
         assert ends == sorted(ends) and "".join(t[a:b] for a, b in zip([0, *ends], ends)) == t
-        assert all(s == max(0, e - over) for (s, _), (_, e) in zip(spans[1:], spans))
+        # an overlap has at most the length specified and begins with a word where there is one to begin with
+        for (s, _), (_, e) in zip(spans[1:], spans):
+            assert max(0, e - over) <= s <= e
+            assert s == max(0, e - over) or not any(t[i - 1].isspace() and not t[i].isspace() for i in range(max(1, e - over + 1), s))
     para = "Bir cümle burada.\n\n" + "İkinci bölüm burada biter."
     assert para[: bisect(para, 40, 0)[0][1]] == "Bir cümle burada.\n\n"
     with pytest.raises(ValueError):
         bisect("abc", 2, 2)
+    # ordinals, initials and abbreviations end no sentence
+    for t in ("Yargıtay 3. Hukuk Dairesi kararı", "vekili Av. Ali geldi", "uyarınca m. 12 gereği", "Prof. Dr. Kaya"):
+        assert boundaries(t)[2] == []
+    assert boundaries("Karar verildi. Dosya kapandı. 12 gün")[2] == [15, 30]
+    t = "uzun kelimeler burada " * 9
+    assert all(a == 0 or t[a - 1] == " " for a, _ in bisect(t.strip(), 60, 15))
 
 
 def test_vantage_tree_is_exact():
@@ -102,7 +111,12 @@ def test_fold_and_repair():
     assert L.fold("ｅv​ ﬁrma\r\nso­n é") == "ev firma\nson é"
     assert L.fold("²") == "²" and L.fold("a  b") == "a  b" and L.fold("") == ""
     assert L.repair("ΤL") == "TL" and L.repair("іѕе") == "ise" and L.repair("суда") is None and L.repair("ise") is None
-    assert L.dominant("ΤLa") == "LATIN" and L.dominant("12") == ""
+    assert L.dominant("ΤLa") == "LATIN" and L.dominant("12") == "" and L.dominant("іѕе") == "LATIN"
+    # a Latin letter in a Cyrillic or a Greek word goes, not the word's own
+    for bad, good, script in (("Мoсква", "Москва", "CYRILLIC"), ("президeнт", "президент", "CYRILLIC"), ("Κaλημέρα", "Καλημέρα", "GREEK"), ("kіra", "kira", "LATIN")):
+        assert L.dominant(bad) == script and L.repair(bad) == good and L.repair(good) is None
+    # letters of two scripts that look like no others: nothing can be said
+    assert L.repair("жaλ") is None and L.repair("μm") is None
     assert L.candidates("Решение ΤL ve іѕе") == {"ΤL": "TL", "іѕе": "ise"}
     assert L.apply_repairs("ΤL ΤLx", {"ΤL": "TL"}) == "TL ΤLx"
 
@@ -146,6 +160,15 @@ def test_pii_pieces():
     t = "No: 100-000-001-46 olan"
     assert check(t, 4, 18, 3) == [(4, 18, 3)] and check("No: 100-000-001-47 olan", 4, 18, 3) == []
     assert find_all([None, "", "düz metin"]) == [[], [], []]
+    # odd blanks and hyphens keep their places
+    t = "İletişim için GSM 0590\xa0214\xa007\xa050 bildirilmiştir."
+    assert find_all([t]) == [[(18, 32, "phone")]] and find_all([t.replace("\xa0", "‑")]) == [[(18, 32, "phone")]]
+    # an address begins with the name, not with the word of the sentence before it
+    t = "Tebligat Doğanşan mah. 443. sokak no 150 Derepınarca/Ortakentli adresine çıkarılmış, bila dönmüştür."
+    assert [(a, k) for a, _, k in find_all([t])[0]] == [(9, "address")]
+    # a text far longer than a window, with an item in every part of it
+    t = "Dosya incelendi. Davacı Nurmiray Alagaltaş vekili duruşmada hazır bulunmuştur. " * 40
+    assert [k for *_, k in find_all([t])[0]] == ["person"] * 40
     assert redact("a b c", [(2, 3, "person")]) == "a [PERSON] c"
 
 
