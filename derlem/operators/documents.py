@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -41,54 +42,49 @@ def html_to_text(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(p.lines))
 
 
-def paragraphs(text: str) -> list[str]:
-    """Blocks between blank lines; if there is one only, lines; stripped and not empty."""
-    for sep in (r"\n\s*\n+", r"\n"):
-        parts = [p.strip() for p in re.split(sep, text)]
-        parts = [p for p in parts if p]
-        if len(parts) > 1:
-            return parts
-    return [text] if text else []
+def paragraph_spans(text: str) -> list[tuple[int, int]]:
+    """Offsets of the paragraphs: what blank lines part, or, in a text without any, what line ends part; white space around them is none of them."""
+    gap = re.compile(r"\n\s*\n" if re.search(r"\S\s*\n\s*\n\s*\S", text) else r"\n")
+    edges = [(m.start(), m.end()) for m in gap.finditer(text)]
+    raw = zip([0, *(e for _, e in edges)], [*(s for s, _ in edges), len(text)])
+    tight = ((a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in raw)
+    return [(a, b) for a, b in tight if a < b]
 
 
-def chunk(text: str | None, size: int = 1600, overlap: int = 200) -> list[str]:
-    """Chunks that gather whole paragraphs up to ``size``; each begins with the end of the one before.
+def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Offsets of the chunks of a text, each at most ``size`` long.
 
-    A paragraph above the size is cut every ``size - overlap`` characters; its pieces continue each
-    other without a break. The carried-over tail fits into what the next unit leaves free, and
-    starts with a whole word where a new paragraph follows.
+    The places where a chunk may begin are fixed first: the beginnings of paragraphs and, in a paragraph above the size, every
+    ``size - overlap`` characters. A chunk reaches from one of them to the last end that fits; then it takes in what the chunk
+    before ends with, up to ``overlap`` characters and the size, from a word on unless it goes on inside a paragraph.
     """
+    step = size - overlap
+    ends = {}  # where a unit may begin -> (its end, whether it opens a paragraph)
+    for a, b in paragraph_spans(text):
+        ends |= {p: (min(p + step, b), p == a) for p in range(a, b, step)} if b - a > size else {a: (b, True)}
+    begins = sorted(ends)
+    cuts, i = [], 0
+    while i < len(begins):
+        reach = bisect_right(begins, begins[i] + size)
+        j = max((k for k in range(i, reach) if ends[begins[k]][0] <= begins[i] + size), default=i)
+        cuts.append((begins[i], ends[begins[j]][0]))
+        i = j + 1
+    out = cuts[:1]
+    for a, b in cuts[1:]:
+        low = max(a - overlap, b - size, 0)
+        word = re.compile(r"(?<=\s)\S").search(text, low, a) if ends[a][1] and low and not text[low - 1].isspace() else None
+        out.append((word.start() if word else low, b))
+    return out
+
+
+def chunk(text: str | None, size: int = 1600, overlap: int = 200) -> list[str]:
+    """The chunks of a text without the white space around it, as they stand in it; a blank text has none."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and the overlap at least 0 and below it")
     text = (text or "").strip()
-    if not text:
-        return []
     if len(text) <= size:
-        return [text]
-    units: list[tuple[str, bool]] = []  # (unit, begins a paragraph)
-    step = size - overlap
-    for p in paragraphs(text):
-        if len(p) <= size:
-            units.append((p, True))
-        else:
-            units += [(p[i : i + step], i == 0) for i in range(0, len(p), step)]
-    out: list[str] = []
-    buffer = ""
-    for unit, fresh in units:
-        glue = "\n\n" if fresh else ""
-        if not buffer:
-            buffer = unit
-        elif len(buffer) + len(glue) + len(unit) <= size:
-            buffer += glue + unit
-        else:
-            out.append(buffer)
-            room = min(overlap, size - len(unit) - len(glue))
-            tail = buffer[-room:] if room > 0 else ""
-            space = tail.find(" ")
-            if fresh and 0 <= space < len(tail) - 1:
-                tail = tail[space + 1 :]
-            buffer = tail + glue + unit if tail else unit
-    return [*out, buffer] if buffer else out
+        return [text] if text else []
+    return [text[a:b] for a, b in chunk_spans(text, size, overlap)]
 
 
 def pages(text: str | None, limit: int = 40_000) -> list[str]:

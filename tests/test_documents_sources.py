@@ -24,7 +24,19 @@ def test_chunks():
         over = r.randint(0, size - 1)
         got = D.chunk(t, size, over)
         assert all(len(c) <= size for c in got) and got == D.chunk(t, size, over)
-        assert {w for w in t.split() if len(w) <= 8} <= set(" ".join(got).replace("\n", " ").split()) or size < 12 or any(len(p) > size for p in D.paragraphs(t.strip()))
+        assert {w for w in t.split() if len(w) <= 8} <= set(" ".join(got).replace("\n", " ").split()) or size < 12 or any(b - a > size for a, b in D.paragraph_spans(t.strip()))
+        t = t.strip()
+        if len(t) > size:
+            spans = D.chunk_spans(t, size, over)
+            seen = set()
+            for a, b in spans:
+                seen |= set(range(a, b))
+            # nothing but white space lies outside, and no two chunks share more than the overlap
+            assert all(t[i].isspace() for i in set(range(len(t))) - seen)
+            assert all(0 <= e - s <= over or e <= s for (s, _), (_, e) in zip(spans[1:], spans))
+    para = "\n\n".join(f"{i}. paragraf burada " + "söz " * 20 for i in range(9))
+    assert all(a == 0 or para[a - 1].isspace() for a, _ in D.chunk_spans(para, 300, 40))
+    assert all(para[b:].lstrip(" ").startswith("\n\n") or not para[b:].strip() for _, b in D.chunk_spans(para, 300, 40))
     assert D.chunk(None) == [] and D.chunk(" ") == [] and D.chunk("kısa") == ["kısa"]
     assert D.chunk("a" * 10, 4, 1) == ["aaa", "aaa", "aaa", "a"] or "".join(D.chunk("abcdefghij", 4, 0)) == "abcdefghij"
     with pytest.raises(ValueError):
