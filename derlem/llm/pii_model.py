@@ -109,51 +109,59 @@ class Model:
         self._last = (hf, hb, flip)
         return hf @ p["wf"] + hb @ p["wb"] + p["b"]
 
-    def decode(self, seqs: list[np.ndarray], batch: int = 2048, inner: int = 256) -> list[np.ndarray]:
+    def scores(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The emissions (label, position, row), laid out for whole-array steps; ``x`` and ``n`` as from ``pad``."""
+        p, h = self.p, self.hidden
+        rows, t_max = x.shape
+        flip = _flip(n, t_max)
+        hf = self._direction(x, p["tf"], p["uf"]).transpose(1, 0, 2).reshape(-1, h)
+        hb = self._direction(np.take_along_axis(x, flip, 1), p["tb"], p["ub"]).transpose(1, 0, 2).reshape(-1, h)
+        # back in reading order: whole states move, not single numbers
+        hb = np.take(hb, (flip.T * rows + np.arange(rows)).ravel(), axis=0)
+        return (p["wf"].T @ hf.T + p["wb"].T @ hb.T + p["b"][:, None]).reshape(K, t_max, rows)
+
+    def decode(self, seqs: list[np.ndarray], batch: int = 16_384, inner: int = 512) -> list[np.ndarray]:
         """The best label sequence of each input under the CRF."""
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
         out: list = [None] * len(seqs)
         a = self.p["a"]
-        # no path can gain by a transition more than this over staying outside of items
-        spare = max(0.0, float((a - a[0, 0]).max()))
+        # a run of L labels inside an item has L + 1 transitions, at most two for each label
+        spare = 2 * max(0.0, float((a - a[0, 0]).max()))
         for k in range(0, len(order), batch):
             hold, live = [], []
             # states of a few hundred rows stay in the cache
             for i in range(k, min(k + batch, len(order)), inner):
                 part = order[i : i + inner]
                 x, n = pad([seqs[j] for j in part])
-                e = self.emissions(x, n)
+                e = self.scores(x, n)
                 # where every other label is worse at every place, the best path is outside throughout
-                gain = (e[:, :, 1:].max(2) - e[:, :, 0] + spare > 0) & (np.arange(x.shape[1])[None, :] < n[:, None])
-                some = gain.any(1)
+                gain = (e[1:].max(0) - e[0] + spare > 0) & (np.arange(x.shape[1])[:, None] < n)
+                some = gain.any(0)
                 for r, j in enumerate(part):
-                    if not some[r]:
-                        out[j] = np.zeros(n[r], np.uint8)
-                    else:
-                        hold.append(e[r, : n[r]])
+                    if some[r]:
+                        hold.append(e[:, : n[r], r])
                         live.append(j)
+                    else:
+                        out[j] = np.zeros(n[r], np.uint8)
             for j, lab in zip(live, self._viterbi(hold) if hold else []):
                 out[j] = lab
         return out
 
     def _viterbi(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """The best path through the scores (length, label) of each input."""
-        a, n = self.p["a"], np.array([len(x) for x in parts])
+        """The best path through the scores (label, length) of each input."""
+        a, n = self.p["a"], np.array([x.shape[1] for x in parts])
         t_max, rows = int(n.max()), np.arange(len(parts))
         # labels first, so that each step works on whole rows of inputs
         e = np.zeros((t_max, K, len(parts)), np.float32)
         for r, x in enumerate(parts):
-            e[: len(x), :, r] = x
+            e[: x.shape[1], :, r] = x.T
         back = np.zeros((t_max, K, len(parts)), np.uint8)
-        score = e[0].copy()
+        score, arg = e[0].copy(), np.empty((K, len(parts)), np.intp)
         for t in range(1, t_max):
-            new = np.empty_like(score)
-            for j in range(K):
-                cand = score + a[:, j : j + 1]
-                new[j] = cand.max(0)
-                back[t, j] = cand.argmax(0)
-            new += e[t]
-            score = np.where(t < n, new, score)
+            cand = score[:, None, :] + a[:, :, None]
+            cand.argmax(0, out=arg)
+            back[t] = arg
+            score = np.where(t < n, cand.max(0) + e[t], score)
         cur = score.argmax(0)
         lab = np.zeros((len(parts), t_max), np.uint8)
         for t in range(t_max - 1, -1, -1):
