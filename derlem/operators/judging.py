@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derlem.functions.text import number_key
@@ -43,6 +43,18 @@ def enrich_status(df: DataFrame) -> DataFrame:
     return df.withColumns({"availability": pick(0), "text_confidence": pick(1)})
 
 
+def preference(source: str, preferred: list[str]) -> Column:
+    """The place of a source among the preferred ones; all others come after them."""
+    at = F.array_position(F.array(*map(F.lit, preferred)), F.col(source))
+    return F.when(at > 0, at).otherwise(F.lit(2**31))
+
+
+def route(sources: DataFrame, name: str, caps: str, wanted: list[str], preferred: list[str] = (), excluded: list[str] = ()) -> DataFrame:
+    """(name, rank) of the sources (one row each) that have every capability wanted; ties go by name."""
+    fit = sources.filter(F.forall(F.array(*map(F.lit, wanted)), lambda w: F.array_contains(caps, w)) & ~F.col(name).isin(*excluded))
+    return fit.select(name, F.row_number().over(Window.orderBy(preference(name, list(preferred)), name)).cast("long").alias("rank"))
+
+
 def carry_over(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """``new`` with its empty ``fields`` filled from ``old`` (one row per key)."""
     o = old.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])

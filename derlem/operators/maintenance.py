@@ -7,12 +7,30 @@ from pyspark.sql import functions as F
 
 
 def keep_latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
-    """One row per key: the latest time (null is earliest), then the largest ``tie``.
+    """One row per key: the latest time (null is earliest), then the largest ``tie``, which must tell rows of one key apart.
 
-    The winner's ``tie`` is found on narrow rows and joined back, so wide columns move once.
+    The winners are found on narrow rows, by an aggregation that combines before it shuffles; the wide rows are only
+    filtered by them.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(time).desc_nulls_last(), F.col(tie).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    won = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct(F.col(time), F.col(tie))).alias("_w"))
+    on = F.col(tie) == F.col(f"_w.{tie}")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(won, on, "left_semi")
+
+
+def advance(state: DataFrame | None, rows: DataFrame, number: str, keys: list[str], sums: dict[str, str], maxima: dict[str, str]) -> DataFrame:
+    """Counters (keys, n, sums, maxima, _mark) after the rows whose ``number`` is above the mark that ``state`` left; None is no state yet.
+
+    The mark is the largest number counted. Rows that come later with a number below it are not counted again, nor ever.
+    """
+    if state is not None:
+        mark = state.agg(F.coalesce(F.max("_mark"), F.lit(-(2**62))).alias("_m"))
+        rows = rows.join(F.broadcast(mark), F.col(number) > F.col("_m")).drop("_m")
+    new = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(a) for a, c in sums.items()], *[F.max(c).alias(a) for a, c in maxima.items()], F.max(number).alias("_mark"))
+    if state is None:
+        return new
+    return state.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(a).alias(a) for a in sums], *[F.max(a).alias(a) for a in [*maxima, "_mark"]])
 
 
 def insert_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,12 +43,14 @@ def delete_keys(tables: list[DataFrame], gone: DataFrame, keys: list[str]) -> li
     return [t.join(gone.select(*keys).distinct(), keys, "left_anti") for t in tables]
 
 
-def sync_actions(here: DataFrame, there: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """What a synchronisation does with each key; equal times keep the own record."""
+def sync_actions(here: DataFrame, there: DataFrame, keys: list[str], time: str, digest: str | None = None) -> DataFrame:
+    """What a synchronisation does with each key; equal times keep the own record. With ``digest``, ``conflict`` says whether both have one and they differ."""
     a, b = F.col("_a"), F.col("_b")
-    j = here.select(*keys, F.struct(time).alias("_a")).join(there.select(*keys, F.struct(time).alias("_b")), keys, "full_outer")
+    own = [time, *([digest] if digest else [])]
+    j = here.select(*keys, F.struct(*own).alias("_a")).join(there.select(*keys, F.struct(*own).alias("_b")), keys, "full_outer")
     newer = (b[time] > a[time]) | (a[time].isNull() & b[time].isNotNull())
-    return j.select(*keys, F.when(a.isNull(), "insert").when(b.isNull(), "only_here").when(newer, "newer_there").otherwise("keep").alias("action"))
+    action = F.when(a.isNull(), "insert").when(b.isNull(), "only_here").when(newer, "newer_there").otherwise("keep").alias("action")
+    return j.select(*keys, action, *([F.coalesce(a[digest] != b[digest], F.lit(False)).alias("conflict")] if digest else []))
 
 
 def change_decision(old: DataFrame, new: DataFrame, keys: list[str], content: str, date: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derlem.functions.keys import effective_text, strip
@@ -49,3 +49,13 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     full = lambda c: F.avg(F.when(F.coalesce(F.col(c), F.lit("")) != "", 1.0).otherwise(0.0))
     one = df.agg(F.count("*").alias("n"), *[F.round(full(c), 6).alias(c) for c in columns])
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("fill")) for c in columns])).alias("x")).select("x.col", "n", "x.fill")
+
+
+def out_of_order(rows: DataFrame, by: str, number: str) -> DataFrame:
+    """(by, number, kind) of the rows whose number is below that of the row before (in the order of ``by``) or above that of the row after.
+
+    ``rows`` has one row per day; their order is one task's work.
+    """
+    w = Window.orderBy(by)
+    x = rows.select(by, number, F.lag(number).over(w).alias("_p"), F.lead(number).over(w).alias("_q"))
+    return x.filter((F.col(number) < F.col("_p")) | (F.col(number) > F.col("_q"))).select(by, number, F.when(F.col(number) < F.col("_p"), "below_previous").otherwise("above_next").alias("kind"))

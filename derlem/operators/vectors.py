@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from derlem.sources.store import Store
+
 #: Axes that bound a cosine before it is computed.
 HEAD = 6
 
@@ -60,34 +66,169 @@ def fuzzy_pairs(vectors: DataFrame, least: float = 0.85, most_days: int = 365, s
     return g.select("doc_a", "source_a", "doc_b", "source_b", F.round("s", 6).alias("score"), "n_links", "date_gap", confidence.alias("confidence"))
 
 
+def _unit(column: pd.Series) -> np.ndarray:
+    x = np.stack(column.to_list()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of each row; ties go to the smaller key."""
+    order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
+    return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+
+
+def whole(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, v) of the vectors that have a direction: not null, not of length 0."""
+    return vectors.filter(F.col(key).isNotNull() & (norm(F.col(vector)) > 0)).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+
+
+def exact_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, *, block: int = 1_000, part: int = 20_000) -> DataFrame:
+    """(qid, key, score, rank): the k nearest by cosine of every query (qid, q) among all vectors of its dimension.
+
+    Blocks of ``block`` queries meet parts of ``part`` vectors, each pair in one matrix product; of every pair only the k best go on.
+    """
+    v = whole(vectors, key, vector)
+    q = whole(queries, "qid", "q")
+    n_q, n_v = (max(1, -(-df.count() // size)) for df, size in ((q, block), (v, part)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("key", "v", F.size("v").alias("dim"), number("key", n_v).alias("part"), every(n_q).alias("block"))
+    q = q.select(F.col("key").alias("qid"), F.col("v").alias("q"), F.size("v").alias("dim"), number("key", n_q).alias("block"), every(n_v).alias("part"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"qid": [], "key": [], "score": []})
+        s = _unit(a["q"]) @ _unit(b["v"]).T
+        keys = b["key"].to_numpy()
+        i, j = _best(s, keys, k)
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[i], "key": keys[j], "score": s[i, j]})
+
+    kinds = {f: df.schema[f].dataType.simpleString() for f, df in (("qid", q), ("key", v))}
+    got = q.groupBy("dim", "block", "part").cogroup(v.groupBy("dim", "block", "part")).applyInPandas(meet, f"qid {kinds['qid']}, key {kinds['key']}, score double")
+    return ranked(got, k)
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "key")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def merge_best(parts: list[DataFrame], key: str) -> DataFrame:
+    """The union of scored sets (key, score), each key once with its best score: a large index and what was added since."""
+    u = parts[0].select(key, "score")
+    for p in parts[1:]:
+        u = u.unionByName(p.select(key, "score"))
+    return u.groupBy(key).agg(F.max("score").alias("score"))
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
+    """Centres of at most ``k`` cells; a cell that runs empty takes a row far from its centre."""
+    r = np.random.default_rng(seed)
+    c = x[r.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        d = (c * c).sum(1)[None, :] - 2 * x @ c.T
+        near = d.argmin(1)
+        n = np.bincount(near, minlength=len(c))
+        new = np.zeros_like(c)
+        np.add.at(new, near, x)
+        c = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], c)
+        for empty in np.flatnonzero(n == 0):
+            c[empty] = x[(d[np.arange(len(x)), near] + r.random(len(x)) * 1e-9).argmax()]
+    return c
+
+
 class InvertedFile:
-    """Cells of a k-means over unit vectors; a query looks into the nearest ``probe`` cells.
+    """Cells of a k-means over unit vectors, with product-quantised codes; a query scans the codes of its nearest cells, and the
+    best of them are scored again by their exact vectors.
 
-    The quantiser is fitted on at most ``fit_rows`` vectors drawn by hash; every vector is indexed.
+    The quantisers are fitted on at most ``fit_rows`` vectors drawn by hash (their only bound); every vector is indexed. The index
+    is a table (cell, key, code) in folders by cell, and the quantisers, a few thousand numbers, are kept beside it. Vectors of
+    another dimension are refused.
     """
 
-    def __init__(self, vectors: DataFrame, key: str, vector: str, cells: int = 16, fit_rows: int = 100_000, seed: int = 1) -> None:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        n = norm(F.col(vector))
-        unit = vectors.filter(n > 0).withColumn("_u", F.transform(vector, lambda x: x.cast("double") / n))
-        dims = array_to_vector(F.col("_u")).alias("features")
-        share = F.lit(max(1, -(-vectors.count() // fit_rows)))
-        sample = unit.filter(F.pmod(F.xxhash64(key), share) == 0).select(dims)
-        self.model = KMeans(k=cells, seed=seed, maxIter=8).fit(sample)
-        self.centres = [c.tolist() for c in self.model.clusterCenters()]
-        self.key, self.vector = key, vector
-        scored = F.array(*[F.struct(dot(F.col("_u"), F.array(*map(F.lit, c))).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(self.centres)])
-        self.index = unit.withColumn("cell", -F.array_max(scored)["i"])
-
-    def search(self, queries: DataFrame, k: int = 10, probe: int = 4) -> DataFrame:
-        """(qid, key, score, rank) for ``queries`` (qid, q): cells first, exact cosine within them."""
-        from pyspark.sql import Window
-
-        n = norm(F.col("q"))
-        cells = F.array(*[F.struct((dot(F.col("q"), F.array(*map(F.lit, c))) / n).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)])
-        probes = queries.filter(n > 0).withColumn("cell", F.explode(F.transform(F.slice(F.sort_array(cells, asc=False), 1, probe), lambda x: x["i"])))
-        hits = self.index.join(probes, "cell").select("qid", self.key, cosine(F.col(self.vector), F.col("q")).alias("score"))
-        w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(self.key))
-        return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.store = spark, root, Store(spark, root)
+        meta = self.store.read("QUANTISER.json")
+        if meta:
+            self.centres, self.books = np.array(meta["centres"]), [np.array(b) for b in meta["books"]]
+            self.batches = meta["batches"]
+
+    @classmethod
+    def build(cls, vectors: DataFrame, key: str, vector: str, root: str, *, cells: int, parts: int = 16, codes: int = 256, fit_rows: int = 100_000, seed: int = 1) -> InvertedFile:
+        ix = cls(vectors.sparkSession, root)
+        v = whole(vectors, key, vector)
+        share = max(1, -(-v.count() // fit_rows))
+        sample = v.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).limit(fit_rows).select("v").toPandas()
+        if sample.empty:
+            raise ValueError("an index needs at least one vector to be fitted on")
+        x = _unit(sample["v"])
+        ix.centres = kmeans(x, cells, seed=seed)
+        ix.books = [kmeans(p, codes, seed=seed) for p in np.array_split(x, min(parts, x.shape[1]), axis=1)]
+        ix.batches = []
+        ix.store.delete()
+        ix._add(v, 0)
+        return ix
+
+    def append(self, vectors: DataFrame, key: str, vector: str) -> InvertedFile:
+        """Index more vectors under the quantisers there are; keys that are in the index are left out."""
+        v = whole(vectors, key, vector)
+        other = v.filter(F.size("v") != self.centres.shape[1]).limit(1).count()
+        if other:
+            raise ValueError(f"the index holds vectors of dimension {self.centres.shape[1]}")
+        self._add(v.join(self.codes().select("key"), "key", "left_anti"), max(self.batches) + 1)
+        return self
+
+    def _add(self, v: DataFrame, number: int) -> None:
+        centres, books = self.centres, self.books
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if b.empty:
+                    continue
+                x = _unit(b["v"])
+                cell = (x @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
+                own = [(p @ m.T - (m * m).sum(1) / 2).argmax(1).astype(np.uint8) for p, m in zip(np.array_split(x, len(books), axis=1), books)]
+                yield pd.DataFrame({"key": b["key"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in np.stack(own, 1)]})
+
+        kind = v.schema["key"].dataType.simpleString()
+        coded = v.filter(F.size("v") == self.centres.shape[1]).mapInPandas(run, f"key {kind}, cell int, code binary")
+        coded.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/codes/batch={number}")
+        self.batches = [*self.batches, number]
+        self.store.write("QUANTISER.json", {"centres": self.centres.tolist(), "books": [b.tolist() for b in self.books], "batches": self.batches})
+
+    def codes(self) -> DataFrame:
+        """(key, cell, code) of all batches that count."""
+        return self.spark.read.option("basePath", f"{self.root}/codes").parquet(*[f"{self.root}/codes/batch={n}" for n in self.batches]).select("key", "cell", "code")
+
+    def search(self, queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, *, probe: int = 8, refine: int = 200, salts: int = 4) -> DataFrame:
+        """(qid, key, score, rank) for ``queries`` (qid, q): codes of the ``probe`` nearest cells, then exact cosine of the best ``refine``.
+
+        Within a cell, split by ``salts``, all codes are scored for all queries that probe it and only the best go on.
+        """
+        centres, books = self.centres, self.books
+
+        def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = np.argsort(-(_unit(b["v"]) @ centres.T - (centres * centres).sum(1) / 2), axis=1, kind="stable")[:, :probe]
+                    yield pd.DataFrame({"qid": np.repeat(b["key"].to_numpy(), near.shape[1]), "q": [v for v in b["v"] for _ in range(near.shape[1])], "cell": near.ravel().astype(np.int32)})
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return pd.DataFrame({"qid": [], "key": [], "score": []})
+            own = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), len(books))
+            x = np.array_split(_unit(a["q"]), len(books), axis=1)
+            s = sum((x[m] @ books[m].T)[:, own[:, m]] for m in range(len(books)))
+            keys = b["key"].to_numpy()
+            i, j = _best(s, keys, refine)
+            return pd.DataFrame({"qid": a["qid"].to_numpy()[i], "key": keys[j], "score": s[i, j]})
+
+        q = whole(queries, "qid", "q").filter(F.size("v") == self.centres.shape[1])
+        code = self.codes()
+        kinds = {"qid": q.schema["key"].dataType.simpleString(), "key": code.schema["key"].dataType.simpleString()}
+        asked = q.mapInPandas(probes, f"qid {kinds['qid']}, q array<double>, cell int").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        held = code.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+        rough = asked.groupBy("cell", "s").cogroup(held.groupBy("cell", "s")).applyInPandas(meet, f"qid {kinds['qid']}, key {kinds['key']}, score double")
+        few = ranked(rough, refine).select("qid", "key")
+        exact_ = few.join(whole(vectors, key, vector), "key").join(q.select(F.col("key").alias("qid"), F.col("v").alias("q")), "qid").select("qid", "key", cosine(F.col("v"), F.col("q")).alias("score"))
+        return ranked(exact_, k)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from derlem.functions.dates_sql import day, moments
 from derlem.functions.keys import effective_text, fold_key, is_blank, strip
 from derlem.functions.text import ascii_fold, number_key, year_of
 from derlem.operators import graph, maintenance, quality, versions
@@ -40,6 +43,10 @@ REC = "rec AS (SELECT * FROM documents_v2 QUALIFY row_number() OVER (PARTITION B
 WS = r"'^[\s\x{a0}\x{feff}]+|[\s\x{a0}\x{feff}]+$'"
 EFF = f"(CASE WHEN length(regexp_replace(coalesce(full_text,''), {WS}, '', 'g')) > 0 THEN full_text ELSE markdown END)"
 STRIPPED = f"regexp_replace(coalesce({EFF},''), {WS}, '', 'g')"
+_BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+CLEAN = lambda c: f"regexp_replace({c}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+FOLDED = lambda c: f"lower({CLEAN(c)})"
+NAME = lambda c: f"trim(regexp_replace(upper(translate({c}, 'çğıöşüÇĞİÖŞÜâîûÂÎÛ', 'cgiosuCGIOSUaiuAIU')), '[^A-Z0-9]+', ' ', 'g'))"
 _YEAR = r"(CASE WHEN regexp_matches(trim(decision_date), '^\d{4}-\d{2}-\d{2}') THEN substr(trim(decision_date),1,4) WHEN regexp_matches(trim(decision_date), '^\d{2}\.\d{2}\.\d{4}\z') THEN substr(trim(decision_date),7,4) WHEN regexp_matches(trim(decision_date), '^\d{4}\z') THEN trim(decision_date) END)::INT"
 YEAR = f"(CASE WHEN {_YEAR} BETWEEN 1900 AND 2100 THEN {_YEAR} END)"
 
@@ -65,9 +72,15 @@ def existence_semi(spark: SparkSession, d: str) -> DataFrame:
     return refs.join(_dv2(spark, d), ["document_id", "source"], "left_semi")
 
 
-@query("SELECT document_id, source, chunk_index FROM embedding_vectors e WHERE NOT EXISTS (SELECT 1 FROM documents_v2 v WHERE v.document_id = e.document_id AND v.source = e.source)")
+_HOLDERS = {"embedding_vectors": ("document_id", "source"), "dedup_members": ("document_id", "source"), "citation_edges": ("citing_doc_id", "citing_source")}
+
+
+@query("WITH r AS (" + " UNION ALL ".join(f"SELECT '{t}' tbl, {a} document_id, {b} source FROM {t}" for t, (a, b) in _HOLDERS.items()) + ") SELECT tbl, document_id, source, count(*) n FROM r WHERE NOT EXISTS (SELECT 1 FROM documents_v2 v WHERE v.document_id = r.document_id AND v.source = r.source) GROUP BY 1, 2, 3")
 def orphan_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embedding_vectors").join(_dv2(spark, d).select("document_id", "source").distinct(), ["document_id", "source"], "left_anti").select("document_id", "source", "chunk_index")
+    """Rows of the derived tables whose record, spelled exactly so, is not there: what a clean-up would remove."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(a).alias("document_id"), F.col(b).alias("source")) for t, (a, b) in _HOLDERS.items()]
+    refs = reduce(DataFrame.unionByName, parts).groupBy("tbl", "document_id", "source").agg(F.count("*").alias("n"))
+    return refs.join(_dv2(spark, d).select("document_id", "source").distinct(), ["document_id", "source"], "left_anti").select("tbl", "document_id", "source", "n")
 
 
 @query(f"WITH {REC} SELECT document_id, source FROM rec WHERE length({STRIPPED}) >= 50 AND length({STRIPPED}) <= 2000000 AND NOT EXISTS (SELECT 1 FROM embedding_vectors e WHERE e.document_id = rec.document_id AND e.source = rec.source)")
@@ -76,19 +89,30 @@ def anti_missing_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).filter(n.between(50, 2_000_000)).join(table(spark, d, "embedding_vectors"), ["document_id", "source"], "left_anti").select("document_id", "source")
 
 
-@query(f"WITH {REC}, a AS (SELECT * FROM rec WHERE row_id % 2 = 0), b AS (SELECT document_id, source, max(retrieved_at) retrieved_at FROM documents_v2 WHERE row_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(a.document_id, b.document_id) document_id, coalesce(a.source, b.source) source, CASE WHEN a.document_id IS NULL THEN 'insert' WHEN b.document_id IS NULL THEN 'only_here' WHEN b.retrieved_at > a.retrieved_at OR (a.retrieved_at IS NULL AND b.retrieved_at IS NOT NULL) THEN 'newer_there' ELSE 'keep' END action FROM a FULL JOIN b ON a.document_id = b.document_id AND a.source = b.source")
+@query(
+    "WITH x AS (SELECT document_id, source, retrieved_at, content_hash, row_id, row_number() OVER (PARTITION BY document_id, source ORDER BY row_id) r FROM documents_v2), a AS (SELECT * FROM x WHERE r = 1), b AS (SELECT * FROM x WHERE r > 1 QUALIFY row_number() OVER (PARTITION BY document_id, source ORDER BY retrieved_at DESC NULLS LAST, row_id DESC) = 1) "
+    "SELECT coalesce(a.document_id, b.document_id) document_id, coalesce(a.source, b.source) source, CASE WHEN a.row_id IS NULL THEN 'insert' WHEN b.row_id IS NULL THEN 'only_here' WHEN b.retrieved_at > a.retrieved_at OR (a.retrieved_at IS NULL AND b.retrieved_at IS NOT NULL) THEN 'newer_there' ELSE 'keep' END action, coalesce(a.content_hash <> b.content_hash, false) conflict FROM a FULL JOIN b ON a.document_id = b.document_id AND a.source = b.source"
+)
 def sync_newest_wins(spark: SparkSession, d: str) -> DataFrame:
-    """Two stores that share records, the first delivery of each and all later ones: what a synchronisation does with each key."""
+    """Two stores that share records, the first delivery of each and all later ones: what a synchronisation does with each key, and whether their hashes differ."""
     keys = ["document_id", "source"]
-    x = _dv2(spark, d).select(*keys, "retrieved_at", F.row_number().over(Window.partitionBy(*keys).orderBy("row_id")).alias("r"))
-    a = x.filter("r = 1").select(*keys, "retrieved_at")
-    b = x.filter("r > 1").groupBy(*keys).agg(F.max("retrieved_at").alias("retrieved_at"))
-    return maintenance.sync_actions(a, b, keys, "retrieved_at")
+    x = _dv2(spark, d).select(*keys, "retrieved_at", "content_hash", "row_id", F.row_number().over(Window.partitionBy(*keys).orderBy("row_id")).alias("r"))
+    a = x.filter("r = 1").select(*keys, "retrieved_at", "content_hash")
+    b = maintenance.keep_latest(x.filter("r > 1"), keys, "retrieved_at", "row_id").select(*keys, "retrieved_at", "content_hash")
+    return maintenance.sync_actions(a, b, keys, "retrieved_at", "content_hash")
+
+
+#: Beginnings of ids that are made up for tests.
+SYNTHETIC = ("yg-", "ds-", "test-", "fake-", "sample-")
+#: A source's beginning that stands in for them, as these tables hold no made-up rows.
+_STAND_IN = "kv-"
 
 
-@query("SELECT row_id, document_id FROM documents_v2 WHERE regexp_matches(document_id, '^(TEST|DEMO|SYN|FAKE|MOCK)') AND coalesce(source_url, '') = ''")
+@query("SELECT row_id, document_id, source, length(coalesce(full_text, '')) text_length FROM documents_v2 WHERE (" + " OR ".join(f"document_id ILIKE '{p}%'" for p in (*SYNTHETIC, _STAND_IN)) + ") AND coalesce(source_url, '') = ''")
 def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _dv2(spark, d).filter(F.col("document_id").rlike("^(TEST|DEMO|SYN|FAKE|MOCK)") & (F.coalesce("source_url", F.lit("")) == "")).select("row_id", "document_id")
+    """Rows with an id of a made-up kind and no address they could have come from."""
+    made_up = reduce(lambda a, b: a | b, [F.col("document_id").ilike(f"{p}%") for p in (*SYNTHETIC, _STAND_IN)])
+    return _dv2(spark, d).filter(made_up & (F.coalesce("source_url", F.lit("")) == "")).select("row_id", "document_id", "source", F.length(F.coalesce("full_text", F.lit(""))).cast("long").alias("text_length"))
 
 
 # -- profiling ---------------------------------------------------------------------------
@@ -235,22 +259,53 @@ def _laws(spark: SparkSession, d: str) -> DataFrame:
     return read.withColumns({"nm": ascii_fold("ad"), "d": day})
 
 
-@query("WITH g AS (SELECT mevzuat_id, try_cast(rg_tarihi AS DATE) d, snapshot_no FROM mevzuat_dokuman WHERE regexp_matches(rg_tarihi, '^\\d{4}-\\d{2}-\\d{2}$')), v AS (SELECT tur, try_strptime(rg_tarihi, '%Y-%m-%d')::DATE d FROM mevzuat_dokuman WHERE regexp_matches(rg_tarihi, '^\\d{4}-\\d{2}-\\d{2}$')), u AS (SELECT DISTINCT tur, d FROM v WHERE d IS NOT NULL), l AS (SELECT tur, d, d - lag(d) OVER (PARTITION BY tur ORDER BY d) gap FROM u) SELECT tur, count(*) n, round(median(gap), 3) median_gap, max(d)::VARCHAR newest FROM l GROUP BY 1")
+_LAWS = f"{moments('t', 'mevzuat_dokuman', 'rg_tarihi', 'row_id, tur, ad')}, laws AS (SELECT row_id, tur, {NAME('ad')} nm, {day('utc')} dy FROM t)"
+
+
+@query(f"WITH {_LAWS}, u AS (SELECT DISTINCT tur, nm, dy FROM laws WHERE dy IS NOT NULL), l AS (SELECT *, dy - lag(dy) OVER (PARTITION BY tur, nm ORDER BY dy) gap FROM u) SELECT tur, nm, count(*) n, round(median(gap), 3) median_gap, max(dy)::VARCHAR newest FROM l GROUP BY 1, 2")
 def median_gap(spark: SparkSession, d: str) -> DataFrame:
     """Per series (kind and folded name) of all rows: its distinct days of publication, and the days between them."""
     return versions.gaps(_laws(spark, d), ["tur", "nm"], "d")
 
 
-@query("WITH x AS (SELECT *, upper(trim(regexp_replace(upper(translate(ad, 'çğıöşüÇĞİÖŞÜâîûÂÎÛ', 'cgiosuCGIOSUaiuAIU')), '[^A-Z0-9]+', ' ', 'g'))) nm FROM mevzuat_dokuman WHERE ad IS NOT NULL AND mevzuat_id IS NOT NULL) SELECT tur, nm, mevzuat_id, snapshot_no, row_id FROM (SELECT *, row_number() OVER (PARTITION BY tur, nm ORDER BY snapshot_no DESC, cekim_zamani DESC NULLS LAST, mevzuat_id, row_id) r FROM x) WHERE r = 1")
+_CURRENT = (
+    f"WITH {_LAWS}, docs AS (SELECT l.tur, nullif(nm, '') nm, {CLEAN('mevzuat_id')} mevzuat_id, snapshot_no, row_id, dy FROM mevzuat_dokuman m JOIN laws l USING (row_id) WHERE {CLEAN('mevzuat_id')} <> '' QUALIFY row_number() OVER (PARTITION BY {FOLDED('mevzuat_id')} ORDER BY snapshot_no DESC, cekim_zamani DESC NULLS LAST, row_id DESC) = 1), "
+    "gap AS (SELECT tur, nm, dy - lag(dy) OVER (PARTITION BY tur, nm ORDER BY dy) g FROM docs WHERE dy IS NOT NULL), "
+    f"series AS (SELECT a.tur, a.nm FROM (SELECT tur, nm, count(*) k, count(dy) kd FROM docs GROUP BY 1, 2) a JOIN (SELECT tur, nm, median(g) m FROM gap GROUP BY 1, 2) b USING (tur, nm) WHERE k = kd AND round(m, 3) >= 150 AND a.tur IN {tuple(SERIES_KINDS)}), "
+    "ranked AS (SELECT d.*, s.tur IS NOT NULL in_series, row_number() OVER (PARTITION BY d.tur, d.nm ORDER BY dy DESC NULLS LAST, mevzuat_id DESC) r FROM docs d LEFT JOIN series s ON s.tur = d.tur AND s.nm = d.nm) "
+)
+
+
+@query(_CURRENT + "SELECT tur, nm, mevzuat_id, snapshot_no, row_id FROM ranked WHERE NOT in_series OR r = 1")
 def version_series_current(spark: SparkSession, d: str) -> DataFrame:
     """The current document of each series, and every document that is in none; of a document the last delivery holds."""
-    w = Window.partitionBy(fold_key("mevzuat_id")).orderBy(F.col("snapshot_no").desc(), F.col("cekim_zamani").desc_nulls_last(), F.col("row_id").desc())
-    docs = _laws(spark, d).filter(~is_blank("mevzuat_id")).withColumn("r", F.row_number().over(w)).filter("r = 1")
-    docs = docs.select("tur", F.nullif("nm", F.lit("")).alias("nm"), strip("mevzuat_id").alias("mevzuat_id"), "snapshot_no", "row_id", "d")
-    return versions.current(docs, ["tur", "nm"], "mevzuat_id", "d", SERIES_KINDS).drop("d")
+    return versions.current(_last_deliveries(spark, d), ["tur", "nm"], "mevzuat_id", "d", SERIES_KINDS).drop("d")
 
 
-@query("WITH a AS (SELECT mevzuat_id, max(metin_hash) h, max(guncelleme_tarihi) g FROM mevzuat_dokuman WHERE snapshot_no = 1 GROUP BY 1), b AS (SELECT mevzuat_id, max(metin_hash) h, max(guncelleme_tarihi) g FROM mevzuat_dokuman WHERE snapshot_no = 2 GROUP BY 1) SELECT coalesce(a.mevzuat_id, b.mevzuat_id) mevzuat_id, CASE WHEN a.mevzuat_id IS NULL THEN 'new' WHEN b.mevzuat_id IS NULL THEN 'gone' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' WHEN a.g IS DISTINCT FROM b.g THEN 'metadata' ELSE 'same' END decision FROM a FULL JOIN b ON a.mevzuat_id = b.mevzuat_id")
+def _last_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy(fold_key("mevzuat_id")).orderBy(F.col("snapshot_no").desc(), F.col("cekim_zamani").desc_nulls_last(), F.col("row_id").desc())
+    docs = _laws(spark, d).filter(~is_blank("mevzuat_id")).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return docs.select("tur", F.nullif("nm", F.lit("")).alias("nm"), strip("mevzuat_id").alias("mevzuat_id"), "snapshot_no", "row_id", "d")
+
+
+@query(_CURRENT + ", cur AS (SELECT tur, nm, mevzuat_id current_id FROM ranked WHERE in_series AND r = 1), a AS (SELECT DISTINCT lower(trim(mevzuat_id)) k, mevzuat_id, sira, madde_no FROM mevzuat_madde), old AS (SELECT a.mevzuat_id, a.sira, a.madde_no, c.current_id, lower(regexp_replace(a.madde_no, '\\s+', '', 'g')) no FROM a JOIN ranked r ON lower(trim(r.mevzuat_id)) = a.k JOIN cur c ON c.tur = r.tur AND c.nm = r.nm WHERE c.current_id <> r.mevzuat_id), now AS (SELECT lower(trim(mevzuat_id)) k, lower(regexp_replace(madde_no, '\\s+', '', 'g')) no, min(sira) current_sira FROM mevzuat_madde GROUP BY 1, 2) SELECT old.mevzuat_id, old.sira, old.madde_no, old.current_id, current_sira FROM old LEFT JOIN now ON now.k = lower(old.current_id) AND now.no = old.no")
+def version_folding(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of older members of a series with the current member's article of the same number; null where that has none."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    number = F.lower(F.regexp_replace("madde_no", r"\s+", ""))
+    arts = table(spark, d, "mevzuat_madde").select("mevzuat_id", "sira", "madde_no").distinct()
+    docs = _last_deliveries(spark, d)
+    folded = versions.older(docs, ["tur", "nm"], "mevzuat_id", "d", SERIES_KINDS).select(key("mevzuat_id").alias("k"), "current_id")
+    old = arts.withColumn("k", key("mevzuat_id")).join(folded, "k").select("mevzuat_id", "sira", "madde_no", "current_id", number.alias("no"))
+    now = arts.groupBy(key("mevzuat_id").alias("k"), number.alias("no")).agg(F.min("sira").alias("current_sira"))
+    return old.withColumn("k", F.lower("current_id")).join(now, ["k", "no"], "left").select("mevzuat_id", "sira", "madde_no", "current_id", "current_sira")
+
+
+@query(
+    f"WITH r AS (SELECT snapshot_no n, {FOLDED('mevzuat_id')} k, {CLEAN('mevzuat_id')} id, {FOLDED('metin_hash')} h, guncelleme_tarihi g FROM mevzuat_dokuman WHERE {CLEAN('mevzuat_id')} <> '' AND snapshot_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_no, {FOLDED('mevzuat_id')} ORDER BY cekim_zamani DESC NULLS LAST, row_id DESC) = 1), "
+    "st AS (SELECT n, lead(n) OVER (ORDER BY n) m FROM (SELECT DISTINCT n FROM r)), a AS (SELECT m, k, h, g FROM r JOIN st USING (n) WHERE m IS NOT NULL), b AS (SELECT n m, k, h, g FROM r WHERE n > (SELECT min(n) FROM r)), ids AS (SELECT k, arg_max(id, n) id FROM r GROUP BY 1) "
+    "SELECT coalesce(a.m, b.m) snapshot_no, ids.id mevzuat_id, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' WHEN a.g IS DISTINCT FROM b.g THEN 'metadata' ELSE 'same' END decision FROM a FULL JOIN b ON a.m = b.m AND a.k = b.k JOIN ids ON ids.k = coalesce(a.k, b.k)"
+)
 def change_decision(spark: SparkSession, d: str) -> DataFrame:
     """Every snapshot against the one before it, by the latest delivery of each record."""
     docs = table(spark, d, "mevzuat_dokuman").filter(~is_blank("mevzuat_id") & F.col("snapshot_no").isNotNull())
@@ -271,7 +326,7 @@ def new_since_last_seen(spark: SparkSession, d: str) -> DataFrame:
     return docs.filter("snapshot_no = 4").select("mevzuat_id").distinct().join(docs.filter("snapshot_no < 4").select("mevzuat_id"), "mevzuat_id", "left_anti")
 
 
-_DAYS = "done AS (SELECT DISTINCT strptime(substr(sayfa, 1, 8), '%Y%m%d')::DATE d FROM rg_ogeler WHERE regexp_matches(sayfa, '^20[0-2][0-9](0[1-9]|1[0-2])(0[1-9]|1[0-9]|2[0-8])')), cal AS (SELECT unnest(range(DATE '2023-01-01', DATE '2025-01-01', INTERVAL 1 DAY))::DATE d)"
+_DAYS = "done AS (SELECT DISTINCT try_strptime(substr(sayfa, 1, 8), '%Y%m%d')::DATE d FROM rg_ogeler WHERE try_strptime(substr(sayfa, 1, 8), '%Y%m%d') IS NOT NULL), cal AS (SELECT unnest(range(DATE '2023-01-01', DATE '2025-01-01', INTERVAL 1 DAY))::DATE d)"
 
 
 @query(f"WITH {_DAYS} SELECT d::VARCHAR AS dy FROM cal WHERE d NOT IN (SELECT d FROM done) OR d >= DATE '2024-12-25'")
@@ -282,14 +337,30 @@ def pending_days(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.pending_days(page.select(F.expr("try_to_date(substring(sayfa, 1, 8), 'yyyyMMdd')").alias("d")), "2023-01-01", "2024-12-31", refresh=7).select(F.col("d").cast("string").alias("dy"))
 
 
-@query("SELECT sayfa, no, kind FROM (SELECT sayfa, no, CASE WHEN no < lag(no) OVER (ORDER BY sayfa, no0) THEN 'below_previous' END kind FROM (SELECT substr(sayfa,1,6) sayfa, max(try_cast(sayi_no AS BIGINT)) no, min(try_cast(sayi_no AS BIGINT)) no0 FROM rg_ogeler WHERE sayfa IS NOT NULL GROUP BY 1)) WHERE kind IS NOT NULL")
+_ISSUES = "i AS (SELECT sayfa, max(try_cast(sayi_no AS BIGINT)) no, count(*) n_items FROM rg_ogeler WHERE regexp_matches(sayfa, '^[0-9]{8}$') GROUP BY 1)"
+
+
+@query(f"WITH {_ISSUES} SELECT sayfa, no, CASE WHEN no < p THEN 'below_previous' ELSE 'above_next' END kind FROM (SELECT sayfa, no, lag(no) OVER (ORDER BY sayfa) p, lead(no) OVER (ORDER BY sayfa) q FROM i WHERE no IS NOT NULL) WHERE no < p OR no > q")
 def monotonicity_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Months whose highest issue number lies below that of the month before."""
+    """Days whose issue number lies below that of the day before or above that of the day after."""
+    return quality.out_of_order(_issues(spark, d).filter("no is not null"), "sayfa", "no")
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    """One row per day with a page of its own: at most a calendar's days."""
     no = F.expr("try_cast(sayi_no as bigint)")
-    m = table(spark, d, "rg_ogeler").filter("sayfa is not null").groupBy(F.substring("sayfa", 1, 6).alias("sayfa")).agg(F.max(no).alias("no"), F.min(no).alias("no0"))
-    # one row per month
-    prev = F.lag("no").over(Window.orderBy("sayfa", "no0"))
-    return m.withColumn("kind", F.when(F.col("no") < prev, "below_previous")).filter("kind is not null").select("sayfa", "no", "kind")
+    return table(spark, d, "rg_ogeler").filter(F.col("sayfa").rlike(r"^[0-9]{8}\z")).groupBy("sayfa").agg(F.max(no).alias("no"), F.count("*").alias("n_items"))
+
+
+@query(
+    f"WITH {_ISSUES}, m AS (SELECT sayfa, no, lag(no) OVER (ORDER BY sayfa) p, lead(no) OVER (ORDER BY sayfa) q FROM i WHERE no IS NOT NULL) SELECT 'no_issue_number' finding, count(*) n FROM i WHERE no IS NULL UNION ALL SELECT 'out_of_order', count(*) FROM m WHERE no < p OR no > q UNION ALL SELECT 'short_title', count(*) FROM rg_ogeler WHERE length(baslik) < 60 UNION ALL SELECT 'empty_day', count(*) FROM (SELECT DISTINCT sayfa FROM rg_ogeler WHERE regexp_matches(sayfa, '^[0-9]{{8}}$') GROUP BY sayfa HAVING count(baslik) = 0)"
+)
+def gazette_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of what looks wrong in the gazette's index: days without a number, out of order or without any title, and short titles (below 60 letters here)."""
+    i, items = _issues(spark, d), table(spark, d, "rg_ogeler")
+    empty = items.filter(F.col("sayfa").rlike(r"^[0-9]{8}\z")).groupBy("sayfa").agg(F.count("baslik").alias("k")).filter("k = 0")
+    found = {"no_issue_number": i.filter("no is null"), "out_of_order": quality.out_of_order(i.filter("no is not null"), "sayfa", "no"), "short_title": items.filter(F.length("baslik") < 60), "empty_day": empty}
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(k).alias("finding"), F.count("*").alias("n")) for k, df in found.items()])
 
 
 @query("SELECT kosu_zamani, sum(listelenen) listed, sum(degisen) changed, sum(yeni) added, sum(hata) errors, round(sum(sure_s), 2) total_s FROM (SELECT DISTINCT * FROM mevzuat_guncelleme_log) GROUP BY 1 ORDER BY 1 DESC LIMIT 3")
@@ -388,10 +459,12 @@ def sliding_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, date_trunc('day', ts)::VARCHAR AS dy, count(*) n, round(sum(value), 4) total, round(max(value), 4) highest FROM events GROUP BY 1, 2")
 def incremental_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Partial counts per file and type, merged: the shape of an incrementally kept aggregate."""
-    e = table(spark, d, "events")
-    part = e.groupBy("event_type", F.to_date("ts").alias("day"), F.pmod("event_id", F.lit(4)).alias("p")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.max("value").alias("m"))
-    return part.groupBy("event_type", "day").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("total"), F.round(F.max("m"), 4).alias("highest")).select("event_type", F.concat(F.col("day").cast("string"), F.lit(" 00:00:00")).alias("dy"), "n", "total", "highest")
+    """Counters brought up to date in two steps: rows above the high-water mark of the first step are added to what it left."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.concat(F.to_date("ts").cast("string"), F.lit(" 00:00:00")).alias("dy"), "value")
+    half = e.agg((F.max("event_id") / 2).alias("half"))
+    first = maintenance.advance(None, e.join(F.broadcast(half), F.col("event_id") <= F.col("half")).drop("half"), "event_id", ["event_type", "dy"], {"total": "value"}, {"highest": "value"})
+    both = maintenance.advance(first, e, "event_id", ["event_type", "dy"], {"total": "value"}, {"highest": "value"})
+    return both.select("event_type", "dy", "n", F.round("total", 4).alias("total"), F.round("highest", 4).alias("highest"))
 
 
 @query("SELECT json_extract_string(props, '$.page') page, count(*) n FROM events GROUP BY 1")

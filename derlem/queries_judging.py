@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from derlem.functions.keys import fold_key, is_blank, pair_key, strip
@@ -76,11 +76,22 @@ def citation_candidate_lookup(spark: SparkSession, d: str) -> DataFrame:
     return judging.first_candidates(c, _dv2(spark, d)).select("cid", "row_id", F.col("r").cast("long").alias("r"))
 
 
-@query("SELECT source, array_to_string(list_sort(list(DISTINCT content_status)), ',') states, count(DISTINCT content_status) n_states FROM documents_v2 GROUP BY 1 HAVING count(DISTINCT content_status) >= 2")
+_WANTED = ["full_text", "html_markdown"]
+_PREFERRED, _EXCLUDED = ["yargitay", "aym"], ["kvkk"]
+
+
+@query("WITH c AS (SELECT source, list(DISTINCT content_status) FILTER (content_status IS NOT NULL) caps FROM documents_v2 WHERE source IS NOT NULL GROUP BY 1) SELECT source, row_number() OVER (ORDER BY coalesce(list_position(['yargitay', 'aym'], source), 1000), source) rank FROM c WHERE list_has_all(caps, ['full_text', 'html_markdown']) AND source <> 'kvkk'")
 def capability_routing(spark: SparkSession, d: str) -> DataFrame:
-    """Sources by what they deliver; a source routes if it has two kinds at least."""
-    g = _dv2(spark, d).groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("content_status")), ",").alias("states"), F.count_distinct("content_status").alias("n_states"))
-    return g.filter("n_states >= 2")
+    """Sources that deliver everything wanted, the preferred ones first in their order, the excluded ones out."""
+    caps = _dv2(spark, d).filter("source is not null").groupBy("source").agg(F.collect_set("content_status").alias("caps"))
+    return judging.route(caps, "source", "caps", _WANTED, _PREFERRED, _EXCLUDED)
+
+
+@query("SELECT cap, source, rank FROM (SELECT content_status cap, source, row_number() OVER (PARTITION BY content_status ORDER BY coalesce(list_position(['yargitay', 'aym'], source), 1000), source) rank FROM (SELECT DISTINCT content_status, source FROM documents_v2 WHERE content_status IS NOT NULL AND source IS NOT NULL)) WHERE rank = 1")
+def best_source_per_capability(spark: SparkSession, d: str) -> DataFrame:
+    caps = _dv2(spark, d).filter("source is not null and content_status is not null").select(F.col("content_status").alias("cap"), "source").distinct()
+    w = Window.partitionBy("cap").orderBy(judging.preference("source", _PREFERRED), "source")
+    return caps.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank = 1").select("cap", "source", "rank")
 
 
 @query("SELECT row_id, position('hükme esas' IN full_text) pos, substr(full_text, greatest(1, position('hükme esas' IN full_text) - 180), least(180, position('hükme esas' IN full_text) - 1) + 190) quote FROM documents_v2 WHERE contains(full_text, 'hükme esas')")
@@ -156,7 +167,10 @@ def argument_score(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("n"), (F.least(F.count("*") / 5.0, F.lit(1.0)) * 0.4 + share(F.col("content_status") == "full_text") * 0.3 + share(F.col("quote_usable") == 1) * 0.3).alias("score"))
 
 
-@query(f"WITH t AS (SELECT source, list_distinct(flatten(list(ts))) ws FROM (SELECT source, {TOK} ts FROM documents WHERE lang = 'de') GROUP BY 1) SELECT a.source a, b.source b, CASE WHEN len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.3 THEN 'strong' WHEN len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.1 THEN 'weak' ELSE 'none' END bucket FROM t a JOIN t b ON a.source < b.source")
+@query(
+    f"WITH w AS (SELECT DISTINCT source, unnest({TOK}) w FROM documents WHERE source IS NOT NULL), n AS (SELECT s.source, count(w.w) n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s LEFT JOIN w USING (source) GROUP BY 1), c AS (SELECT a.source a, b.source b, count(*) k FROM w a JOIN w b ON a.w = b.w AND a.source < b.source GROUP BY 1, 2), "
+    "j AS (SELECT x.source a, y.source b, coalesce(k, 0) / greatest(1, x.n + y.n - coalesce(k, 0)) s FROM n x JOIN n y ON x.source < y.source LEFT JOIN c ON c.a = x.source AND c.b = y.source) SELECT a, b, CASE WHEN s >= 0.3 THEN 'strong' WHEN s >= 0.1 THEN 'weak' ELSE 'none' END bucket FROM j"
+)
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Shared words of the vocabularies of every two sources, over all documents."""
     docs = spread(table(spark, d, "documents").select("source", "text"))
@@ -188,10 +202,13 @@ def name_record_match(spark: SparkSession, d: str) -> DataFrame:
     return exact.union(pre).distinct()
 
 
-@query("SELECT user_id, round(sum(n) FILTER (h >= 0) / 24.0, 6) per_hour, max(n) busiest FROM (SELECT user_id, date_trunc('hour', ts) hr, count(*) n, 0 h FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("WITH l AS (SELECT user_id, max(ts) m FROM events GROUP BY 1) SELECT user_id, count(*) FILTER (ts > m - INTERVAL 1 HOUR) last_hour, round(count(*) FILTER (ts > m - INTERVAL 24 HOUR) / 24.0, 6) per_hour FROM events JOIN l USING (user_id) GROUP BY 1")
 def throughput(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "events").groupBy("user_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hr")).agg(F.count("*").alias("n"))
-    return h.groupBy("user_id").agg(F.round(F.sum("n") / 24.0, 6).alias("per_hour"), F.max("n").alias("busiest"))
+    """Per key the events of the hour and the rate of the day up to its last one."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = e.groupBy("user_id").agg(F.max("ts").alias("m"))
+    g = e.join(last, "user_id").groupBy("user_id")
+    return g.agg(F.count_if(F.col("ts") > F.col("m") - F.expr("interval 1 hour")).alias("last_hour"), F.round(F.count_if(F.col("ts") > F.col("m") - F.expr("interval 24 hours")) / 24.0, 6).alias("per_hour"))
 
 
 @query("SELECT event_type, count(*) n, round(sum(value), 4) total_ms, round(max(value), 4) max_ms, round(avg(value), 4) avg_ms FROM events GROUP BY 1")
@@ -209,11 +226,13 @@ def bundle_refresh(spark: SparkSession, d: str) -> DataFrame:
     return j.select("mevzuat_id", F.when(F.col("a").isNull(), "new").otherwise("changed").alias("kind"))
 
 
-@query("SELECT source, sha256(string_agg(document_id, ':' ORDER BY document_id)) pack, count(*) n FROM (SELECT DISTINCT source, document_id FROM documents_v2 WHERE content_status IN ('full_text','html_markdown') AND quote_usable = 1) GROUP BY 1")
+@query("WITH r AS (SELECT DISTINCT source, document_id, content_status IN ('full_text','html_markdown') IS TRUE ok, quote_usable = 1 IS TRUE usable FROM documents_v2 WHERE document_id IS NOT NULL), x AS (SELECT source, CASE WHEN NOT ok THEN 'status' WHEN NOT coalesce(usable, false) THEN 'not usable' ELSE 'safe' END reason, document_id FROM r) SELECT source, reason, count(*) n, sum(('0x' || substr(sha256(document_id), 1, 12))::BIGINT)::BIGINT digest FROM (SELECT DISTINCT * FROM x) GROUP BY 1, 2")
 def input_pack_hash(spark: SparkSession, d: str) -> DataFrame:
-    """The hash of the ids of each source's safe records, in order."""
-    safe = _dv2(spark, d).filter(F.col("content_status").isin("full_text", "html_markdown") & (F.col("quote_usable") == 1)).select("source", "document_id").distinct()
-    return safe.groupBy("source").agg(F.sha2(F.encode(F.array_join(F.sort_array(F.collect_list("document_id")), ":"), "utf-8"), 256).alias("pack"), F.count("*").alias("n"))
+    """Each source's records split into safe ones and excluded ones with the reason, and a digest of each part's ids that no order changes and no list is collected for."""
+    reason = F.when(~F.coalesce(F.col("content_status").isin("full_text", "html_markdown"), F.lit(False)), "status").when(~F.coalesce(F.col("quote_usable") == 1, F.lit(False)), "not usable").otherwise("safe")
+    ids = _dv2(spark, d).filter("document_id is not null").select("source", reason.alias("reason"), "document_id").distinct()
+    part = F.conv(F.substring(F.sha2(F.encode("document_id", "utf-8"), 256), 1, 12), 16, 10).cast("long")
+    return ids.groupBy("source", "reason").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
 
 
 @query()

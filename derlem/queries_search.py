@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from derlem.operators import search, vectors
 from derlem.operators.index import Index, index_of
 from derlem.plans.queries import BooleanQuery, parse_match
 from derlem.plans.understanding import expand
-from derlem.session import spread, table
+from derlem.session import shared_folder, spread, table
+from derlem.sources.store import Store
 
 TERMS = ["kira", "bedeli", "sözleşme"]
 ANY = ["tapu", "kira", "tahliye"]
@@ -251,18 +254,42 @@ def best_chunk_per_document(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("r", F.row_number().over(w)).filter("r = 1").select("document_id", "source", "chunk_index", F.round("score", 6).alias("score"))
 
 
+def _ann(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(found, true) neighbours of every vector whose id is divisible by 50, among all vectors."""
+    emb = table(spark, d, "embeddings")
+    qs = emb.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    path = f"{d}/embeddings.parquet"
+    root = f"{shared_folder(spark)}/ann-{hashlib.sha256(repr((path, Store(spark, path).mark())).encode()).hexdigest()[:24]}"
+    ix = vectors.InvertedFile(spark, root)
+    n = emb.count()
+    if not hasattr(ix, "books"):
+        ix = vectors.InvertedFile.build(emb, "vec_id", "embedding", root, cells=max(4, int(n**0.5) // 2))
+    # the vectors of this table have no clusters to speak of: all cells are probed, by their codes, and one vector in twenty is read
+    near = ix.search(qs, emb, "vec_id", "embedding", 10, probe=len(ix.centres), refine=max(100, n // 20))
+    return near, vectors.exact_top(qs, emb, "vec_id", "embedding", 10)
+
+
 @query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the inverted file at 10 for every vector whose id is divisible by 50, against all vectors."""
+    near, true = _ann(spark, d)
+    hit = near.select("qid", "key").withColumn("hit", F.lit(1))
+    return true.join(hit, ["qid", "key"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall_at_10"))
+
+
+@query("WITH q AS (SELECT vec_id qid, embedding::DOUBLE[] q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id \"key\", list_cosine_similarity(embedding::DOUBLE[], q) score FROM q, embeddings) SELECT qid, \"key\", round(score, 6) score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, \"key\") rank FROM s QUALIFY rank <= 10")
+def dense_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, exactly, in blocks."""
     emb = table(spark, d, "embeddings")
     qs = emb.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    near = vectors.InvertedFile(emb, "vec_id", "embedding", cells=8).search(qs, 10, probe=6)
-    # the stated query set against all rows
-    full = emb.join(F.broadcast(qs)).select("qid", "vec_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
-    full = full.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    hit = near.select("qid", "vec_id").withColumn("hit", F.lit(1))
-    return full.join(hit, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall_at_10"))
+    return vectors.exact_top(qs, emb, "vec_id", "embedding", 10).select("qid", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH a AS (SELECT vec_id, {_COS} score FROM embeddings WHERE label < 5), b AS (SELECT vec_id, 0.5 * {_COS} score FROM embeddings WHERE label >= 3) SELECT vec_id, round(max(score), 6) score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE score > 0 GROUP BY 1")
+def bulk_and_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Two scored sets that share keys, the large one and what was added since: each key with its best score."""
+    s = vectors.exact(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d))
+    return vectors.merge_best([s.filter("label < 5"), s.filter("label >= 3").withColumn("score", F.col("score") * 0.5)], "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
 _REL = f"list_contains({TOK}, 'kamulaştırma')"
