@@ -163,6 +163,68 @@ def line_changes(old: str | None, new: str | None) -> list[tuple[str, str]]:
     return [(x[0], x[2:]) for x in d if x[0] in "+-"]
 
 
+def over_fetch(limit: int) -> int:
+    """How many results to fetch where some of them will be folded into others."""
+    return min(max(3 * limit, limit + 40), 300)
+
+
+def _places(text: str, words: list[str]) -> list[tuple[int, int]]:
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(str.maketrans("İI", "iı")))
+    return sorted({m.span() for w in words for m in re.finditer(rf"(?<![^\W\d_]){re.escape(w)}", low)})
+
+
+def regions(text: str | None, words: list[str], around: int = 60, gap: int = 10, most: int = 3) -> str:
+    """The first ``most`` places of the words with what stands around them, neighbours joined, hits in bold, cuts as dots."""
+    text = text or ""
+    spans: list[list[int]] = []
+    hits = _places(text, words)
+    for a, b in hits:
+        a, b = max(0, a - around), min(len(text), b + around)
+        if spans and a <= spans[-1][1] + gap:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    out = []
+    for a, b in spans[:most]:
+        piece, at = "", a
+        for x, y in hits:
+            if a <= x and y <= b and x >= at:
+                piece += text[at:x] + f"**{text[x:y]}**"
+                at = y
+        out.append(("…" if a else "") + piece + text[at:b] + ("…" if b < len(text) else ""))
+    return " ".join(out) or text[:300]
+
+
+def word_window(text: str | None, words: list[str], size: int = 24) -> str:
+    """The ``size`` words of a text that hold most of the hits (words that begin with one searched for), hits between « and »."""
+    text = text or ""
+    toks = [m.span() for m in re.finditer(r"\w+", text)]
+    starts = {a for a, _ in _places(text, words)}
+    hit = [a in starts for a, _ in toks]
+    n = len(toks)
+    if n == 0:
+        return ""
+    run = sum(hit[:size])
+    best, first = run, 0
+    for i in range(1, max(1, n - size + 1)):
+        run += hit[i + size - 1] - hit[i - 1]
+        if run > best:
+            best, first = run, i
+    last = min(n, first + size) - 1
+    out, at = "…" if first else "", toks[first][0]
+    for (a, b), h in zip(toks[first : last + 1], hit[first : last + 1]):
+        out += text[at:a] + (f"«{text[a:b]}»" if h else text[a:b])
+        at = b
+    return out + ("…" if last < n - 1 else "")
+
+
+def chunk_text(text: str | None, number: int, most: int = 600) -> str:
+    """What a search shows of a text's chunk: its white space as single blanks, cut after a word."""
+    own = chunk(text)
+    t = " ".join(own[number].split()) if 0 <= number < len(own) else ""
+    return t if len(t) <= most else t[: t.rfind(" ", 0, most + 1) if " " in t[: most + 1] else most]
+
+
 def parts(df: DataFrame, keys: list[str], text: str, cut_up: Callable[[str | None], list], fields: str) -> DataFrame:
     """Rows (keys, position, fields) from a function that cuts one text; ``fields`` is a schema string."""
 

@@ -73,3 +73,28 @@ def failure_runs(events: DataFrame, key: str, order: list[str], bad: Column, thr
     w = Window.partitionBy(key).orderBy(*order)
     x = events.withColumns({"_bad": bad, "island": F.sum(F.when(bad, 0).otherwise(1)).over(w)})
     return x.groupBy(key, "island").agg(F.count_if("_bad").alias("n_errors"), F.min(F.when(F.col("_bad"), F.col(tie))).alias("first_error")).filter(F.col("n_errors") >= threshold)
+
+
+def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` without the keys that ``new`` has, and ``new``; rows of ``old`` with a null key stay."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def history(rows: DataFrame, key: str, step: str, value: str) -> DataFrame:
+    """(key, version, valid_from, valid_to, last_seen, value): runs of equal values along ``step``; ``rows`` has one row per key and step.
+
+    A null value is a value of its own. ``valid_to`` is where the next version begins, null for the last one.
+    """
+    w = Window.partitionBy(key).orderBy(step)
+    x = rows.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).when(~F.lag(value).over(w).eqNullSafe(F.col(value)), 1).otherwise(0)).withColumn("version", F.sum("_new").over(w))
+    g = x.groupBy(key, "version").agg(F.min(step).alias("valid_from"), F.max(step).alias("last_seen"), F.first(value).alias(value))
+    return g.select(key, "version", "valid_from", F.lead("valid_from").over(Window.partitionBy(key).orderBy("version")).alias("valid_to"), "last_seen", value)
+
+
+def until_known(rows: DataFrame, group: str, order: str, known: str, streak: int) -> DataFrame:
+    """The rows of each group up to the one with which ``streak`` known ones in a row are reached."""
+    w = Window.partitionBy(group).orderBy(order)
+    x = rows.withColumn("_i", F.sum(F.when(F.col(known), 0).otherwise(1)).over(w))
+    x = x.withColumn("_run", F.sum(F.when(F.col(known), 1).otherwise(0)).over(Window.partitionBy(group, "_i").orderBy(order)))
+    stop = x.filter(F.col("_run") >= streak).groupBy(group).agg(F.min(order).alias("_stop"))
+    return x.join(stop, group, "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_i", "_run", "_stop")

@@ -102,6 +102,12 @@ def rrf(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return u.groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
+def rrf_with_ranks(lists: dict[str, DataFrame], key: str, k: int = 60) -> DataFrame:
+    """(key, score, a column of ranks per list): the same with the place each ranking gave, null where it has none."""
+    u = reduce(DataFrame.unionByName, [x.select(key, "rank", F.lit(n).alias("_list")) for n, x in lists.items()])
+    return u.groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), *[F.max(F.when(F.col("_list") == n, F.col("rank"))).alias(n) for n in lists])
+
+
 def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6, norm: str = "inverse") -> DataFrame:
     """weight * bm25n + (1 - weight) * cosine over the union of both.
 

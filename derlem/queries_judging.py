@@ -177,15 +177,6 @@ def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     return judging.vocabulary_overlap(docs.filter("source is not null"), "source", tokens("text"))
 
 
-@query("WITH m AS (SELECT DISTINCT mevzuat_id, sira, madde_no, lower(regexp_replace(translate(coalesce(madde_no,''),'İI','iı'), '\\s+', '', 'g')) k FROM mevzuat_madde), l AS (SELECT mevzuat_id, min(mevzuat_no) mevzuat_no, count(DISTINCT tur) n_types FROM mevzuat_dokuman GROUP BY 1) SELECT m.mevzuat_id, m.sira, m.madde_no, l.mevzuat_no, l.n_types > 1 ambiguous FROM m JOIN l ON l.mevzuat_id = m.mevzuat_id WHERE k = '2'")
-def article_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Article 2 of every law, its number normalised, with the law's number."""
-    k = F.lower(F.regexp_replace(F.translate(F.coalesce("madde_no", F.lit("")), "İI", "iı"), r"\s+", ""))
-    m = table(spark, d, "mevzuat_madde").select("mevzuat_id", "sira", "madde_no").distinct().filter(k == "2")
-    laws = table(spark, d, "mevzuat_dokuman").groupBy("mevzuat_id").agg(F.min("mevzuat_no").alias("mevzuat_no"), (F.count_distinct("tur") > 1).alias("ambiguous"))
-    return m.join(laws, "mevzuat_id").select("mevzuat_id", "sira", "madde_no", "mevzuat_no", "ambiguous")
-
-
 _NM = "trim(regexp_replace(upper(translate({c}, 'çğıöşüÇĞİÖŞÜâîûÂÎÛ', 'cgiosuCGIOSUaiuAIU')), '[^A-Z0-9]+', ' ', 'g'))"
 
 
