@@ -6,10 +6,10 @@ records on numbers in two equi-joins instead of one join over alternatives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from derlem.functions.text import number_key
+from derlem.operators.judging import citation_match
 
 COURT = r"(Yargıtay|Danıştay|Anayasa Mahkemesi|Bölge Adliye Mahkemesi|Bölge İdare Mahkemesi|Sayıştay|Uyuşmazlık Mahkemesi)"
 CHAMBER = r"(\d{1,2}\.\s*(?:Hukuk|Ceza|İdari Dava)?\s*Daire(?:si)?)"
@@ -19,6 +19,12 @@ KARAR = (r"(?i)karar(?:\s*no)?\s*[:.]?\s*(\d{4}/\d+)", r"(\d{4}/\d+)\s*(?:K\.|sa
 DATE = r"(\d{2})\.(\d{2})\.(\d{4})"
 
 
+def plain_number(c: Column) -> Column:
+    """The year/number in a string, without blanks and without zeros in front of the number; null where there is none."""
+    n = F.regexp_extract(F.regexp_replace(c, r"\s+", ""), r"([0-9]{4}/[0-9]+)", 1)
+    return F.nullif(F.regexp_replace(n, "/0+", "/"), F.lit(""))
+
+
 def candidates(df: DataFrame, key: str, text: str, limit: int = 10) -> DataFrame:
     """(key, court, chamber, esas, karar, cited_date, confidence): at most ``limit`` per document, the best first.
 
@@ -52,8 +58,8 @@ def build_edges(cands: DataFrame, records: DataFrame, key: str, year: str | None
     of that court and those three years, so its edges grow with the size of these groups.
     """
     ry = F.col(year) if year else F.lit(None).cast("int")
-    r = records.select(ry.alias("ry"), F.col(key).alias("cited"), F.lower("court").alias("rc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("rch"), number_key("esas_no").alias("re"), number_key("karar_no").alias("rk"))
-    c = cands.select(key, F.substring("cited_date", 1, 4).cast("int").alias("cy"), F.lower("court").alias("cc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("cch"), number_key("esas").alias("ce"), number_key("karar").alias("ck"))
+    r = records.select(ry.alias("ry"), F.col(key).alias("cited"), F.lower("court").alias("rc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("rch"), plain_number(F.col("esas_no")).alias("re"), plain_number(F.col("karar_no")).alias("rk"))
+    c = cands.select(key, F.substring("cited_date", 1, 4).cast("int").alias("cy"), F.lower("court").alias("cc"), F.regexp_replace(F.lower("chamber"), r"\s+", " ").alias("cch"), plain_number(F.col("esas")).alias("ce"), plain_number(F.col("karar")).alias("ck"))
     fits = F.col("cc").isNull() | F.col("rc").isNull() | F.col("rc").contains(F.col("cc")) | F.col("cc").contains(F.col("rc"))
     high = c.join(r, (c.ce == r.re) & (c.ck == r.rk)).filter(fits).select(key, "cited", F.lit(1).alias("o"), F.lit("high").alias("confidence"), F.lit("exact_numbers").alias("match_type"))
     med = c.join(r, (c.ck == r.rk) & (c.cch == r.rch)).select(key, "cited", F.lit(2).alias("o"), F.lit("medium").alias("confidence"), F.lit("number_chamber").alias("match_type"))
@@ -62,3 +68,19 @@ def build_edges(cands: DataFrame, records: DataFrame, key: str, year: str | None
     near = years.join(courts, "cc").join(r.select("rc", "ry", "cited"), ["rc", "ry"]).select(key, "cited", F.lit(3).alias("o"), F.lit("medium").alias("confidence"), F.lit("court_date").alias("match_type"))
     best = high.unionByName(med).unionByName(near).filter(F.col(key) != F.col("cited")).groupBy(key, "cited").agg(F.min(F.struct("o", "confidence", "match_type")).alias("x"))
     return best.select(key, "cited", "x.confidence", "x.match_type")
+
+
+def verify(cands: DataFrame, records: DataFrame, key: str, least: float = 0.0) -> DataFrame:
+    """(key, esas, karar, cited, score): for each candidate the record that shares a number with it and fits it best.
+
+    Ties go to the smaller id; a record is no citation of itself; candidates that no record shares a number with have no row.
+    """
+    c = cands.select(F.col(key).alias("citing"), "court", "chamber", "esas", "karar", F.col("cited_date").alias("dt"))
+    r = records.select(F.col(key).alias("cited"), F.col("court").alias("r_court"), F.col("chamber").alias("r_chamber"), plain_number(F.col("esas_no")).alias("r_esas"), plain_number(F.col("karar_no")).alias("r_karar"), F.trim("decision_date").alias("r_dt"))
+    numbers = lambda df, a, b: df.withColumn("no", F.explode(F.array_distinct(F.array_compact(F.array(plain_number(F.col(a)), plain_number(F.col(b)))))))
+    j = numbers(c, "esas", "karar").join(numbers(r, "r_esas", "r_karar"), "no").filter("citing <> cited")
+    fields = ("court", "chamber", "esas", "karar", "dt")
+    one = {f: plain_number(F.col(f)) if f in ("esas", "karar") else F.col(f) for f in fields}
+    s = j.select("citing", "esas", "karar", "cited", citation_match(one, {f: F.col(f"r_{f}") for f in fields}).alias("score")).filter(F.col("score") >= least)
+    best = s.groupBy("citing", "esas", "karar").agg(F.min(F.struct((-F.col("score")).alias("s"), "cited")).alias("b"))
+    return best.select(F.col("citing").alias(key), "esas", "karar", "b.cited", F.round(-F.col("b.s"), 4).alias("score"))

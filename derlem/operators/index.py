@@ -177,6 +177,10 @@ class Index:
         """(term, df, idf) as frozen."""
         return self.spark.read.parquet(f"{self.root}/idf/epoch={self.meta['epoch']}")
 
+    def weights(self) -> DataFrame:
+        """(key, term, tf, dl, w): the stored vectors."""
+        return self._alive(self._read("postings").select("key", "term", "tf", "dl")).join(self.idf().select("term", "idf"), "term").select("key", "term", "tf", "dl", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
+
     def bm25(self, terms: list[str], *, mode: str = "and", k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(key, score): the stronger the match, the smaller (more negative) the score; idf that is not positive becomes 1e-6."""
         terms = list(dict.fromkeys(terms))

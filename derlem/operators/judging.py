@@ -111,3 +111,32 @@ def first_candidates(citing: DataFrame, records: DataFrame, k: int = 20) -> Data
     c = citing.select("cid", number_key("esas").alias("ce"), number_key("karar").alias("ck"))
     both = c.join(r, c.ce == r.e).select("cid", "row_id").union(c.join(r, c.ck == r.n).select("cid", "row_id")).distinct()
     return both.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("row_id"))).filter(F.col("r") <= k)
+
+
+def mine(df: DataFrame, key: str, text: Column, says: dict[str, str], shortest: int = 100) -> DataFrame:
+    """(key, n_holdings, has_ratio, has_dispute) of the texts above ``shortest``, by patterns over their paragraphs; up to three holdings count, and the dispute stands within the first ten."""
+    t = F.coalesce(text, F.lit(""))
+    paras = F.filter(F.transform(F.split(t, "\n\n"), lambda p: F.trim(p, F.lit(" \n\r\t"))), lambda p: p != "")
+    low = F.transform(paras, lambda p: F.lower(F.translate(p, "İI", "iı")))
+    x = df.filter(F.length(t) >= shortest).select(key, F.explode(F.array(low)).alias("ps")).filter(F.size("ps") > 0)
+    hits = lambda k, ps: F.size(F.filter(ps, lambda p: p.rlike(says[k])))
+    return x.select(key, F.least(hits("holding", F.col("ps")), F.lit(3)).cast("long").alias("n_holdings"), (hits("ratio", F.col("ps")) > 0).alias("has_ratio"), (hits("dispute", F.slice("ps", 1, 10)) > 0).alias("has_dispute"))
+
+
+def citation_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How well a citation (court, chamber, esas, karar, dt) fits a record: what agrees of what both name, weighted 3, 2, 3, 3, 2.
+
+    Courts agree if one name contains the other, else they count a sixth; numbers that contain each other count two thirds.
+    """
+    both = lambda f: a[f].isNotNull() & b[f].isNotNull()
+    within = lambda x, y: y.contains(x)
+    la, lb = {f: F.lower(c) for f, c in a.items()}, {f: F.lower(c) for f, c in b.items()}
+    got = [
+        F.when(both("court"), F.when(within(la["court"], lb["court"]) | within(lb["court"], la["court"]), 3.0).otherwise(0.5)),
+        F.when(both("chamber") & within(la["chamber"], lb["chamber"]), 2.0),
+        *[F.when(both(f), F.when(a[f] == b[f], 3.0).when(within(a[f], b[f]) | within(b[f], a[f]), 2.0)) for f in ("esas", "karar")],
+        F.when(a["dt"] == b["dt"], 2.0),
+    ]
+    add = lambda cs: sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0))
+    total = add([F.when(both(f), w) for f, w in (("court", 3.0), ("chamber", 2.0), ("esas", 3.0), ("karar", 3.0), ("dt", 2.0))])
+    return F.when(total > 0, add(got) / total).otherwise(F.lit(0.0))

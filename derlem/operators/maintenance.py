@@ -98,3 +98,17 @@ def until_known(rows: DataFrame, group: str, order: str, known: str, streak: int
     x = x.withColumn("_run", F.sum(F.when(F.col(known), 1).otherwise(0)).over(Window.partitionBy(group, "_i").orderBy(order)))
     stop = x.filter(F.col("_run") >= streak).groupBy(group).agg(F.min(order).alias("_stop"))
     return x.join(stop, group, "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_i", "_run", "_stop")
+
+
+def prune(df: DataFrame, time: str, as_of: str, days: int) -> DataFrame:
+    """The rows not older than ``days`` on a stated day; rows without a time stay."""
+    first = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp")
+    return df.filter(F.col(time).isNull() | (F.col(time).cast("timestamp") >= first))
+
+
+def health(events: DataFrame, key: str, order: list[str], bad: Column) -> DataFrame:
+    """(key, n, n_failed, failure_rate, longest_run) of calls; a run ends with a success."""
+    w = Window.partitionBy(key).orderBy(*order)
+    x = events.select(key, bad.alias("_bad"), F.sum(F.when(bad, 0).otherwise(1)).over(w).alias("_i"))
+    runs = x.groupBy(key, "_i").agg(F.count("*").alias("n"), F.count_if("_bad").alias("k"))
+    return runs.groupBy(key).agg(F.sum("n").alias("n"), F.sum("k").alias("n_failed"), F.round(F.sum("k") / F.sum("n"), 6).alias("failure_rate"), F.max("k").alias("longest_run"))

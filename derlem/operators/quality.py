@@ -59,3 +59,70 @@ def out_of_order(rows: DataFrame, by: str, number: str) -> DataFrame:
     w = Window.orderBy(by)
     x = rows.select(by, number, F.lag(number).over(w).alias("_p"), F.lead(number).over(w).alias("_q"))
     return x.filter((F.col(number) < F.col("_p")) | (F.col(number) > F.col("_q"))).select(by, number, F.when(F.col(number) < F.col("_p"), "below_previous").otherwise("above_next").alias("kind"))
+
+
+def _filled(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) != ""
+
+
+def status_fields(df: DataFrame) -> DataFrame:
+    """``label``, ``text_available``, ``content_available``, ``confidence`` and ``next_step`` of each record, derived from what it holds."""
+    s = F.col("content_status")
+    n = F.coalesce(F.length(strip(effective_text())), F.lit(0))
+    text = F.coalesce(s.isin(*READABLE) & (n > 0), F.lit(False))
+    named = _filled("title") & _filled("source")
+    return df.withColumns(
+        {
+            "label": F.when(s == "full_text", "full text").when(s == "html_markdown", "markdown").when(s == "pdf_link_only", "link").when(s == "metadata_only", "metadata").otherwise("none"),
+            "text_available": text,
+            "content_available": text | F.coalesce(s == "pdf_link_only", F.lit(False)),
+            "confidence": F.when(named & (_filled("decision_date") | _filled("esas_no") | _filled("karar_no")), "high").when(named, "medium").otherwise("low"),
+            "next_step": F.when(s == "pdf_link_only", "verify the file").when(s == "metadata_only", "fetch the text").when(s == "unavailable", "nothing to read"),
+        }
+    )
+
+
+def finalise(df: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """``long_enough``, ``status``, ``hash`` (null for short texts) and ``odd_date`` (a year outside the range; the date stays as it is)."""
+    n = F.coalesce(F.length(strip(effective_text())), F.lit(0))
+    s = F.trim("decision_date")
+    year = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 4)).when(s.rlike(r"^\d{2}\.\d{2}\.\d{4}\z"), F.substring(s, 7, 4)).cast("int")
+    return df.withColumns(
+        {
+            "long_enough": n >= SHORTEST,
+            "status": F.when(F.col("content_status").isin(*READABLE) & (n < SHORTEST), "metadata_only").otherwise(F.col("content_status")),
+            "hash": F.when(n >= SHORTEST, F.sha2(F.encode(effective_text(), "utf-8"), 256)),
+            "odd_date": F.coalesce(~year.between(first_year, last_year), F.lit(False)),
+        }
+    )
+
+
+def authority() -> Column:
+    """What a record may be used for: ready, citation_only, lead_only or excluded."""
+    s, t = F.col("content_status"), effective_text()
+    n = F.coalesce(F.length(strip(t)), F.lit(0))
+    fits = F.col("content_hash").isNull() | F.coalesce((F.length(t) > 0) & (F.sha2(F.encode(t, "utf-8"), 256) == F.col("content_hash")), F.lit(False))
+    citable = F.coalesce(s.isin(*READABLE), F.lit(False)) & (n > 0) & (_filled("source_url") | _filled("esas_no") | _filled("karar_no"))
+    known = reduce(lambda a, b: a | b, [_filled(c) for c in ("title", "court", "decision_date", "esas_no", "karar_no", "source_url")])
+    return F.when((s == "unavailable") | ~fits, "excluded").when(citable & (n >= SHORTEST), "ready").when(citable | (known & F.coalesce(s == "pdf_link_only", F.lit(False))), "citation_only").when(known, "lead_only").otherwise("excluded")
+
+
+def consistency(df: DataFrame, before: int) -> DataFrame:
+    """(finding, court, n): decisions before a year, and courts with several decisions."""
+    court = F.coalesce("court", F.lit("")).alias("court")
+    day = strip("decision_date")
+    old = df.filter(day.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (F.substring(day, 1, 4).cast("int") < before)).groupBy(court).agg(F.count("*").alias("n"))
+    same = df.groupBy(court).agg(F.count("*").alias("n")).filter("n >= 2")
+    return old.select(F.lit("old_decision").alias("finding"), "court", "n").unionByName(same.select(F.lit("same_court").alias("finding"), "court", "n"))
+
+
+def findings(df: DataFrame, key: str, text: str, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, kind, value, confidence, n, first_pos) of what patterns (kind: (pattern, confidence)) find; positions count from 0."""
+
+    def found(kind: str, pattern: str, sure: str) -> Column:
+        one = lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(sure).alias("confidence"), F.instr(F.col(text), v).alias("at"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
+
+    each = [found(k, p, c) for k, (p, c) in patterns.items()]
+    x = df.filter(F.col(text).isNotNull()).select(key, F.explode(F.concat(*each)).alias("x")).select(key, "x.*")
+    return x.groupBy(key, "kind", "value", "confidence").agg(F.count("*").alias("n"), (F.min("at") - 1).cast("long").alias("first_pos"))

@@ -34,6 +34,16 @@ def exact(vectors: DataFrame, key: str, vector: str, query: DataFrame) -> DataFr
     return vectors.join(F.broadcast(query)).select(*[c for c in vectors.columns if c != vector], cosine(F.col(vector), F.col("q")).alias("score")).filter("score > 0")
 
 
+def two_phase(vectors: DataFrame, key: str, vector: str, query: DataFrame, k: int, factor: int = 20, least: int = 200) -> DataFrame:
+    """(key, score) of the k nearest: all vectors scored with eight bits a number, the best max(factor * k, least) of them exactly."""
+    v = whole(vectors, key, vector)
+    size = F.array_max(F.transform("v", F.abs))
+    small = v.select("key", F.transform("v", lambda x: F.round(x / size * 127).cast("byte")).alias("c"))
+    rough = small.join(F.broadcast(query)).select("key", cosine(F.col("c"), F.col("q")).alias("score")).orderBy(F.col("score").desc(), "key").limit(max(factor * k, least))
+    s = v.join(F.broadcast(rough.select("key")), "key").join(F.broadcast(query)).select(F.col("key").alias(key), cosine(F.col("v"), F.col("q")).alias("score"))
+    return s.filter("score > 0").orderBy(F.col("score").desc(), key).limit(k)
+
+
 def best_per(scored: DataFrame, group: str, key: str) -> DataFrame:
     """The best row of each group; ties go to the smaller key."""
     return scored.groupBy(group).agg(F.max(F.struct("score", (-F.col(key)).alias("k"))).alias("b")).select(group, (-F.col("b.k")).alias(key), F.col("b.score").alias("score"))
