@@ -60,3 +60,13 @@ def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays taken as sets; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+def plain_markdown(c: Column | str) -> Column:
+    """Plain text of simple markdown: marks of headings, lists, quotes, emphasis, code and links go, words stay; null stays null."""
+    t = F.regexp_replace(_c(c), r"(?m)^```.*$", "")
+    t = F.regexp_replace(t, r"(?m)^[ \t]{0,3}(?:#{1,6}|>|[-*+]|[0-9]+\.)[ \t]+", "")
+    t = F.regexp_replace(t, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    for mark in (r"\*\*", "__", r"\*", "`"):
+        t = F.regexp_replace(t, f"{mark}([^\n]+?){mark}", "$1")
+    return t

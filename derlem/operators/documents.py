@@ -149,14 +149,6 @@ def amendments(text: str | None) -> list[tuple[str, str, str | None, str | None,
     return list(out)
 
 
-def strip_markdown(text: str | None) -> str:
-    """Plain text of simple markdown: marks of headings, lists, emphasis, code and links go, words stay."""
-    t = re.sub(r"^```.*$", "", text or "", flags=re.MULTILINE)
-    t = re.sub(r"^\s{0,3}(?:#{1,6}|>|[-*+]|\d+\.)\s+", "", t, flags=re.MULTILINE)
-    t = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", t)
-    return re.sub(r"(\*\*|__|\*|`)(.+?)\1", r"\2", t)
-
-
 def line_changes(old: str | None, new: str | None) -> list[tuple[str, str]]:
     """(+ or -, line) between two texts."""
     d = difflib.ndiff((old or "").splitlines(), (new or "").splitlines())

@@ -28,13 +28,14 @@ from derlem.session import shared_folder
 from derlem.sources.store import Store
 
 META = "META.json"
+EMPTY = {"generations": [], "deleted": [], "epoch": None, "buckets": 16, "salts": 2}
 
 
 class Index:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.store = spark, Store(spark, root)
         self.root = self.store.root
-        self.meta = self.store.read(META) or {"generations": [], "deleted": [], "epoch": None}
+        self.meta = self.store.read(META) or dict(EMPTY)
 
     # -- writing ------------------------------------------------------------------------
 
@@ -66,8 +67,7 @@ class Index:
         """Leave the keys (one column) out of every answer; they go from the files when the index is compacted."""
         n = max([-1, *self.meta["deleted"]]) + 1
         keys.toDF("key").distinct().write.mode("overwrite").parquet(f"{self.root}/deleted/gen={n}")
-        self.meta["deleted"].append(n)
-        self._settle({})
+        self._settle({"deleted": [*self.meta["deleted"], n]})
         return self
 
     def freeze(self) -> Index:
@@ -82,7 +82,7 @@ class Index:
     def rebuild(self, docs: DataFrame, key: str, text: str, **how: int) -> Index:
         """Forget everything and index ``docs`` under frequencies of their own."""
         self.store.delete()
-        self.meta = {"generations": [], "deleted": [], "epoch": None}
+        self.meta = dict(EMPTY)
         return self.build(docs, key, text, **how)
 
     def compact(self) -> Index:

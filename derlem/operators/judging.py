@@ -84,7 +84,7 @@ def vocabulary_overlap(docs: DataFrame, group: str, toks: Column) -> DataFrame:
 
 
 def hash_embedding(df: DataFrame, key: str, toks: Column, dims: int = 128) -> DataFrame:
-    """(key, vector): words at weight 1.5 and the trigrams of long words at 0.35, hashed to signed axes, of length 1.
+    """(key, axis, x): words at weight 1.5 and the trigrams of long words at 0.35, hashed to signed axes, of length 1 together.
 
     The axis is given by the first seven hex digits of SHA-256, the sign by the parity of the eighth.
     """
@@ -94,10 +94,9 @@ def hash_embedding(df: DataFrame, key: str, toks: Column, dims: int = 128) -> Da
     h = F.sha2(F.encode("w", "utf-8"), 256)
     axis = F.pmod(F.conv(F.substring(h, 1, 7), 16, 10).cast("long"), F.lit(dims)).cast("int")
     sign = F.when(F.conv(F.substring(h, 8, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    one = parts.select(key, axis.alias("i"), (sign * F.col("x")).alias("x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
-    m = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1e-12)))
-    return m.select(key, dense.alias("vector"))
+    one = parts.select(key, axis.alias("axis"), (sign * F.col("x")).alias("x")).groupBy(key, "axis").agg(F.sum("x").alias("x"))
+    n = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return one.select(key, "axis", (F.col("x") / F.greatest(n, F.lit(1e-12))).alias("x"))
 
 
 def first_candidates(citing: DataFrame, records: DataFrame, k: int = 20) -> DataFrame:

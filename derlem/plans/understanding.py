@@ -110,3 +110,26 @@ def require_all(query: str) -> str:
     if len(parts) < 2 or any(p in ("AND", "OR", "NOT") or p[0] in "+-" for p in parts):
         return query
     return " ".join(f"+{p}" for p in parts)
+
+
+def lucene(query: str, *, country: str | None = "TUR", article: str | None = None, languages: list[str] | None = None, first: str | None = None, last: str | None = None) -> str:
+    """A Lucene query for a court's register: country (None for all), article, any of the languages, a range of days, then the words."""
+    clean = lambda v: v.replace('"', "")
+    parts = ["contentsitename:ECHR"]
+    parts += [f'({f}:"{clean(v)}")' for f, v in (("respondent", country), ("article", article)) if v]
+    if languages:
+        one = " OR ".join(f'languageisocode:"{clean(x).upper()}"' for x in languages)
+        parts.append(f"({one})")
+    parts += [f'(kpdate{op}"{day[:10]}T{clock}.0Z")' for op, day, clock in ((">=", first, "00:00:00"), ("<=", last, "23:59:59")) if day]
+    return " AND ".join([*parts, *([f"({query.strip()})"] if query.strip() else [])])
+
+
+def total_pages(total: int | None, size: int) -> int | None:
+    """Pages of at most a hundred results; none for none, unknown for an unknown total."""
+    return None if total is None else -(-total // min(max(size, 1), 100))
+
+
+def sort_order(query: str, asked: str | None) -> str:
+    """relevance where there are words, else date; what was asked for holds if it is known."""
+    known = ("relevance", "date", "registered", "gazette_date")
+    return asked.lower() if asked and asked.lower() in known else "relevance" if query.strip() else "date"

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from derlem.functions.keys import effective_text
+from derlem.functions.text import plain_markdown
 from derlem.operators import citations, documents, maintenance
 from derlem.operators.timestamps import normalise_timestamps
 from derlem.session import cut, shared_folder, table
 from derlem.streaming import jobs
 
 QUERIES, SQL = {}, {}
+#: Files of the staged stream.
+BATCHES = 4
 
 
 def query(sql: str | None = None):
@@ -51,10 +53,14 @@ def text_pages(spark: SparkSession, d: str) -> DataFrame:
     return documents.parts(_records(spark, d), ["document_id", "source"], "t", documents.pages, "page string")
 
 
-@query()
+_MD = "markdown"
+for _p, _r in ((r"(?m)^```.*$", ""), (r"(?m)^[ \t]{0,3}(?:#{1,6}|>|[-*+]|[0-9]+\.)[ \t]+", ""), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\*\*([^\n]+?)\*\*", r"\1"), (r"__([^\n]+?)__", r"\1"), (r"\*([^\n]+?)\*", r"\1"), (r"`([^\n]+?)`", r"\1")):
+    _MD = f"regexp_replace({_MD}, '{_p}', '{_r}', 'g')"
+
+
+@query(f"SELECT row_id, {_MD} plain FROM documents_v2 WHERE markdown IS NOT NULL")
 def markdown_plain(spark: SparkSession, d: str) -> DataFrame:
-    md = table(spark, d, "documents_v2").filter("markdown is not null")
-    return documents.parts(md, ["row_id"], "markdown", lambda t: [documents.strip_markdown(t)], "plain string")
+    return table(spark, d, "documents_v2").filter("markdown is not null").select("row_id", plain_markdown("markdown").alias("plain"))
 
 
 @query()
@@ -74,11 +80,15 @@ def citation_graph_build(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, date_trunc('day', ts)::VARCHAR AS dy, count(*) n FROM events GROUP BY 1, 2")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Daily counts kept by a stream over the event file, drained into the shared folder."""
-    path = os.path.join(d, "events.parquet")
+    """Daily counts kept by a stream that takes the events a stretch of time at a batch, forgets windows two days behind, and updates what a batch changes."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    like = spark.read.parquet(path)
-    s = spark.readStream.schema(like.schema).parquet(path if os.path.isdir(path) else os.path.join(d, "events*.parquet"))
-    counts = jobs.windowed_counts(s, "ts", "event_type", late="3650 days")
-    jobs.run_available(counts, f"{base}/checkpoint", each=lambda b, _: b.write.mode("overwrite").parquet(f"{base}/out"), mode="complete")
-    return spark.read.parquet(f"{base}/out").select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("dy"), "n")
+    e = table(spark, d, "events")
+    # as they would arrive: one file after the other, in the order of time
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    share = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))) * BATCHES / (F.unix_timestamp(F.col("z").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp")) + 1)
+    staged = cut(e.join(F.broadcast(span)).withColumn("_i", F.floor(share)).drop("a", "z"))
+    for i in range(BATCHES):
+        staged.filter(F.coalesce(F.col("_i"), F.lit(0)) == i).drop("_i").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    counts = jobs.windowed_counts(jobs.stream_table(spark, f"{base}/in", e), "ts", "event_type", late="2 days")
+    jobs.run_available(counts, f"{base}/checkpoint", each=jobs.keep_latest_rows(f"{base}/out"), mode="update")
+    return jobs.latest_rows(spark, f"{base}/out", ["start", "event_type"]).select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("dy"), "n")

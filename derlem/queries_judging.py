@@ -226,10 +226,14 @@ def input_pack_hash(spark: SparkSession, d: str) -> DataFrame:
     return ids.groupBy("source", "reason").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
 
 
-@query()
+@query(
+    f"WITH w AS (SELECT doc_id, unnest({TOK}) w FROM documents), p AS (SELECT doc_id, w, 1.5 x FROM w UNION ALL SELECT doc_id, substr(w, i, 3), 0.35 FROM (SELECT doc_id, w, unnest(range(1, length(w) - 1)) i FROM w WHERE length(w) >= 5)), "
+    "h AS (SELECT doc_id, sha256(w) h, x FROM p), a AS (SELECT doc_id, (('0x' || substr(h, 1, 7))::BIGINT % 128)::INT axis, sum(CASE WHEN ('0x' || substr(h, 8, 1))::INT % 2 = 0 THEN x ELSE -x END) x FROM h GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) n FROM a GROUP BY 1) SELECT doc_id, axis, round(x / greatest(n, 1e-12), 6) x FROM a JOIN n USING (doc_id)"
+)
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Hash embeddings of whole texts, without any model."""
-    return judging.hash_embedding(table(spark, d, "documents"), "doc_id", tokens("text"))
+    """Hash embeddings of whole texts, without any model, a row per axis."""
+    v = judging.hash_embedding(table(spark, d, "documents"), "doc_id", tokens("text"))
+    return v.select("doc_id", "axis", F.round("x", 6).alias("x"))
 
 
 _STEMMED = expand(["bedelini", "taşınmazın"])

@@ -32,6 +32,15 @@ class Store:
         files = self._fs.listStatus(self._path(name)) if s.isDirectory() else [s]
         return sum(f.getLen() for f in files), max([f.getModificationTime() for f in files], default=0)
 
+    def replace_by(self, other: str) -> None:
+        """Put another folder in this one's place; the old one goes last."""
+        jvm = self.spark._jvm
+        old, new, here = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{self.root}.old", other, self.root))
+        self._fs.delete(old, True)
+        self._fs.rename(here, old)
+        self._fs.rename(new, here)
+        self._fs.delete(old, True)
+
     def read(self, name: str) -> dict | None:
         """A JSON file's content; None where there is none."""
         if not self.exists(name):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from derlem.operators import citations, documents as D, graph, maintenance
 from derlem.operators.search import bm25
+from derlem.functions.text import plain_markdown
+from derlem.operators.index import Index
 from derlem.plans.queries import BooleanQuery, parse_match
 from derlem.sources import files
 from derlem.streaming import jobs
@@ -58,8 +60,9 @@ def test_articles_and_notes():
     assert D.amendments(None) == [] and D.articles("") == []
 
 
-def test_markdown_and_changes():
-    assert D.strip_markdown("## Baş\n- **kalın** [ad](http://x)\n`kod`") == "Baş\nkalın ad\nkod"
+def test_markdown_and_changes(spark):
+    md = spark.createDataFrame([("## Baş\n- **kalın** [ad](http://x)\n`kod`",), (None,), ("",)], "t string").select(plain_markdown("t").alias("p")).collect()
+    assert [r["p"] for r in md] == ["Baş\nkalın ad\nkod", None, ""]
     assert D.line_changes("a\nb", "a\nc") == [("-", "b"), ("+", "c")]
 
 
@@ -137,6 +140,8 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
     docs = spark.createDataFrame([(1, "bir iki bir"), (2, "iki")], "doc_id long, text string")
     docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
-    jobs.run_available(jobs.stream_table(spark, str(tmp_path / "docs"), docs), str(tmp_path / "c3"), each=jobs.keep_postings(str(tmp_path / "p"), "doc_id", "text"))
-    assert {(r["doc_id"], r["term"], r["tf"]) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(1, "bir", 2), (1, "iki", 1), (2, "iki", 1)}
+    jobs.run_available(jobs.stream_table(spark, str(tmp_path / "docs"), docs), str(tmp_path / "c3"), each=jobs.keep_index(Index(spark, str(tmp_path / "ix")), "doc_id", "text"))
+    # another reader finds what the stream has put into the index
+    post = Index(spark, str(tmp_path / "ix")).postings(["bir", "iki", "üç"])
+    assert {(r["key"], r["term"], r["tf"]) for r in post.collect()} == {(1, "bir", 2), (1, "iki", 1), (2, "iki", 1)}
     assert jobs.watch(docs, docs.filter("doc_id = 1"), ["doc_id"]).count() == 1

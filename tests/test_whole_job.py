@@ -85,6 +85,7 @@ def test_sync_newest_wins(spark, tmp_path):
 
     at = lambda n: datetime.datetime(2025, 1, n)
     rows = [(1, "A", at(1)), (7, "A", at(2)), (11, "A", None), (5, "B", at(3)), (13, "B", at(1)), (17, "C", None), (19, "D", None), (23, "D", at(1))]
-    put(spark, tmp_path, "documents_v2", [(i, k, "s", t) for i, k, t in rows], "row_id long, document_id string, source string, retrieved_at timestamp")
+    put(spark, tmp_path, "documents_v2", [(i, k, "s", t, "h" if i < 7 else str(i)) for i, k, t in rows], "row_id long, document_id string, source string, retrieved_at timestamp, content_hash string")
+    assert {r.document_id: r.conflict for r in run(spark, tmp_path, "sync_newest_wins").collect()} == {"A": True, "B": True, "C": False, "D": True}
     got = {r.document_id: r.action for r in run(spark, tmp_path, "sync_newest_wins").collect()}
     assert got == {"A": "newer_there", "B": "keep", "C": "only_here", "D": "newer_there"}
