@@ -95,9 +95,12 @@ def script(c: str) -> str:
 
 
 def dominant(token: str) -> str:
-    """The script of most letters that exist in one script only: Latin on a tie or without such letters, '' without any letter."""
+    """The script of most letters that exist in one script only: Latin on a tie or without such letters, '' without any letter.
+
+    Letters count without their accents, as a look-alike may carry one.
+    """
     n: dict[str, int] = {}
-    letters = [c for c in token if c.isalpha()]
+    letters = [c for c in unicodedata.normalize("NFD", token) if c.isalpha()]
     for c in letters:
         if c not in _SHARED:
             n[script(c)] = n.get(script(c), 0) + 1
@@ -109,7 +112,8 @@ def repair(token: str) -> str | None:
     to = dominant(token)
     if to not in _TO:
         return None
-    new = unicodedata.normalize("NFC", token.translate({ord(c): _TO[to][ord(c)] for c in set(token) if ord(c) in _TO[to] and script(c) != to}))
+    bare = unicodedata.normalize("NFD", token)
+    new = unicodedata.normalize("NFC", bare.translate({ord(c): _TO[to][ord(c)] for c in set(bare) if ord(c) in _TO[to] and script(c) != to}))
     return new if new != token and all(script(c) in ("", to) for c in new) else None
 
 

@@ -115,6 +115,8 @@ def test_fold_and_repair():
     # a Latin letter in a Cyrillic or a Greek word goes, not the word's own
     for bad, good, script in (("Мoсква", "Москва", "CYRILLIC"), ("президeнт", "президент", "CYRILLIC"), ("Κaλημέρα", "Καλημέρα", "GREEK"), ("kіra", "kira", "LATIN")):
         assert L.dominant(bad) == script and L.repair(bad) == good and L.repair(good) is None
+    # a look-alike with an accent of its own
+    assert L.repair("ӧdеmе") == "ödeme" and L.repair("elhӧуükс\u0327е") == "elhöyükçe" and L.repair("ёлка") is None
     # letters of two scripts that look like no others: nothing can be said
     assert L.repair("жaλ") is None and L.repair("μm") is None
     assert L.candidates("Решение ΤL ve іѕе") == {"ΤL": "TL", "іѕе": "ise"}
