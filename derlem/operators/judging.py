@@ -9,6 +9,8 @@ from derlem.functions.text import number_key
 
 #: Types of legislation by words of their title, the first that fits counts.
 TYPES = (("anayasa", "ANAYASA"), ("kanun hükmünde kararname", "KHK"), ("cumhurbaşkanlığı kararnamesi", "CBK"), ("yönetmeli", "YONETMELIK"), ("yonetmeli", "YONETMELIK"), ("tebliğ", "TEBLIG"), ("teblig", "TEBLIG"), ("tüzü", "TUZUK"), ("kanun", "KANUN"))
+#: Chambers there are, by rule.
+CHAMBERS = [*(f"{i}. {k} Dairesi" for k in ("Hukuk", "Ceza") for i in range(1, 24)), *(f"{i}. Daire" for i in range(1, 18))]
 #: Content states with whether text is at hand and how sure that is.
 STATES = {"full_text": ("available", "high"), "html_markdown": ("available", "medium"), "pdf_link_only": ("link", "low"), "metadata_only": ("metadata", "low"), "unavailable": ("none", "none")}
 

@@ -170,3 +170,23 @@ def page(found: DataFrame, key: str, *, sort: str = "relevance", date: str | Non
     else:
         first = F.col("score").asc() if ascending else F.col("score").desc()
     return found.orderBy(first, F.col(key).asc()).offset(offset).limit(limit).join(F.broadcast(found.agg(F.count("*").alias("total"))))
+
+
+def evaluate(ranked: DataFrame, gold: DataFrame, key: str, k: int = 10, enough: float = 0.5) -> DataFrame:
+    """(qid, n_relevant, recall, ndcg, passed) of rankings (qid, key, rank) against what should be found (qid, key), for every query with something to find.
+
+    A relevant result at rank r gains 1 / log2(r + 1); ``passed`` is a recall of ``enough`` and more.
+    """
+    n = gold.groupBy("qid").agg(F.count("*").alias("n_relevant"))
+    hit = ranked.filter(F.col("rank") <= k).join(gold.select("qid", key), ["qid", key], "left_semi")
+    got = hit.groupBy("qid").agg(F.count("*").alias("_hits"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("_dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_relevant").cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    j = n.join(got, "qid", "left")
+    recall = F.coalesce("_hits", F.lit(0)) / F.col("n_relevant")
+    return j.select("qid", "n_relevant", recall.alias("recall"), (F.coalesce("_dcg", F.lit(0.0)) / ideal).alias("ndcg"), (recall >= enough).alias("passed"))
+
+
+def gate(evaluated: DataFrame, least: float = 0.3) -> DataFrame:
+    """(n_queries, mean_recall, mean_ndcg, pass_rate, passes) over all queries; an index takes another's place if it passes."""
+    m = evaluated.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("mean_recall"), F.avg("ndcg").alias("mean_ndcg"), F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("pass_rate"))
+    return m.withColumn("passes", F.col("mean_recall") >= least)

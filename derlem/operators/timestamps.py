@@ -127,7 +127,6 @@ def add_readings(df: DataFrame, column: str, zone: str = "Europe/Istanbul", nume
     off = r"^ *(?:gmt|utc)? *([+-])(\d{2}):?(\d{2})(?!\d)"
     abbr = F.regexp_extract(tail, r"^ *\(?(" + "|".join(ABBREVIATIONS) + r")\b", 1)
     offset = F.when(tail.rlike(off), F.when(F.regexp_extract(tail, off, 1) == "-", -1).otherwise(1) * (_int(F.regexp_extract(tail, off, 2)) * 60 + _int(F.regexp_extract(tail, off, 3)))).when(abbr != "", _lookup(ABBREVIATIONS, abbr))
-    known = _zones(spark)
     region = F.regexp_extract(tail, r"^ *\[?\(?([a-z]+/[a-z_]+(?:/[a-z_]+)?)", 1)
     region = F.when(region != "", _lookup(_zones(spark), region, "string"))
     df = _fix(df, _t=time, _off=F.when(F.col("_has"), offset), _zone=F.coalesce(F.when(F.col("_has"), region), F.lit(zone)))

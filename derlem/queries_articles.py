@@ -107,6 +107,14 @@ def search_articles(spark: SparkSession, d: str, text: str, mode: str = "lexical
     raise ValueError(f"no such mode: {mode}")
 
 
+@query(f"WITH {_ARTS}, {_bm25_sql(_TERMS, 'OR')}, b AS (SELECT doc_id, score FROM bm ORDER BY score, doc_id LIMIT 50) SELECT mevzuat_id, count(*) n_articles, round(min(score), 6) best, string_agg(sira::VARCHAR, ',' ORDER BY score, sira) articles FROM (SELECT {_ID}, score FROM b) GROUP BY 1")
+def article_results_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty best articles law by law, each law with its articles from the best on."""
+    best = _split(search.top(index(spark, d).bm25(_TERMS, mode="or"), "key", 50, ascending=True))
+    own = F.array_sort(F.collect_list(F.struct("score", "sira")))
+    return best.groupBy("mevzuat_id").agg(F.count("*").alias("n_articles"), F.round(F.min("score"), 6).alias("best"), F.array_join(F.transform(own, lambda x: x["sira"].cast("string")), ",").alias("articles"))
+
+
 _LOW = "lower(translate(coalesce(metin, ''), 'İI', 'iı'))"
 
 

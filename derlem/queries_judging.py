@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from derlem.functions.keys import fold_key, is_blank, pair_key, strip
-from derlem.functions.text import ascii_fold, tokens
-from derlem.operators import judging, search, vectors
-from derlem.queries_corpus import AS_OF, REC, _dv2, _records
-from derlem.plans.understanding import expand
+from derlem.functions.text import tokens
+from derlem.operators import judging, legislation, search, vectors
+from derlem.queries_corpus import AS_OF, CLEAN, FOLDED, NAME, REC, _dv2, _records
+from derlem.plans.understanding import court_filters, expand, law_references, synonyms
 from derlem.queries_search import TOK, _bm25_sql, index
 from derlem.session import spread, table
 
@@ -144,7 +144,15 @@ def fuzzy_pairs_same_label(spark: SparkSession, d: str) -> DataFrame:
     return j.select("a", "b", F.round("s", 6).alias("score"), F.when(F.col("s") > 0.95, "high").when(F.col("s") > 0.9, "medium").otherwise("low").alias("confidence"))
 
 
-@query()
+_KEY = f"coalesce({FOLDED('document_id')}, '') || chr(31) || coalesce({FOLDED('source')}, '')"
+
+
+@query(
+    f"WITH {REC}, r AS (SELECT {_KEY} k, document_id, source, coalesce(nullif({CLEAN('court')}, ''), 'unknown') court, CASE WHEN regexp_matches(decision_date, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN try_strptime(decision_date, '%Y-%m-%d')::DATE END iso, CASE WHEN regexp_matches(decision_date, '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$') THEN try_strptime(decision_date, '%d.%m.%Y')::DATE END dotted FROM rec), "
+    f"g AS (SELECT {_KEY} k, list(DISTINCT {FOLDED('cluster_id')}) cs FROM dedup_members WHERE {CLEAN('cluster_id')} <> '' GROUP BY 1), j AS (SELECT r.*, v.provider_id, v.vector::DOUBLE[] u, coalesce(g.cs, []) cs FROM (SELECT *, {_KEY} k FROM embedding_vectors) v JOIN r USING (k) LEFT JOIN g USING (k)), "
+    "p AS (SELECT a.k ka, b.k kb, a.document_id doc_a, a.source source_a, b.document_id doc_b, b.source source_b, list_cosine_similarity(a.u, b.u) s, coalesce(abs(a.iso - b.iso), abs(a.dotted - b.dotted)) gap FROM j a JOIN j b ON a.court = b.court AND a.provider_id = b.provider_id AND len(a.u) = len(b.u) AND a.k < b.k WHERE NOT list_has_any(a.cs, b.cs)) "
+    "SELECT any_value(doc_a) doc_a, any_value(source_a) source_a, any_value(doc_b) doc_b, any_value(source_b) source_b, round(max(s), 6) score, count(*) n_links, any_value(gap) date_gap, CASE WHEN max(s) > 0.95 THEN 'high' WHEN max(s) > 0.9 THEN 'medium' ELSE 'low' END confidence FROM p WHERE s >= 0.85 AND coalesce(gap <= 365, true) GROUP BY ka, kb"
+)
 def fuzzy_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records of one court (none is one bucket), not yet clustered together, at a cosine of 0.85 or more and at most 365 days apart."""
     key = pair_key("document_id", "source").alias("k")
@@ -177,20 +185,20 @@ def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     return judging.vocabulary_overlap(docs.filter("source is not null"), "source", tokens("text"))
 
 
-_NM = "trim(regexp_replace(upper(translate({c}, 'çğıöşüÇĞİÖŞÜâîûÂÎÛ', 'cgiosuCGIOSUaiuAIU')), '[^A-Z0-9]+', ' ', 'g'))"
+_LAST4 = f"l AS (SELECT {NAME('ad')} nm, trim(mevzuat_no) no, trim(mevzuat_id) id FROM mevzuat_dokuman WHERE snapshot_no = 4 AND mevzuat_id IS NOT NULL)"
 
 
-@query(f"WITH a AS (SELECT row_id, {_NM.format(c='baslik')} nm FROM rg_ogeler WHERE baslik IS NOT NULL), b AS (SELECT {_NM.format(c='ad')} nm, min(mevzuat_id) mevzuat_id FROM mevzuat_dokuman WHERE ad IS NOT NULL GROUP BY 1) SELECT a.row_id, b.mevzuat_id FROM a JOIN b ON a.nm = b.nm OR (length(a.nm) >= 15 AND starts_with(b.nm, left(a.nm, 15)) AND starts_with(b.nm, a.nm))")
+@query(
+    f"WITH {_LAST4}, i AS (SELECT row_id, {NAME("regexp_replace(ad, ' [^ ]+$', '')")} nm, trim(mevzuat_no) no FROM mevzuat_dokuman WHERE snapshot_no = 1), e AS (SELECT nm, min(id) id FROM l WHERE nm IS NOT NULL GROUP BY 1), p AS (SELECT i.row_id, min(e.id) id FROM i JOIN e ON length(i.nm) >= 15 AND starts_with(e.nm, i.nm) GROUP BY 1), n AS (SELECT no, min(id) id FROM l WHERE no IS NOT NULL GROUP BY 1) "
+    "SELECT i.row_id, coalesce(e.id, p.id, n.id) mevzuat_id, CASE WHEN e.id IS NOT NULL THEN 'name' WHEN p.id IS NOT NULL THEN 'beginning' WHEN n.id IS NOT NULL THEN 'number' END matched_by FROM i LEFT JOIN e ON e.nm = i.nm LEFT JOIN p ON p.row_id = i.row_id LEFT JOIN n ON n.no = i.no"
+)
 def name_record_match(spark: SparkSession, d: str) -> DataFrame:
-    """Gazette titles matched to laws: the same folded name, or (15 letters at least) its beginning.
+    """The first delivery's laws, by their names without the last word, found again in the last delivery: by name, by its beginning, else by number."""
+    docs = table(spark, d, "mevzuat_dokuman")
+    items = docs.filter("snapshot_no = 1").select("row_id", F.regexp_replace("ad", " [^ ]+$", "").alias("target"), F.trim("mevzuat_no").alias("no"))
+    laws = docs.filter("snapshot_no = 4 and mevzuat_id is not null")
+    return legislation.match_names(items, laws, "row_id", "target", "no").select("row_id", "mevzuat_id", "matched_by")
 
-    The beginning is joined on its first fifteen letters and verified, so no nested loop is needed.
-    """
-    a = table(spark, d, "rg_ogeler").filter("baslik is not null").select("row_id", ascii_fold("baslik").alias("an"))
-    b = table(spark, d, "mevzuat_dokuman").filter("ad is not null").groupBy(ascii_fold("ad").alias("bn")).agg(F.min("mevzuat_id").alias("mevzuat_id"))
-    exact = a.join(b, F.col("an") == F.col("bn")).select("row_id", "mevzuat_id")
-    pre = a.filter(F.length("an") >= 15).withColumn("p", F.substring("an", 1, 15)).join(b.withColumn("p", F.substring("bn", 1, 15)), "p").filter(F.col("bn").startswith(F.col("an"))).select("row_id", "mevzuat_id")
-    return exact.union(pre).distinct()
 
 
 @query("WITH l AS (SELECT user_id, max(ts) m FROM events GROUP BY 1) SELECT user_id, count(*) FILTER (ts > m - INTERVAL 1 HOUR) last_hour, round(count(*) FILTER (ts > m - INTERVAL 24 HOUR) / 24.0, 6) per_hour FROM events JOIN l USING (user_id) GROUP BY 1")
@@ -270,3 +278,23 @@ def live_fallback(spark: SparkSession, d: str) -> DataFrame:
 def approximate_profile(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of a corpus in one pass: distinct texts, quantiles of length, frequent sources."""
     return table(spark, d, "documents").groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n_texts"), F.approx_percentile(F.length("text"), F.array(F.lit(0.5), F.lit(0.95))).alias("lengths"))
+
+
+@query("SELECT row_id, regexp_matches(trim(chamber), '^(([1-9]|1[0-9]|2[0-3])\\. (Hukuk|Ceza) Dairesi|([1-9]|1[0-7])\\. Daire)$') known FROM documents_v2 WHERE chamber IS NOT NULL")
+def known_chambers(spark: SparkSession, d: str) -> DataFrame:
+    """Chambers held against the closed list of those there are: 23 civil and 23 criminal ones, and 17 of the administrative court."""
+    return _dv2(spark, d).filter("chamber is not null").select("row_id", F.trim("chamber").isin(judging.CHAMBERS).alias("known"))
+
+
+#: What queries say beside their words, as each function must read them.
+_SAID = [("Yargıtay 3. Hukuk Dairesi kira", "Yargitay", "3. Hukuk Dairesi", "high", "kira bedeli, kiracı, kiralayan, tahliye", "Yargıtay 3. Hukuk Dairesi kira"), ("TBK 344 sözleşme", None, None, "low", "akit, mukavele, sözleşme ihlali", "6098 (Türk Borçlar Kanunu) m.344 sözleşme"), ("Danıştay iptal", "Danistay", None, "medium", "", "Danıştay iptal")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in _SAID) + ") t(query, court, chamber, confidence, added, normalised)")
+def understood_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Courts, chambers, synonyms and law references of some queries."""
+    rows = []
+    for q, *_ in _SAID:
+        got, sure = court_filters(q)
+        rows.append((q, got.get("court"), got.get("chamber"), sure, ", ".join(synonyms(q)), law_references(q)[0]))
+    return spark.createDataFrame(rows, "query string, court string, chamber string, confidence string, added string, normalised string")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,6 +151,30 @@ def tf_vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d).documents().filter("norm is not null").select(F.col("key").alias("doc_id"), F.round("norm", 6).alias("norm"), "n_terms")
 
 
+_SIZES = f"{POST}, l AS (SELECT doc_id, len({TOK}) dl FROM documents) SELECT (SELECT count(*) FROM l)::BIGINT n_docs, (SELECT sum(dl) FROM l)::BIGINT tokens, (SELECT count(*) FROM post)::BIGINT n_postings, (SELECT count(DISTINCT term) FROM post)::BIGINT n_terms"
+
+
+def _sizes(ix: Index) -> DataFrame:
+    d = ix.documents().agg(F.count("*").alias("n_docs"), F.sum("dl").cast("long").alias("tokens"))
+    t = ix.vocabulary("").agg(F.sum("df").cast("long").alias("n_postings"), F.count("*").alias("n_terms"))
+    return d.join(F.broadcast(t))
+
+
+@query(f"WITH {_SIZES}")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """A whole index built beside the one that queries use, and what it holds."""
+    ix = Index(spark, f"{shared_folder(spark)}/index-build-{uuid.uuid4().hex}").build(_docs(spark, d), "doc_id", "text")
+    return _sizes(ix)
+
+
+@query(f"WITH {_SIZES}")
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """An index built on the documents fetched before 2025 and brought up to date with all: only the missing ones are read again, under frozen frequencies."""
+    docs = _docs(spark, d)
+    ix = Index(spark, f"{shared_folder(spark)}/index-update-{uuid.uuid4().hex}").build(docs.filter(F.col("fetched_at") < F.lit("2025-01-01").cast("timestamp")), "doc_id", "text")
+    return _sizes(ix.append(docs, "doc_id", "text"))
+
+
 @query("SELECT count(*) n_table, count(*) n_index, 0 n_missing, 0 n_orphans, 1.0 coverage FROM documents")
 def index_status(spark: SparkSession, d: str) -> DataFrame:
     """The index beside the table it was made of."""
@@ -269,6 +295,15 @@ def _ann(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near, vectors.exact_top(qs, emb, "vec_id", "embedding", 10)
 
 
+@query()
+def ann_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean recall at 10 over all queries, the share of queries at 0.5 and more, and whether the mean passes 0.9."""
+    near, true = _ann(spark, d)
+    hit = near.select("qid", "key").withColumn("hit", F.lit(1))
+    per = true.join(hit, ["qid", "key"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("r"))
+    return per.agg(F.count("*").alias("n_queries"), F.round(F.avg("r"), 4).alias("mean_recall"), F.round(F.min("r"), 4).alias("least"), F.round(F.avg(F.when(F.col("r") >= 0.5, 1.0).otherwise(0.0)), 4).alias("pass_rate")).withColumn("passes", F.col("mean_recall") >= 0.9)
+
+
 @query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the inverted file at 10 for every vector whose id is divisible by 50, against all vectors."""
@@ -310,6 +345,35 @@ def recall_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return got.join(n).select("hits", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
 
 
+GOLDEN = {"q1": ["kamulaştırma", "bedelini"], "q2": ["kira", "tahliye"], "q3": ["ihbar", "süresini"], "q4": ["tapu", "devrini"]}
+_EVAL = (
+    "WITH " + ", ".join(_bm25_sql(ts, "OR", q) for q, ts in GOLDEN.items()) + ", "
+    + "rk AS (" + " UNION ALL ".join(f"(SELECT '{q}' qid, doc_id, row_number() OVER (ORDER BY score, doc_id) rank FROM {q} QUALIFY rank <= 50)" for q in GOLDEN) + "), "
+    + "gd AS (" + " UNION ALL ".join(f"SELECT '{q}' qid, doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: x = '{ts[0]}')) >= 2" for q, ts in GOLDEN.items()) + "), "
+    + "n AS (SELECT qid, count(*) n_relevant FROM gd GROUP BY 1), g AS (SELECT qid, count(*) hits, sum(1 / log2(rank + 1)) dcg FROM rk WHERE (qid, doc_id) IN (SELECT (qid, doc_id) FROM gd) GROUP BY 1), "
+    + "ev AS (SELECT qid, n_relevant, coalesce(hits, 0) / n_relevant recall, coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(50, n_relevant)) x(i)) ndcg FROM n LEFT JOIN g USING (qid)) "
+)
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """Rankings of the golden queries; relevant is a document that names a query's first word twice."""
+    ix = index(spark, d)
+    ranked = [search.top(ix.bm25(ts, mode="or"), "key", 50, ascending=True).select(F.lit(q).alias("qid"), "key", "rank") for q, ts in GOLDEN.items()]
+    gold = [ix.postings([ts[0]]).filter("tf >= 2").select(F.lit(q).alias("qid"), "key") for q, ts in GOLDEN.items()]
+    return search.evaluate(reduce(DataFrame.unionByName, ranked), reduce(DataFrame.unionByName, gold), "key", 50)
+
+
+@query(_EVAL + "SELECT qid, n_relevant, round(recall, 6) recall, round(ndcg, 6) ndcg, recall >= 0.5 passed FROM ev")
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).select("qid", "n_relevant", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), "passed")
+
+
+@query(_EVAL + "SELECT count(*) n_queries, round(avg(recall), 6) mean_recall, round(avg(ndcg), 6) mean_ndcg, round(avg((recall >= 0.5)::INT), 6) pass_rate, avg(recall) >= 0.3 passes FROM ev")
+def evaluation_gate(spark: SparkSession, d: str) -> DataFrame:
+    r = lambda c: F.round(c, 6).alias(c)
+    return search.gate(_evaluated(spark, d)).select("n_queries", r("mean_recall"), r("mean_ndcg"), r("pass_rate"), "passes")
+
+
 STOP = ["ve", "ile", "bir", "bu", "için", "de", "da", "ise", "olarak", "olan", "the", "of", "la", "le", "et", "der", "die", "und"]
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _KW = f"SELECT lang, term, count(*) n FROM (SELECT lang, unnest({TOK}) term FROM documents) WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY 1, 2"
