@@ -243,12 +243,20 @@ class Index:
 
 
 def index_of(spark: SparkSession, path: str, key: str, text: str | Column, docs: DataFrame | None = None) -> Index:
-    """The index over a table, kept in the shared folder under the table's state; built where there is none yet."""
-    name = hashlib.sha256(repr((path, Store(spark, path).mark(), key, str(text))).encode()).hexdigest()[:24]
-    ix = Index(spark, f"{shared_folder(spark)}/index-{name}")
+    """The index over a table, kept in the shared folder under the table's state; built where there is none yet.
+
+    Of a table's earlier states the latest one's index stays, for queries that still read it; older ones go.
+    """
+    name = lambda x: hashlib.sha256(repr(x).encode()).hexdigest()[:16]
+    own, state = name((path, key, str(text))), name(Store(spark, path).mark())
+    folder = Store(spark, shared_folder(spark))
+    ix = Index(spark, f"{folder.root}/index-{own}-{state}")
     if not ix.meta["generations"] or not all(g.get("weighed") for g in ix.meta["generations"]):
         docs = spark.read.parquet(path) if docs is None else docs
         bytes_in, _ = Store(spark, path).mark()
         # a folder holds the postings of about 256 MB of text
         ix.build(docs, key, text, buckets=int(min(4096, max(16, bytes_in // 2**28))), salts=int(min(64, max(1, bytes_in // 2**32))))
+        others = [n for n in folder.names() if n.startswith(f"index-{own}-") and not n.endswith(state)]
+        for n in sorted(others, key=lambda n: folder.mark(n)[1])[:-1]:
+            folder.delete(n)
     return ix

@@ -12,6 +12,7 @@ from derlem.functions.text import plain_markdown
 from derlem.operators import citations, documents, maintenance
 from derlem.operators.timestamps import normalise_timestamps
 from derlem.session import cut, shared_folder, table
+from derlem.sources.store import Store
 from derlem.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -91,4 +92,6 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
         staged.filter(F.coalesce(F.col("_i"), F.lit(0)) == i).drop("_i").coalesce(1).write.mode("append").parquet(f"{base}/in")
     counts = jobs.windowed_counts(jobs.stream_table(spark, f"{base}/in", e), "ts", "event_type", late="2 days")
     jobs.run_available(counts, f"{base}/checkpoint", each=jobs.keep_latest_rows(f"{base}/out"), mode="update")
-    return jobs.latest_rows(spark, f"{base}/out", ["start", "event_type"]).select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("dy"), "n")
+    got = cut(jobs.latest_rows(spark, f"{base}/out", ["start", "event_type"]).select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("dy"), "n"))
+    Store(spark, base).delete()
+    return got

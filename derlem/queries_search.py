@@ -14,7 +14,7 @@ from derlem.operators import search, vectors
 from derlem.operators.index import Index, index_of
 from derlem.plans.queries import BooleanQuery, parse_match
 from derlem.plans.understanding import expand
-from derlem.session import shared_folder, spread, table
+from derlem.session import cut, shared_folder, spread, table
 from derlem.sources.store import Store
 
 TERMS = ["kira", "bedeli", "sözleşme"]
@@ -164,7 +164,9 @@ def _sizes(ix: Index) -> DataFrame:
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """A whole index built beside the one that queries use, and what it holds."""
     ix = Index(spark, f"{shared_folder(spark)}/index-build-{uuid.uuid4().hex}").build(_docs(spark, d), "doc_id", "text")
-    return _sizes(ix)
+    got = cut(_sizes(ix))
+    ix.store.delete()
+    return got
 
 
 @query(f"WITH {_SIZES}")
@@ -172,7 +174,9 @@ def index_update(spark: SparkSession, d: str) -> DataFrame:
     """An index built on the documents fetched before 2025 and brought up to date with all: only the missing ones are read again, under frozen frequencies."""
     docs = _docs(spark, d)
     ix = Index(spark, f"{shared_folder(spark)}/index-update-{uuid.uuid4().hex}").build(docs.filter(F.col("fetched_at") < F.lit("2025-01-01").cast("timestamp")), "doc_id", "text")
-    return _sizes(ix.append(docs, "doc_id", "text"))
+    got = cut(_sizes(ix.append(docs, "doc_id", "text")))
+    ix.store.delete()
+    return got
 
 
 @query("SELECT count(*) n_table, count(*) n_index, 0 n_missing, 0 n_orphans, 1.0 coverage FROM documents")
@@ -218,8 +222,8 @@ def boolean_query_match(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT document_id, source, court, chamber FROM documents_v2 WHERE source = 'yargitay' AND court ILIKE '%yargıtay%' AND chamber ILIKE '%hukuk%' AND content_status = 'full_text' AND quote_usable = 1")
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents_v2")
-    p = (F.col("source") == "yargitay") & F.col("court").ilike("%yargıtay%") & F.col("chamber").ilike("%hukuk%") & (F.col("content_status") == "full_text") & (F.col("quote_usable") == 1)
-    return docs.filter(p).select("document_id", "source", "court", "chamber")
+    where = {"source": "yargitay", "court": "yargıtay", "chamber": "hukuk", "content_status": "full_text", "quote_usable": 1}
+    return docs.filter(search.predicate(where, exact=("source", "document_id", "content_status"))).select("document_id", "source", "court", "chamber")
 
 
 @query("SELECT row_id, document_id FROM documents_v2 WHERE title ILIKE '%ceza dairesi%' OR full_text ILIKE '%kira bedelini%' OR markdown ILIKE '%kira bedelini%'")
