@@ -87,33 +87,36 @@ def survivors(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame
 
 
 def claims(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(cluster_id, field_name, value, shown, holder, yes, no): per distinct value the sources that assert it and those that assert another.
+    """(cluster_id, field_name, value, shown, holder, votes): per distinct value how many members of each source assert it and how many another.
 
-    ``records`` with ``values``. ``holder`` is the most trusted record with the value; the groups' members are few.
+    ``records`` with ``values``. ``holder`` is the most trusted record with the value. ``votes`` has an entry per source that
+    says anything, whatever the number of members, so no group is collected however large it is.
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("c")) for f in fields])).alias("x")
     src = F.coalesce(fold_key(F.col("order.source")), F.lit(""))
-    rows = records.select("cluster_id", "key", "order", src.alias("src"), each).select("cluster_id", "key", "order", "src", "x.field_name", "x.c.h", "x.c.v").filter("h is not null")
-    said = rows.groupBy("cluster_id", "field_name", "h", "key", "src").agg(F.min(F.struct("order", "v")).alias("o"))
-    value = said.groupBy("cluster_id", "field_name", "h").agg(F.sort_array(F.collect_list("src")).alias("yes"), F.min("o").alias("o"), F.collect_set("key").alias("keys"))
-    others = said.select("cluster_id", "field_name", "key", "src").distinct().groupBy("cluster_id", "field_name").agg(F.collect_list(F.struct("key", "src")).alias("ms"))
-    no = F.array_sort(F.transform(F.filter("ms", lambda m: ~F.array_contains(F.col("keys"), m["key"])), lambda m: m["src"]))
-    return value.join(others, ["cluster_id", "field_name"]).select("cluster_id", "field_name", F.col("h").alias("value"), F.col("o.v").alias("shown"), F.col("o.order").alias("holder"), "yes", no.alias("no"))
+    place = ["cluster_id", "field_name"]
+    said = records.select("cluster_id", "key", "order", src.alias("src"), each).select("cluster_id", "key", "order", "src", "x.field_name", "x.c.h", "x.c.v").filter("h is not null")
+    by_source = said.groupBy(*place, "h", "src").agg(F.count_distinct("key").alias("yes"), F.min(F.struct("order", "v")).alias("o"))
+    all_of = said.groupBy(*place, "src").agg(F.count_distinct("key").alias("n"))
+    values = by_source.groupBy(*place, "h").agg(F.min("o").alias("o"))
+    votes = values.join(all_of, place).join(by_source.select(*place, "h", "src", "yes"), [*place, "h", "src"], "left")
+    yes = F.coalesce("yes", F.lit(0)).cast("int")
+    vote = F.struct("src", yes.alias("yes"), (F.col("n") - yes).cast("int").alias("no"))
+    got = votes.groupBy(*place, "h").agg(F.first("o").alias("o"), F.sort_array(F.collect_list(vote)).alias("votes"))
+    return got.select(*place, F.col("h").alias("value"), F.col("o.v").alias("shown"), F.col("o.order").alias("holder"), "votes")
 
 
 Quality = dict[tuple[str, str], tuple[float, float]]
 
 
-def posterior(field: str, yes: list[str], no: list[str], q: Quality, prior: dict[str, float]) -> float:
-    """Probability that a value is true, given the (sensitivity, specificity) of each source for the field."""
+def posterior(field: str, votes: list, q: Quality, prior: dict[str, float]) -> float:
+    """Probability that a value is true, given the votes on it and the (sensitivity, specificity) of each source for the field."""
     p = prior.get(field, 0.5)
     a, b = np.log(p), np.log(1 - p)
-    for s in yes:
-        sens, spec = q[s, field]
-        a, b = a + np.log(sens), b + np.log(1 - spec)
-    for s in no:
-        sens, spec = q[s, field]
-        a, b = a + np.log(1 - sens), b + np.log(spec)
+    for v in votes:
+        sens, spec = q[v["src"], field]
+        a += v["yes"] * np.log(sens) + v["no"] * np.log(1 - sens)
+        b += v["yes"] * np.log(1 - spec) + v["no"] * np.log(spec)
     return float(1 / (1 + np.exp(np.clip(b - a, -500, 500))))
 
 
@@ -124,8 +127,8 @@ def latent_quality(claim: DataFrame, rounds: int = 12, start: tuple[float, float
     are rarer than missing ones. Qualities are learned for each field apart: where members rightly have values of their own
     (an address, a text) the sensitivity comes out low, so that another value is no denial.
     """
-    sig = cut(claim.groupBy("field_name", "yes", "no").count())
-    names = [(r["s"], r["field_name"]) for r in sig.select("field_name", F.explode(F.concat("yes", "no")).alias("s")).distinct().collect()]
+    sig = cut(claim.groupBy("field_name", "votes").count())
+    names = [(r["s"], r["field_name"]) for r in sig.select("field_name", F.explode("votes.src").alias("s")).distinct().collect()]
     q: Quality = dict.fromkeys(names, start)
     prior: dict[str, float] = {}
     for _ in range(rounds):
@@ -133,11 +136,11 @@ def latent_quality(claim: DataFrame, rounds: int = 12, start: tuple[float, float
         def expect(batches: Iterator[pd.DataFrame], q: Quality = q, prior: dict = prior) -> Iterator[pd.DataFrame]:
             for b in batches:
                 got: dict = {}
-                for f, yes, no, n in zip(b["field_name"], b["yes"], b["no"], b["count"]):
-                    t = posterior(f, yes, no, q, prior)
-                    for s, hit in [*((s, 1) for s in yes), *((s, 0) for s in no), (None, 1)]:
+                for f, votes, n in zip(b["field_name"], b["votes"], b["count"]):
+                    t = posterior(f, votes, q, prior)
+                    for s, yes, no in [*((v["src"], v["yes"], v["no"]) for v in votes), (None, 1, 0)]:
                         x = got.setdefault((s, f), np.zeros(4))
-                        x += n * np.array([t * hit, t, (1 - t) * (1 - hit), 1 - t])
+                        x += n * np.array([t * yes, t * (yes + no), (1 - t) * no, (1 - t) * (yes + no)])
                 yield pd.DataFrame([(s, f, *x) for (s, f), x in got.items()], columns=["s", "f", "tp", "true", "tn", "false"])
 
         sums = sig.mapInPandas(expect, "s string, f string, tp double, `true` double, tn double, `false` double").groupBy("s", "f").agg(*[F.sum(c).alias(c) for c in ("tp", "true", "tn", "false")])
@@ -160,10 +163,11 @@ def judged_values(claim: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = [posterior(f, y, n, q, prior) for f, y, n in zip(b["field_name"], b["yes"], b["no"])]
-            yield pd.DataFrame({**{c: b[c] for c in ("cluster_id", "field_name", "value", "document_id", "source")}, "n_yes": b["yes"].map(len), "n_no": b["no"].map(len), "posterior": p, "retained": [x >= threshold for x in p]})
+            p = [posterior(f, v, q, prior) for f, v in zip(b["field_name"], b["votes"])]
+            count = lambda side: [sum(v[side] for v in vs) for vs in b["votes"]]  # noqa: E731, B023
+            yield pd.DataFrame({**{c: b[c] for c in ("cluster_id", "field_name", "value", "document_id", "source")}, "n_yes": count("yes"), "n_no": count("no"), "posterior": p, "retained": [x >= threshold for x in p]})
 
-    slim = claim.select("cluster_id", "field_name", F.col("shown").alias("value"), "holder.document_id", "holder.source", "yes", "no")
+    slim = claim.select("cluster_id", "field_name", F.col("shown").alias("value"), "holder.document_id", "holder.source", "votes")
     return slim.mapInPandas(run, "cluster_id string, field_name string, value string, document_id string, source string, n_yes int, n_no int, posterior double, retained boolean")
 
 

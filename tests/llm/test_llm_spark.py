@@ -124,6 +124,13 @@ def test_survivors_and_model(spark):
     assert survivors.survivors(survivors.group_records(cl.limit(0), mem, docs)).count() == 0
 
 
+CLAIM = "cluster_id string, field_name string, value long, shown string, holder struct<document_id:string,source:string>, votes array<struct<src:string,yes:int,no:int>>"
+
+
+def ballot(yes, who):
+    return [(s, int(s in yes), int(s not in yes)) for s in sorted(who)]
+
+
 def test_latent_quality_finds_the_bad_source(spark):
     r = random.Random(1)
     rows = []
@@ -132,8 +139,8 @@ def test_latent_quality_finds_the_bad_source(spark):
         wrong = [s for s, p in (("good", 0.02), ("fair", 0.1), ("bad", 0.7)) if r.random() < p]
         for v, yes in ((1, yes_true), (2, wrong)):
             if yes:
-                rows.append((str(g), "f", v, str(v), (str(g), "s"), sorted(yes), sorted({"good", "fair", "bad"} - set(yes))))
-    claim = spark.createDataFrame(rows, "cluster_id string, field_name string, value long, shown string, holder struct<document_id:string,source:string>, yes array<string>, no array<string>")
+                rows.append((str(g), "f", v, str(v), (str(g), "s"), ballot(yes, {"bad", "fair", "good"})))
+    claim = spark.createDataFrame(rows, CLAIM)
     q, _ = survivors.latent_quality(claim)
     assert q["good", "f"][0] > q["fair", "f"][0] > q["bad", "f"][0] and q["good", "f"][1] > q["bad", "f"][1]
     judged = survivors.judged_values(claim)
@@ -148,8 +155,8 @@ def test_several_true_values_are_kept(spark):
         # two true values; every source knows each of them or not, and seldom says a false one
         said = {v: sorted(s for s in "abcd" if r.random() < (0.75 if v != "x" else 0.06)) for v in ("p", "q", "x")}
         who = {s for yes in said.values() for s in yes}
-        rows += [(str(g), "f", i, v, (str(g), "s"), yes, sorted(who - set(yes))) for i, (v, yes) in enumerate(said.items()) if yes]
-    claim = spark.createDataFrame(rows, "cluster_id string, field_name string, value long, shown string, holder struct<document_id:string,source:string>, yes array<string>, no array<string>")
+        rows += [(str(g), "f", i, v, (str(g), "s"), ballot(yes, who)) for i, (v, yes) in enumerate(said.items()) if yes]
+    claim = spark.createDataFrame(rows, CLAIM)
     judged = survivors.judged_values(claim)
     right = judged.filter("retained and value <> 'x'").count()
     assert right / judged.filter("retained").count() > 0.9 and right / judged.filter("value <> 'x'").count() > 0.9
