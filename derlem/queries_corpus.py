@@ -268,33 +268,41 @@ def median_gap(spark: SparkSession, d: str) -> DataFrame:
     return versions.gaps(_laws(spark, d), ["tur", "nm"], "d")
 
 
-_CURRENT = (
-    f"WITH {_LAWS}, docs AS (SELECT l.tur, nullif(nm, '') nm, {CLEAN('mevzuat_id')} mevzuat_id, snapshot_no, row_id, dy FROM mevzuat_dokuman m JOIN laws l USING (row_id) WHERE {CLEAN('mevzuat_id')} <> '' QUALIFY row_number() OVER (PARTITION BY {FOLDED('mevzuat_id')} ORDER BY snapshot_no DESC, cekim_zamani DESC NULLS LAST, row_id DESC) = 1), "
-    "gap AS (SELECT tur, nm, dy - lag(dy) OVER (PARTITION BY tur, nm ORDER BY dy) g FROM docs WHERE dy IS NOT NULL), "
-    f"series AS (SELECT a.tur, a.nm FROM (SELECT tur, nm, count(*) k, count(dy) kd FROM docs GROUP BY 1, 2) a JOIN (SELECT tur, nm, median(g) m FROM gap GROUP BY 1, 2) b USING (tur, nm) WHERE k = kd AND round(m, 3) >= 150 AND a.tur IN {tuple(SERIES_KINDS)}), "
-    "ranked AS (SELECT d.*, s.tur IS NOT NULL in_series, row_number() OVER (PARTITION BY d.tur, d.nm ORDER BY dy DESC NULLS LAST, mevzuat_id DESC) r FROM docs d LEFT JOIN series s ON s.tur = d.tur AND s.nm = d.nm) "
-)
+#: A name without the place it begins with and the number it ends with: in these tables every law has a number of its own.
+_SHORT = r"^\S+ | \d+\z"
+
 
+def _current_sql(name: str = "nm") -> str:
+    return (
+        f"WITH {_LAWS}, docs AS (SELECT l.tur, nullif({name}, '') nm, {CLEAN('mevzuat_id')} mevzuat_id, snapshot_no, row_id, dy FROM mevzuat_dokuman m JOIN laws l USING (row_id) WHERE {CLEAN('mevzuat_id')} <> '' QUALIFY row_number() OVER (PARTITION BY {FOLDED('mevzuat_id')} ORDER BY snapshot_no DESC, cekim_zamani DESC NULLS LAST, row_id DESC) = 1), "
+        "gap AS (SELECT tur, nm, dy - lag(dy) OVER (PARTITION BY tur, nm ORDER BY dy) g FROM docs WHERE dy IS NOT NULL), "
+        f"series AS (SELECT a.tur, a.nm FROM (SELECT tur, nm, count(*) k, count(dy) kd FROM docs GROUP BY 1, 2) a JOIN (SELECT tur, nm, median(g) m FROM gap GROUP BY 1, 2) b USING (tur, nm) WHERE k = kd AND round(m, 3) >= 150 AND a.tur IN {tuple(SERIES_KINDS)}), "
+        "ranked AS (SELECT d.*, s.tur IS NOT NULL in_series, row_number() OVER (PARTITION BY d.tur, d.nm ORDER BY dy DESC NULLS LAST, mevzuat_id DESC) r FROM docs d LEFT JOIN series s ON s.tur = d.tur AND s.nm = d.nm) "
+    )
 
-@query(_CURRENT + "SELECT tur, nm, mevzuat_id, snapshot_no, row_id FROM ranked WHERE NOT in_series OR r = 1")
+
+@query(_current_sql() + "SELECT tur, nm, mevzuat_id, snapshot_no, row_id FROM ranked WHERE NOT in_series OR r = 1")
 def version_series_current(spark: SparkSession, d: str) -> DataFrame:
     """The current document of each series, and every document that is in none; of a document the last delivery holds."""
     return versions.current(_last_deliveries(spark, d), ["tur", "nm"], "mevzuat_id", "d", SERIES_KINDS).drop("d")
 
 
-def _last_deliveries(spark: SparkSession, d: str) -> DataFrame:
+def _last_deliveries(spark: SparkSession, d: str, cut_off: str = "") -> DataFrame:
     w = Window.partitionBy(fold_key("mevzuat_id")).orderBy(F.col("snapshot_no").desc(), F.col("cekim_zamani").desc_nulls_last(), F.col("row_id").desc())
     docs = _laws(spark, d).filter(~is_blank("mevzuat_id")).withColumn("r", F.row_number().over(w)).filter("r = 1")
-    return docs.select("tur", F.nullif("nm", F.lit("")).alias("nm"), strip("mevzuat_id").alias("mevzuat_id"), "snapshot_no", "row_id", "d")
+    return docs.select("tur", F.nullif(F.regexp_replace("nm", cut_off, "") if cut_off else F.col("nm"), F.lit("")).alias("nm"), strip("mevzuat_id").alias("mevzuat_id"), "snapshot_no", "row_id", "d")
 
 
-@query(_CURRENT + ", cur AS (SELECT tur, nm, mevzuat_id current_id FROM ranked WHERE in_series AND r = 1), a AS (SELECT DISTINCT lower(trim(mevzuat_id)) k, mevzuat_id, sira, madde_no FROM mevzuat_madde), old AS (SELECT a.mevzuat_id, a.sira, a.madde_no, c.current_id, lower(regexp_replace(a.madde_no, '\\s+', '', 'g')) no FROM a JOIN ranked r ON lower(trim(r.mevzuat_id)) = a.k JOIN cur c ON c.tur = r.tur AND c.nm = r.nm WHERE c.current_id <> r.mevzuat_id), now AS (SELECT lower(trim(mevzuat_id)) k, lower(regexp_replace(madde_no, '\\s+', '', 'g')) no, min(sira) current_sira FROM mevzuat_madde GROUP BY 1, 2) SELECT old.mevzuat_id, old.sira, old.madde_no, old.current_id, current_sira FROM old LEFT JOIN now ON now.k = lower(old.current_id) AND now.no = old.no")
+@query(_current_sql("regexp_replace(nm, '^[^ ]+ | [0-9]+$', '', 'g')") + ", cur AS (SELECT tur, nm, mevzuat_id current_id FROM ranked WHERE in_series AND r = 1), a AS (SELECT DISTINCT lower(trim(mevzuat_id)) k, mevzuat_id, sira, madde_no FROM mevzuat_madde), old AS (SELECT a.mevzuat_id, a.sira, a.madde_no, c.current_id, lower(regexp_replace(a.madde_no, '\\s+', '', 'g')) no FROM a JOIN ranked r ON lower(trim(r.mevzuat_id)) = a.k JOIN cur c ON c.tur = r.tur AND c.nm = r.nm WHERE c.current_id <> r.mevzuat_id), now AS (SELECT lower(trim(mevzuat_id)) k, lower(regexp_replace(madde_no, '\\s+', '', 'g')) no, min(sira) current_sira FROM mevzuat_madde GROUP BY 1, 2) SELECT old.mevzuat_id, old.sira, old.madde_no, old.current_id, current_sira FROM old LEFT JOIN now ON now.k = lower(old.current_id) AND now.no = old.no")
 def version_folding(spark: SparkSession, d: str) -> DataFrame:
-    """Articles of older members of a series with the current member's article of the same number; null where that has none."""
+    """Articles of older members of a series with the current member's article of the same number; null where that has none.
+
+    Names count without their first word and number here (``_SHORT``).
+    """
     key = lambda c: F.lower(F.trim(F.col(c)))
     number = F.lower(F.regexp_replace("madde_no", r"\s+", ""))
     arts = table(spark, d, "mevzuat_madde").select("mevzuat_id", "sira", "madde_no").distinct()
-    docs = _last_deliveries(spark, d)
+    docs = _last_deliveries(spark, d, _SHORT)
     folded = versions.older(docs, ["tur", "nm"], "mevzuat_id", "d", SERIES_KINDS).select(key("mevzuat_id").alias("k"), "current_id")
     old = arts.withColumn("k", key("mevzuat_id")).join(folded, "k").select("mevzuat_id", "sira", "madde_no", "current_id", number.alias("no"))
     now = arts.groupBy(key("mevzuat_id").alias("k"), number.alias("no")).agg(F.min("sira").alias("current_sira"))

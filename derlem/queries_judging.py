@@ -164,6 +164,21 @@ def fuzzy_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return vectors.fuzzy_pairs(v.withColumn("clusters", F.coalesce("clusters", F.array().cast("array<string>"))))
 
 
+@query(
+    "WITH p AS (SELECT * FROM (@FUZZY@)), e AS (SELECT doc_a document_id, source_a source, score, confidence FROM p UNION ALL SELECT doc_b, source_b, score, confidence FROM p) SELECT document_id, source, count(*) n_partners, max(score) best, count(*) FILTER (confidence = 'high') n_high FROM e GROUP BY 1, 2"
+)
+def fuzzy_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per suspected record with the number of its partners and the best score: the form for tables of any size."""
+    p = fuzzy_duplicates(spark, d)
+    side = lambda x: p.select(F.col(f"doc_{x}").alias("document_id"), F.col(f"source_{x}").alias("source"), "score", "confidence")
+    g = side("a").unionByName(side("b")).groupBy("document_id", "source")
+    return g.agg(F.count("*").alias("n_partners"), F.max("score").alias("best"), F.count_if(F.col("confidence") == "high").alias("n_high"))
+
+
+SQL["fuzzy_links"] = SQL["fuzzy_links"].replace("@FUZZY@", SQL["fuzzy_duplicates"])
+
+
+
 _ARG = "regexp_matches(full_text, '(?i)(hükme esas|gerekçe|sonuç olarak)')"
 
 

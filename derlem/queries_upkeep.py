@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from derlem.functions.keys import fold_key, is_blank, pair_key, strip
 from derlem.functions.text import ascii_fold
 from derlem.operators import maintenance, versions
-from derlem.queries_corpus import CLEAN, FOLDED, NAME, QUERIES as CORPUS, REC, SQL as CORPUS_SQL, _dv2, _laws, _records
+from derlem.queries_corpus import CLEAN, FOLDED, NAME, QUERIES as CORPUS, REC, SQL as CORPUS_SQL, _LAWS, _SHORT, _dv2, _laws, _records
 from derlem.queries_search import QUERIES as SEARCH, SQL as SEARCH_SQL, TOK
 from derlem.session import table
 
@@ -109,10 +109,10 @@ def legislation_search(spark: SparkSession, d: str) -> DataFrame:
     return hit.join(kinds, "no", "left").select("mevzuat_id", "tur", "no", "ambiguous").distinct()
 
 
-@query()
+@query(f"WITH {_LAWS}, u AS (SELECT DISTINCT tur, regexp_replace(nm, '^[^ ]+ | [0-9]+$', '', 'g') nm, dy FROM laws WHERE dy IS NOT NULL), l AS (SELECT *, dy - lag(dy) OVER (PARTITION BY tur, nm ORDER BY dy) gap FROM u) SELECT tur, nm, count(*) n, round(median(gap), 3) median_gap, max(dy)::VARCHAR newest FROM l GROUP BY 1, 2")
 def series_of_names(spark: SparkSession, d: str) -> DataFrame:
     """The rule of series for every name apart from its number: what counts as versions of one another, with the gaps that decide."""
-    laws = _laws(spark, d).withColumn("nm", F.regexp_replace("nm", r"^\S+ | \d+$", ""))
+    laws = _laws(spark, d).withColumn("nm", F.regexp_replace("nm", _SHORT, ""))
     return versions.gaps(laws, ["tur", "nm"], "d")
 
 
