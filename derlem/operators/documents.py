@@ -130,22 +130,37 @@ _KINDS = {"değişik": "degisik", "degisik": "degisik", "ek": "ek", "mülga": "m
 _NOTE = re.compile(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 _PART = re.compile(r"(?P<kind>değişik|degisik|ek|mülga|mulga|iptal)(?:\s+(?P<scope>fıkra|bent|cümle|ibare|başlık))?\s*:", re.IGNORECASE)
 _FROM = re.compile(r"(?:(\d{1,2})/(\d{1,2})/(\d{4})\s*[-–]\s*)?((?:KHK[-/ ]?)?\d+)\s*/\s*(\d+)\s*md", re.IGNORECASE)
+_GAZETTE = re.compile(r"\bRG\s*[-–:]?\s*(\d{1,2})[/.](\d{1,2})[/.](\d{4})\s*[-–]\s*(\d+)")
+_CASE = re.compile(r"\bE\.?\s*:?\s*(\d{4}/\d+)")
+_DECISION = re.compile(r"\bK\.?\s*:?\s*(\d{4}/\d+)")
+_FOOTNOTE = re.compile(r"\s*(?:\((\d{1,3})\)|\[(\d{1,3})\])")
+#: The fields of an amendment as a schema.
+AMENDMENT = "scope string, kind string, date string, by_no string, by_article string, gazette_date string, gazette_no string, court_case string, court_decision string, footnote int, raw string"
 
 
-def amendments(text: str | None) -> list[tuple[str, str, str | None, str | None, str | None, str]]:
-    """(scope, kind, ISO date, amending number, amending article, raw) of the notes in brackets, each once.
+def _iso(d: str, m: str, y: str) -> str:
+    return f"{y}-{int(m):02d}-{int(d):02d}"
 
-    A bracket may hold several notes and one level of inner brackets.
+
+def amendments(text: str | None) -> list[tuple]:
+    """The notes in brackets as rows of ``AMENDMENT``, each once; what a note does not say is None.
+
+    A bracket may hold several notes and one level of inner brackets; a number in brackets right behind it is its footnote.
     """
+    text = text or ""
     out: dict = {}
-    for m in _NOTE.finditer(text or ""):
+    for m in _NOTE.finditer(text):
         note = re.sub(r"\s+", " ", m.group(1)).strip()
         marks = list(_PART.finditer(note))
+        foot = _FOOTNOTE.match(text, m.end())
         for i, p in enumerate(marks):
             item = note[p.end() : marks[i + 1].start() if i + 1 < len(marks) else len(note)]
-            f = _FROM.search(item)
-            date = f"{f[3]}-{int(f[2]):02d}-{int(f[1]):02d}" if f and f[3] else None
-            out[(p["scope"] or "madde").lower(), _KINDS[p["kind"].lower().replace("i̇", "i")], date, f[4] if f else None, f[5] if f else None, f"({note})"] = None
+            f, g, case, decision = _FROM.search(item), _GAZETTE.search(item), _CASE.search(item), _DECISION.search(item)
+            row = (
+                (p["scope"] or "madde").lower(), _KINDS[p["kind"].lower().replace("i̇", "i")], _iso(*f.groups()[:3]) if f and f[3] else None, f[4] if f else None, f[5] if f else None,
+                _iso(*g.groups()[:3]) if g else None, g[4] if g else None, case[1] if case else None, decision[1] if decision else None, int(foot[1] or foot[2]) if foot else None, f"({note})",
+            )
+            out[row] = None
     return list(out)
 
 

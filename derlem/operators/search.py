@@ -108,8 +108,8 @@ def rrf_with_ranks(lists: dict[str, DataFrame], key: str, k: int = 60) -> DataFr
     return u.groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), *[F.max(F.when(F.col("_list") == n, F.col("rank"))).alias(n) for n in lists])
 
 
-def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6, norm: str = "inverse") -> DataFrame:
-    """weight * bm25n + (1 - weight) * cosine over the union of both.
+def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6, norm: str = "inverse", dense: DataFrame | None = None, dense_weight: float = 0.0) -> DataFrame:
+    """weight * bm25n + (1 - weight) * cosine over the union of both, and dense_weight * dense beside them; then all by 1 + dense_weight.
 
     ``norm``: ``inverse`` maps a BM25 score s to 1 / (1 + |s|), which falls as matches get
     stronger; ``monotone`` maps it to |s| / (1 + |s|).
@@ -117,7 +117,12 @@ def hybrid(lexical: DataFrame, vector: DataFrame, key: str, weight: float = 0.6,
     a = F.abs("bm25")
     n = 1 / (1 + a) if norm == "inverse" else a / (1 + a)
     j = lexical.select(key, F.col("score").alias("bm25")).join(vector.select(key, F.col("score").alias("cos")), key, "full_outer")
-    return j.select(key, (F.lit(weight) * F.coalesce(n, F.lit(0.0)) + F.lit(1 - weight) * F.coalesce("cos", F.lit(0.0))).alias("score"))
+    zero = F.lit(0.0)
+    score = F.lit(weight) * F.coalesce(n, zero) + F.lit(1 - weight) * F.coalesce("cos", zero)
+    if dense is None or not dense_weight:
+        return j.select(key, score.alias("score"))
+    j = j.join(dense.select(key, F.col("score").alias("dense")), key, "full_outer")
+    return j.select(key, ((score + F.lit(dense_weight) * F.coalesce("dense", zero)) / (1 + dense_weight)).alias("score"))
 
 
 def two_stage(every: DataFrame, some: DataFrame, key: str, limit: int) -> DataFrame:

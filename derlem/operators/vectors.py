@@ -147,6 +147,21 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray
     return c
 
 
+def read_sidecars(spark: SparkSession, folder: str, dims: int | None = None) -> DataFrame:
+    """The vectors of ``folder``/vectors with the keys of ``folder``/keys, matched by ``row``; refused where they do not fit.
+
+    Both must have the same number of rows, all vectors one dimension, and all keys one version of chunking.
+    """
+    v, k = spark.read.parquet(f"{folder}/vectors"), spark.read.parquet(f"{folder}/keys")
+    a = v.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
+    b = k.agg(F.count("*").alias("n"), F.count_distinct("chunk_version").alias("versions")).first()
+    if a["n"] != b["n"]:
+        raise ValueError(f"{a['n']} vectors for {b['n']} keys")
+    if a["n"] and (a["low"] != a["high"] or (dims and a["low"] != dims) or b["versions"] > 1):
+        raise ValueError(f"dimensions {a['low']} to {a['high']}, {b['versions']} versions of chunking")
+    return k.join(v, "row")
+
+
 class InvertedFile:
     """Cells of a k-means over unit vectors, with product-quantised codes; a query scans the codes of its nearest cells, and the
     best of them are scored again by their exact vectors.

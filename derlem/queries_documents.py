@@ -46,7 +46,7 @@ def article_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def amendment_notes(spark: SparkSession, d: str) -> DataFrame:
-    return documents.parts(table(spark, d, "mevzuat_degisiklik"), ["row_id"], "ham", documents.amendments, "scope string, kind string, date string, by_no string, by_article string, raw string")
+    return documents.parts(table(spark, d, "mevzuat_degisiklik"), ["row_id"], "ham", documents.amendments, documents.AMENDMENT)
 
 
 @query()

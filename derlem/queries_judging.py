@@ -10,7 +10,7 @@ from derlem.functions.text import tokens
 from derlem.operators import judging, legislation, search, vectors
 from derlem.queries_corpus import AS_OF, CLEAN, FOLDED, NAME, REC, _dv2, _records
 from derlem.plans.understanding import court_filters, expand, law_references, synonyms
-from derlem.queries_search import TOK, _bm25_sql, index
+from derlem.queries_search import TOK, _bm25_sql, _tfidf_sql, index
 from derlem.session import spread, table
 
 QUERIES, SQL = {}, {}
@@ -259,6 +259,25 @@ def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", "axis", F.round("x", 6).alias("x"))
 
 
+_HV = "(WITH w AS (SELECT doc_id, unnest({tok}) w FROM {src}), p AS (SELECT doc_id, w, 1.5 x FROM w UNION ALL SELECT doc_id, substr(w, i, 3), 0.35 FROM (SELECT doc_id, w, unnest(range(1, length(w) - 1)) i FROM w WHERE length(w) >= 5)), h AS (SELECT doc_id, sha256(w) h, x FROM p), a AS (SELECT doc_id, (('0x' || substr(h, 1, 7))::BIGINT % 128)::INT axis, sum(CASE WHEN ('0x' || substr(h, 8, 1))::INT % 2 = 0 THEN x ELSE -x END) x FROM h GROUP BY 1, 2) SELECT a.doc_id, axis, x / greatest(n, 1e-12) x FROM a JOIN (SELECT doc_id, sqrt(sum(x * x)) n FROM a GROUP BY 1) n USING (doc_id))"
+_ASK = ["tapu", "kira", "tahliye"]
+
+
+@query(
+    f"WITH {_bm25_sql(_ASK, 'OR')}, {_tfidf_sql(_ASK)}, dv AS {_HV.format(tok=TOK, src='documents')}, qv AS {_HV.format(tok=TOK, src=f"(SELECT 0 doc_id, {chr(39)}{' '.join(_ASK)}{chr(39)} AS {chr(34)}text{chr(34)})")}, de AS (SELECT dv.doc_id, sum(dv.x * qv.x) score FROM dv JOIN qv USING (axis) GROUP BY 1 HAVING sum(dv.x * qv.x) > 0), "
+    "hy AS (SELECT doc_id, 0.6 * coalesce(abs(b.score) / (1 + abs(b.score)), 0) + 0.4 * coalesce(t.score, 0) score FROM bm b FULL JOIN ti t USING (doc_id)) SELECT doc_id, round(s, 6) score FROM (SELECT doc_id, (coalesce(hy.score, 0) + 0.5 * coalesce(de.score, 0)) / 1.5 s FROM hy FULL JOIN de USING (doc_id)) ORDER BY s DESC, doc_id LIMIT 20"
+)
+def hybrid_dense_top20(spark: SparkSession, d: str) -> DataFrame:
+    """Three rankers in one score: BM25, TF-IDF and hash embeddings, of which only the axes the query has are read."""
+    ix = index(spark, d)
+    docs = judging.hash_embedding(table(spark, d, "documents"), "doc_id", tokens("text"))
+    ask = judging.hash_embedding(spark.createDataFrame([(0, " ".join(_ASK))], "doc_id long, text string"), "doc_id", tokens("text")).select("axis", F.col("x").alias("q"))
+    dense = docs.join(F.broadcast(ask), "axis").groupBy("doc_id").agg(F.sum(F.col("x") * F.col("q")).alias("score")).filter("score > 0")
+    key = lambda df: df.withColumnRenamed("key", "doc_id")
+    h = search.hybrid(key(ix.bm25(_ASK, mode="or")), key(ix.cosine(_ASK)), "doc_id", norm="monotone", dense=dense, dense_weight=0.5)
+    return search.top(h, "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _STEMMED = expand(["bedelini", "taşınmazın"])
 
 

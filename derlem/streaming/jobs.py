@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from derlem.operators import citations
 from derlem.operators.index import Index
 from derlem.session import cut
 from derlem.sources.store import Store
@@ -162,6 +163,18 @@ def keep_index(ix: Index, key: str, text: str) -> Callable[[DataFrame, int], Non
     return write
 
 
+def keep_edges(folder: str, records: DataFrame, key: str, text: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that finds the citations of a batch's texts among ``records`` and keeps them under its number.
+
+    The stream's checkpoint says how far the build has come; a batch that is done again replaces its edges.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        citations.build_edges(citations.candidates(batch, key, text), records, key).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
 def keep_latest_rows(folder: str) -> Callable[[DataFrame, int], None]:
     """A batch function for update mode: each batch's rows under its number; ``latest_rows`` reads them."""
 

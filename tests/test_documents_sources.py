@@ -57,6 +57,8 @@ def test_articles_and_notes():
     assert [g[0] for g in got] == ["1", "Ek 2/A", "Geçici 1"] and got[0][2] == "Amaç budur.\nikinci satır" and got[2][2] == "Son."
     n = D.amendments("metin (Ek: 17/7/2003-4949/50 md.; Mülga fıkra: 28/2/2018-7101/65 md.) ve (dahil) (Değişik: 6418/3 md.)")
     assert [(x[0], x[1], x[2], x[3], x[4]) for x in n] == [("madde", "ek", "2003-07-17", "4949", "50"), ("fıkra", "mulga", "2018-02-28", "7101", "65"), ("madde", "degisik", None, "6418", "3")]
+    c = D.amendments("(İptal: Anayasa Mahkemesinin 12/3/2015 tarihli ve E.: 2014/1, K.: 2015/27 sayılı Kararı ile.; RG-2/4/2015-29314) (3)")
+    assert [x[5:10] for x in c] == [("2015-04-02", "29314", "2014/1", "2015/27", 3)] and c[0][1] == "iptal"
     assert D.amendments(None) == [] and D.articles("") == []
 
 

@@ -51,6 +51,30 @@ def test_inverted_file(spark, tmp_path):
     assert {tuple(r) for r in both.collect()} == {(1, 0.4), (2, 0.5)}
 
 
+def test_sidecars(spark, tmp_path):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / "s" / name))
+    put("vectors", [(0, [1.0, 0.0]), (1, [0.0, 1.0])], "row long, vector array<double>")
+    put("keys", [(0, "a", 2), (1, "b", 2)], "row long, document_id string, chunk_version int")
+    assert vectors.read_sidecars(spark, str(tmp_path / "s"), 2).count() == 2
+    with pytest.raises(ValueError):
+        vectors.read_sidecars(spark, str(tmp_path / "s"), 3)
+    put("keys", [(0, "a", 1), (1, "b", 2)], "row long, document_id string, chunk_version int")
+    with pytest.raises(ValueError):
+        vectors.read_sidecars(spark, str(tmp_path / "s"))
+
+
+def test_graph_is_built_by_batches(spark, tmp_path):
+    cols = "document_id string, court string, chamber string, esas_no string, karar_no string, t string"
+    text = "Yargıtay kararı, Esas No: 2011/5 Karar No: 2012/6 olan ilamda böyle der."
+    recs = spark.createDataFrame([("A", None, None, None, None, text), ("B", "Yargıtay", None, "2011/5", "2012/6", None), ("C", None, None, None, None, text)], cols)
+    for part in ("A", "C"):
+        recs.filter(F.col("document_id") == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    go = lambda: jobs.run_available(jobs.stream_table(spark, str(tmp_path / "in"), recs), str(tmp_path / "c"), each=jobs.keep_edges(str(tmp_path / "out"), recs, "document_id", "t"))
+    go()
+    go()
+    assert sorted((r["document_id"], r["cited"], r["confidence"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("A", "B", "high"), ("C", "B", "high")]
+
+
 def test_providers(spark):
     df = spark.createDataFrame([(1, "kira bedeli"), (2, " "), (3, None), (4, "tapu")], "k long, t string")
     p = embedding.HashProvider(16)
