@@ -44,7 +44,17 @@ _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _P = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_known: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, the same in every process; each word is hashed once a worker."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+_known = _Hashes()
 
 
 def words_of(text: str) -> list[str]:
@@ -52,16 +62,10 @@ def words_of(text: str) -> list[str]:
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes, the same in every process; repeated words are looked up."""
+    # the look-up holds what recurs; it starts anew before it grows without bound
     if len(_known) > 1_000_000:
         _known.clear()
-    out = []
-    for w in words:
-        h = _known.get(w)
-        if h is None:
-            h = _known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def runs(words: list[str], size: int) -> np.ndarray:
@@ -181,6 +185,11 @@ def small_pairs(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.minimum(x, y), np.maximum(x, y)
 
 
+def _class(words: list[str]) -> bytes:
+    """What texts with the same words have in common."""
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _sketches(key: str, text: str, size: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -189,10 +198,9 @@ def _sketches(key: str, text: str, size: int, min_words: int):
                 words = words_of(t) if t else []
                 if len(words) < min_words:
                     continue
-                cls = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 sh = runs(words, size)
                 bands, fp = sketch(sh)
-                out.append((k, cls, len(sh), fp, bands))
+                out.append((k, _class(words), len(sh), fp, bands))
             yield pd.DataFrame(out, columns=["id", "cls", "n", "fp", "bands"])
 
     return run
@@ -217,7 +225,8 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(text: str, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"c": b["c"], "sh": [runs(words_of(t), size).view(np.int64) for t in b[text]]})
+            words = [words_of(t) if t else [] for t in b[text]]
+            yield pd.DataFrame({"c": b["c"], "cls": [_class(w) for w in words], "sh": [runs(w, size).view(np.int64) for w in words]})
 
     return run
 
@@ -240,8 +249,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, size: int = 5, thre
     kind = docs.schema[key].dataType.simpleString()
     sk = docs.select(key, text).mapInPandas(_sketches(key, text, size, min_words), f"id {kind}, cls binary, n int, fp long, bands array<long>")
     sk = cut(sk.withColumn("c", F.xxhash64("cls")))
-    members = sk.groupBy("id").agg(F.min("c").alias("c"))
-    reps = sk.groupBy("c").agg(F.first(F.struct("fp", "bands")).alias("s"), F.min("id").alias("rep"))
+    members = cut(sk.groupBy("id").agg(F.min("c").alias("c")))
+    reps = sk.groupBy("c").agg(F.first(F.struct("fp", "bands")).alias("s"))
     posts = reps.select("c", F.col("s.fp").alias("fp"), F.explode("s.bands").alias("band"))
     sample = sk.filter(F.pmod(F.xxhash64("c", F.lit(3)), F.lit(PLAN)) == 0).select("c", "bands").dropDuplicates(["c"]).select(F.explode("bands").alias("band"))
     # at most one shard in SHARD postings is large; they are few, but their number is not assumed
@@ -260,24 +269,26 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, size: int = 5, thre
     pairs = cut(pairs.distinct())
     # only texts of classes in a candidate pair are read again; a filter of bounded size keeps the others from moving
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    who = reps.select("rep", "c").join(wanted, "c", "left_semi").withColumn("key", F.col("rep").cast("string"))
+    who = cut(sk.select("id", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("id").alias("rep")).withColumn("key", F.col("rep").cast("string")))
     texts = split_by_filter(docs.select(F.col(key).alias("rep"), text, F.col(key).cast("string").alias("key")), who, "key").filter("maybe").drop("maybe", "key")
-    sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets(text, size), "c long, sh array<long>")
+    sets = texts.join(who.drop("key"), "rep").select("c", text).mapInPandas(_sets(text, size), "c long, cls binary, sh array<long>")
+    # an id may have been delivered with another text as well
+    sets = sets.filter(F.col("c") == F.xxhash64("cls")).drop("cls")
     # both sides of the join read one exchange of the sets
     full = pairs.join(sets.withColumnsRenamed({"c": "a", "sh": "sha"}), "a").join(sets.withColumnsRenamed({"c": "b", "sh": "shb"}), "b")
-    return members, full.mapInPandas(_verify(threshold), "a long, b long, similarity double").distinct()
+    return members, cut(full.mapInPandas(_verify(threshold), "a long, b long, similarity double").distinct())
 
 
 def document_pairs(members: DataFrame, links: DataFrame, *, expand: int = 64) -> DataFrame:
     """(doc_a, doc_b) in code-point order, from classes and the links between them."""
     by = members.groupBy("c").agg(F.count("*").alias("k"), F.min("id").alias("rep"))
-    shared = by.filter("k > 1")
-    m = members.join(shared, "c")
-    few, many = m.filter(F.col("k") <= expand), m.filter(F.col("k") > expand)
+    # narrow rows that each of the three kinds of pairs reads
+    placed = cut(members.join(by, "c"))
+    few, many = placed.filter((F.col("k") > 1) & (F.col("k") <= expand)), placed.filter(F.col("k") > expand)
     inside = few.alias("x").join(few.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("doc_a"), F.col("y.id").alias("doc_b"))
     star = many.filter("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"))
     # members of large classes are held by their representative in links to other classes
-    holders = members.join(by, "c").filter((F.col("k") <= expand) | (F.col("id") == F.col("rep"))).select("c", "id")
+    holders = placed.filter((F.col("k") <= expand) | (F.col("id") == F.col("rep"))).select("c", "id")
     across = links.select("a", "b").join(holders.withColumnsRenamed({"c": "a", "id": "x"}), "a").join(holders.withColumnsRenamed({"c": "b", "id": "y"}), "b")
     across = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).filter("doc_a <> doc_b")
     return inside.unionByName(star).unionByName(across)
