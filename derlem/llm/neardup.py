@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 3
 BITS = 64
 RADIUS = 24
 SHARD = 4_096
-LEAF = 24
+LEAF = 4
 PLAN = 16
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20_240_501)
