@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from derlem.session import cut
 
-PER_PARTITION = 20_000
+PER_PARTITION = 4_000
 WASTE = 0.02
 
 
