@@ -44,7 +44,9 @@ def article_split(spark: SparkSession, d: str) -> DataFrame:
     return documents.parts(table(spark, d, "mevzuat_madde"), ["mevzuat_id", "sira"], "metin", documents.articles, "number string, ord int, body string")
 
 
-@query()
+@query(
+    "SELECT row_id, 0 AS position, 'madde' scope, CASE regexp_extract(ham, '^[(]([^: ]+)', 1) WHEN 'Değişik' THEN 'degisik' WHEN 'Ek' THEN 'ek' WHEN 'Mülga' THEN 'mulga' WHEN 'İptal' THEN 'iptal' END kind, NULL::VARCHAR AS date, regexp_extract(ham, ': ?([0-9]+)/', 1) by_no, regexp_extract(ham, '/([0-9]+) md', 1) by_article, NULL::VARCHAR gazette_date, NULL::VARCHAR gazette_no, NULL::VARCHAR court_case, NULL::VARCHAR court_decision, NULL::INT footnote, trim(ham) raw FROM mevzuat_degisiklik WHERE regexp_matches(ham, '^[(](Değişik|Ek|Mülga|İptal): ?[0-9]+/[0-9]+ md[.][)]$')"
+)
 def amendment_notes(spark: SparkSession, d: str) -> DataFrame:
     return documents.parts(table(spark, d, "mevzuat_degisiklik"), ["row_id"], "ham", documents.amendments, documents.AMENDMENT)
 

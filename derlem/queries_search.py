@@ -179,7 +179,7 @@ def index_update(spark: SparkSession, d: str) -> DataFrame:
     return got
 
 
-@query("SELECT count(*) n_table, count(*) n_index, 0 n_missing, 0 n_orphans, 1.0 coverage FROM documents")
+@query("SELECT count(*) n_table, count(*) n_index, 0::BIGINT n_missing, 0::BIGINT n_orphans, 1.0::DOUBLE coverage FROM documents")
 def index_status(spark: SparkSession, d: str) -> DataFrame:
     """The index beside the table it was made of."""
     return index(spark, d).status(table(spark, d, "documents"), "doc_id")

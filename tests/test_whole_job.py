@@ -89,3 +89,24 @@ def test_sync_newest_wins(spark, tmp_path):
     assert {r.document_id: r.conflict for r in run(spark, tmp_path, "sync_newest_wins").collect()} == {"A": True, "B": True, "C": False, "D": True}
     got = {r.document_id: r.action for r in run(spark, tmp_path, "sync_newest_wins").collect()}
     assert got == {"A": "newer_there", "B": "keep", "C": "only_here", "D": "newer_there"}
+
+
+def test_monotonicity_audit(spark, tmp_path):
+    rows = [("20240101", "10"), ("20240102", "12"), ("20240103", "11"), ("20240104", "13"), ("20240105", None), ("2024010", "1"), (None, "2"), ("20240106", "9")]
+    put(spark, tmp_path, "rg_ogeler", rows, "sayfa string, sayi_no string")
+    got = {(r.sayfa, r.no, r.kind) for r in run(spark, tmp_path, "monotonicity_audit").collect()}
+    assert got == {("20240102", 12, "above_next"), ("20240103", 11, "below_previous"), ("20240104", 13, "above_next"), ("20240106", 9, "below_previous")}
+
+
+def test_archive_is_looked_up_by_text(spark, tmp_path):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    law = lambda n, k, t, h=None: (n, k, "ad", "T", "1", "2", t, h, None)
+    rows = [law(1, "a", "eski"), law(2, "a", "yeni"), law(1, "b", "bir"), law(2, "b", "iki"), law(1, "c", "son"), law(1, "d", None, sha("x")), law(2, "d", "y")]
+    cols = "row_id long, snapshot_no int, mevzuat_id string, ad string, tur string, mevzuat_no string, rg_sayisi string, metin string, metin_hash string, cekim_zamani timestamp"
+    put(spark, tmp_path, "mevzuat_dokuman", [(i, *r) for i, r in enumerate(rows)], cols)
+    # the text itself must be there, under its law: another text of the law, or the text under another law, is none
+    put(spark, tmp_path, "mevzuat_dokuman_gecmis", [(" A", " eski\n"), ("b", "eski"), ("c", "son"), ("c", "son"), ("d", None)], "mevzuat_id string, metin string")
+    got = {(r.change_kind): (r.n_changes, r.n_with_text, r.n_archived) for r in run(spark, tmp_path, "p2_archive").collect()}
+    assert got == {"changed": (3, 2, 1), "removed": (1, 1, 1)}
