@@ -28,7 +28,7 @@ def _offset(instant: str) -> str:
 
 
 def moments(name: str, source: str, raw: str, keep: str) -> str:
-    """CTEs that end in ``name``: the columns ``keep`` of ``source`` and utc, the moment that ``raw`` names (null for none)."""
+    """CTEs that end in ``name``: the columns ``keep`` of ``source`` utc, the moment that ``raw`` names (null for none), and fmt, the writing it was read in."""
     n = name
     x = lambda p, i, c="s": f"regexp_extract({c}, '{p}', {i})"
     kind = "CASE WHEN NOT regexp_matches(s, '[0-9]') THEN NULL " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for k, p in _PATTERNS.items()) + " END"
@@ -55,7 +55,7 @@ def moments(name: str, source: str, raw: str, keep: str) -> str:
         f"{n}_g AS (SELECT *, CASE WHEN NOT tm THEN dy WHEN hh < 24 AND mi < 60 AND se < 60 THEN dy + to_hours(hh) + to_minutes(mi) + to_seconds(se) + to_microseconds(CASE WHEN coalesce(fr, '') <> '' THEN rpad(substr(fr, 1, 6), 6, '0')::BIGINT ELSE 0 END) END lc FROM {n}_f), "
         # the offset in force before a change holds in a gap and for a repeated reading
         f"{n}_h AS (SELECT *, {_offset('(lc - INTERVAL 12 HOUR)')} o1 FROM {n}_g), {n}_i AS (SELECT *, {_offset('(lc - to_minutes(o1))')} o2 FROM {n}_h), {n}_j AS (SELECT *, {_offset('(lc - to_minutes(o2))')} o3 FROM {n}_i), "
-        f"{n} AS (SELECT {keep}, CASE WHEN kd = 'count' THEN CASE WHEN length(g1) <= 10 THEN make_timestamp(g1::BIGINT * 1000000) ELSE make_timestamp(g1::BIGINT * 1000) END WHEN sh IS NOT NULL THEN lc - to_minutes(sh) WHEN o1 = o2 OR o3 <> o2 THEN lc - to_minutes(o1) ELSE lc - to_minutes(o2) END utc FROM {n}_j)"
+        f"{n} AS (SELECT {keep}, CASE WHEN kd = 'count' THEN CASE WHEN length(g1) <= 10 THEN make_timestamp(g1::BIGINT * 1000000) ELSE make_timestamp(g1::BIGINT * 1000) END WHEN sh IS NOT NULL THEN lc - to_minutes(sh) WHEN o1 = o2 OR o3 <> o2 THEN lc - to_minutes(o1) ELSE lc - to_minutes(o2) END utc, CASE WHEN kd = 'count' THEN CASE WHEN length(g1) <= 10 THEN 'epoch_s' ELSE 'epoch_ms' END WHEN kd IN ('run14', 'run8') THEN CASE WHEN try_strptime(g1, '%Y%m%d') IS NOT NULL THEN 'run_ymd' ELSE 'run_dmy' END ELSE kd END fmt FROM {n}_j)"
     )
 
 

@@ -133,6 +133,8 @@ _ARCHIVE = (
 )
 SQL = {
     "p1_found": f"WITH raw AS ({_DATES}), {moments('t', 'raw', 'raw', 'src_table, row_id')} SELECT src_table, row_id, strftime(utc, '%Y-%m-%dT%H:%M:%S.%fZ') utc_ts FROM t WHERE utc IS NOT NULL",
+    # day first, no numeric date has two readings
+    "p1_formats": f"WITH raw AS ({_DATES}), {moments('t', 'raw', 'raw', 'src_table, row_id')}, x AS (SELECT src_table, CASE WHEN utc IS NULL THEN 'none' ELSE fmt END AS format, strftime(utc, '%Y-%m-%dT%H:%M:%S.%fZ') u FROM t) SELECT src_table, format, count(*) n_rows, 0::BIGINT n_ambiguous, min(u) first_utc, max(u) last_utc FROM x GROUP BY 1, 2",
     "p2_archive": _P2.rstrip() + _ARCHIVE + "SELECT m snapshot_no, kind change_kind, count(*) n_changes, count(c.h) n_with_text, count(g.h) n_archived FROM c LEFT JOIN g ON g.k = c.k AND g.h = c.h WHERE kind IS NOT NULL GROUP BY 1, 2",
     "p2_log_check": _P2 + ", got AS (SELECT m n, count(*) FILTER (kind = 'changed') n_changed, count(*) FILTER (kind = 'added') n_added FROM j WHERE kind IS NOT NULL GROUP BY 1), log AS (SELECT snapshot_no n, sum(degisen) log_changed, sum(yeni) log_added FROM (SELECT DISTINCT snapshot_no, parti_no, tur, listelenen, degisen, yeni FROM mevzuat_guncelleme_log) GROUP BY 1) SELECT coalesce(got.n, log.n) snapshot_no, n_changed, n_added, log_changed, log_added FROM got FULL JOIN log ON got.n = log.n",
     "p2_found": _P2 + "SELECT m snapshot_no, id mevzuat_id, kind change_kind FROM j WHERE kind IS NOT NULL",
