@@ -242,11 +242,18 @@ def bundle_refresh(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT DISTINCT source, document_id, content_status IN ('full_text','html_markdown') IS TRUE ok, quote_usable = 1 IS TRUE usable FROM documents_v2 WHERE document_id IS NOT NULL), x AS (SELECT source, CASE WHEN NOT ok THEN 'status' WHEN NOT coalesce(usable, false) THEN 'not usable' ELSE 'safe' END reason, document_id FROM r) SELECT source, reason, count(*) n, sum(('0x' || substr(sha256(document_id), 1, 12))::BIGINT)::BIGINT digest FROM (SELECT DISTINCT * FROM x) GROUP BY 1, 2")
 def input_pack_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's records split into safe ones and excluded ones with the reason, and a digest of each part's ids that no order changes and no list is collected for."""
+    """Each source's records split into safe ones and excluded ones with the reason, and a digest of each part's ids that no order changes and no list is collected for.
+
+    The digest is the SQL's sum of 48-bit numbers, kept modulo 2^64 as a signed long. Above some 65,000 records in a part the sum itself
+    can leave a long, and the SQL's last cast fails; below, the two are equal.
+    """
     reason = F.when(~F.coalesce(F.col("content_status").isin("full_text", "html_markdown"), F.lit(False)), "status").when(~F.coalesce(F.col("quote_usable") == 1, F.lit(False)), "not usable").otherwise("safe")
     ids = _dv2(spark, d).filter("document_id is not null").select("source", reason.alias("reason"), "document_id").distinct()
     part = F.conv(F.substring(F.sha2(F.encode("document_id", "utf-8"), 256), 1, 12), 16, 10).cast("long")
-    return ids.groupBy("source", "reason").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
+    # the halves' sums stay below 2^63 up to 2^39 records; a shift drops what is above 64 bits
+    g = ids.withColumn("part", part).groupBy("source", "reason").agg(F.count("*").alias("n"), F.sum(F.shiftright("part", 24)).alias("hi"), F.sum(F.col("part").bitwiseAND(0xFFFFFF)).alias("lo"))
+    digest = F.shiftleft(F.col("hi") + F.shiftright("lo", 24), 24).bitwiseOR(F.col("lo").bitwiseAND(0xFFFFFF))
+    return g.select("source", "reason", "n", digest.alias("digest"))
 
 
 @query(

@@ -110,3 +110,15 @@ def test_archive_is_looked_up_by_text(spark, tmp_path):
     put(spark, tmp_path, "mevzuat_dokuman_gecmis", [(" A", " eski\n"), ("b", "eski"), ("c", "son"), ("c", "son"), ("d", None)], "mevzuat_id string, metin string")
     got = {(r.change_kind): (r.n_changes, r.n_with_text, r.n_archived) for r in run(spark, tmp_path, "p2_archive").collect()}
     assert got == {"changed": (3, 2, 1), "removed": (1, 1, 1)}
+
+
+def test_input_pack_hash_of_large_parts(spark, tmp_path):
+    import hashlib
+
+    n, small = 140_000, ["A", "Ş", "ş"]
+    ids = spark.range(n).selectExpr("'large' source", "cast(id as string) document_id").unionByName(spark.createDataFrame([("small", k) for k in small + ["A"]], "source string, document_id string"))
+    ids.selectExpr("*", "'full_text' content_status", "1L quote_usable").write.parquet(f"{tmp_path}/documents_v2.parquet")
+    sums = {s: sum(int(hashlib.sha256(k.encode()).hexdigest()[:12], 16) for k in ks) for s, ks in (("large", map(str, range(n))), ("small", small))}
+    assert sums["large"] >= 2**63 > sums["small"]
+    got = {tuple(r) for r in run(spark, tmp_path, "input_pack_hash").collect()}
+    assert got == {("large", "safe", n, (sums["large"] + 2**63) % 2**64 - 2**63), ("small", "safe", 3, sums["small"])}
