@@ -1,14 +1,10 @@
 """Personal information inside free text: find it and put typed placeholders in its place.
 
-Stretches are cut around every place where an item could begin (``windows``), or, with ``everywhere``, the
-whole text is one. A character-level BiLSTM with a CRF (``pii_model``), trained on windows of whole texts,
-labels them; long stretches are covered by overlapping windows and each character takes the label of the
-window in whose middle it lies, so that an item is decoded once for the whole text. Exact checks follow:
-check digits of identity numbers, the number of a telephone's digits, a domain behind an e-mail's sign;
-items begin and end with whole words. Odd blanks, hyphens and full-width forms are read as plain ones.
-
-The stretches lose what the network would find outside of them; ``python -m derlem.llm.pii_train recall
-TABLES`` counts that against whole texts.
+A character-level BiLSTM with a CRF (``pii_model``), trained on windows of whole texts, reads every character:
+long texts are covered by overlapping windows and each character takes the label of the window in whose middle
+it lies, so that an item is decoded once for the whole text. Exact checks follow: check digits of identity
+numbers, the number of a telephone's digits, a domain behind an e-mail's sign; items begin and end with whole
+words. Odd blanks, hyphens and full-width forms are read as plain ones.
 
 Defined results: null and empty texts have no items and stay as they are; the same occurrence of a
 record delivered again counts once; items do not overlap; everything outside items is kept.
@@ -25,106 +21,66 @@ from pyspark.sql import DataFrame
 
 from derlem.llm.pii_model import LABELS, code, trained
 
-CONTEXT = 32
-WINDOW = 256
+WINDOW = 512
 OVERLAP = 48
 _UP = "A-ZÇĞİÖŞÜÂÎÛ"
 #: Signs that are read as a plain one of the same width, so that positions stay: blanks, hyphens, full-width forms.
 _PLAIN = {ord("\r"): " ", 0xA0: " ", 0x1680: " ", **{c: " " for c in range(0x2000, 0x200B)}, 0x202F: " ", 0x205F: " ", 0x3000: " ", **{c: "-" for c in range(0x2010, 0x2016)}, **{c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}}
-_SIGNS = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
+_AS = {chr(c): x for c, x in _PLAIN.items()}
+_SIGNS = re.compile("[" + re.escape("".join(_AS)) + "]")
 _AT = r"(?: ?@ ?| ?[\[(] ?at ?[\])] ?)"
 _DOT = r"(?:\.| ?[\[(] ?(?:nokta|dot) ?[\])] ?)"
 _EMAIL = re.compile(rf"[\w.+\-]+{_AT}[\w\-]+(?:{_DOT}[\w\-]+)+|[\w.+\-]+ at [\w\-]+(?: (?:nokta|dot) [\w\-]+)+")
-#: Where an item could begin: ten digits with little between them, an at-sign in any writing, words for roads and quarters,
-#: two words with capitals, a capital behind a bracket or quotation mark, and one that begins no sentence.
-_GATES = (
-    re.compile(r"\d(?:[ \t().\-/–]{0,3}\d){9,}"),
-    re.compile(r"@|[\[(] ?at ?[\])]"),
-    re.compile(r" at [\w\-]+ (?:nokta|dot) "),
-    re.compile(r"\b(?=[MSCBmscb])(?:[Mm]ah(?:\b|alle)|MAH(?:\b|ALLE)|M[hH]\b|[Ss]ok(?:\b|a[kğ])|SOK(?:\b|A[KĞ])|S[kK]\b|sk\b|[Cc]ad(?:\b|de)|CAD(?:\b|DE)|C[dD]\b|[Bb]ul(?:\b|v)|BUL(?:\b|V)|[Bb]lv|BLV)"),
-    re.compile(rf"[{_UP}][\w'’]+,?\s+\*{{0,2}}[{_UP}]\w+"),
-    re.compile(rf"[(\[{{\"“«‘]\*{{0,2}}[{_UP}]\w\w+"),
-)
-_CAPITAL = re.compile(rf"[ \t]\W{{0,2}}[{_UP}]\w\w+")
-_BEFORE = frozenset(".!?…#*-\n \t")
 _WORDS = re.compile(r"[^\W_]")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in LABELS[1:]}
 
 
 def plain(text: str) -> str:
     """The text with odd blanks, hyphens and full-width forms as plain ones, character by character."""
-    return text.translate(_PLAIN) if _SIGNS.search(text) else text
-
-
-def _inside(text: str, p: int) -> bool:
-    """Whether what stands before the blank at ``p`` does not end a sentence."""
-    while p > 0 and text[p - 1] in " \t":
-        p -= 1
-    return p > 0 and text[p - 1] not in _BEFORE
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Merged stretches around the places where an item could begin."""
-    hits = [m.span() for g in _GATES for m in g.finditer(text)]
-    hits += [m.span() for m in _CAPITAL.finditer(text) if _inside(text, m.start())]
-    out: list[list[int]] = []
-    n = len(text)
-    for s, e in sorted(hits):
-        a, b = max(0, s - CONTEXT), min(n, e + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return _SIGNS.sub(lambda m: _AS[m.group()], text)
 
 
-def cover(n: int) -> list[tuple[int, int]]:
-    """Overlapping windows over a text of length n."""
-    if n <= WINDOW:
+def cover(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Overlapping windows over a text of length n, as few as there can be and of one size."""
+    if n <= window:
         return [(0, n)]
-    step = WINDOW - OVERLAP
-    starts = [*range(0, n - WINDOW, step), n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+    k = -(-(n - OVERLAP) // (window - OVERLAP))
+    size = -(-(n + OVERLAP * (k - 1)) // k)
+    return [(s, s + size) for s in (i * (n - size) // (k - 1) for i in range(k))]
 
 
 def stitch(n: int, parts: list[tuple[int, int]], labels: list[np.ndarray]) -> np.ndarray:
-    """One label per character: that of the window in which it lies farthest from an edge."""
+    """One label per character: that of the window in which it lies farthest from an edge, so each overlap is cut in its middle."""
     if len(parts) == 1:
         return labels[0]
-    out, depth = np.zeros(n, np.uint8), np.full(n, -1)
-    for (a, b), lab in zip(parts, labels):
-        i = np.arange(b - a)
-        d = np.minimum(i + (WINDOW if a == 0 else 0), b - a - 1 - i + (WINDOW if b == n else 0))
-        better = d > depth[a:b]
-        out[a:b][better] = lab[better]
-        depth[a:b][better] = d[better]
-    return out
+    cuts = [0, *((a + b + 1) // 2 for (_, b), (a, _) in zip(parts, parts[1:])), n]
+    return np.concatenate([lab[x - a : y - a] for lab, (a, _), x, y in zip(labels, parts, cuts, cuts[1:])])
 
 
-def label_texts(texts: list[str], everywhere: bool = False) -> list[list[tuple[int, int, int]]]:
-    """Runs (start, end, label) of each text. Equal windows of one call are decoded once."""
+def label_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """Runs (start, end, label) of each text, every character of which is read. Equal windows of one call are decoded once."""
     seqs: dict[bytes, int] = {}
     cut, todo = [], []
-    for i, t in enumerate(texts):
+    for t in texts:
         c = code(t)
-        for a, b in [(0, len(t))] if everywhere else windows(t):
-            parts = cover(b - a)
-            own = []
-            for x, y in parts:
-                w = c[a + x : a + y]
-                at = seqs.setdefault(w.tobytes(), len(cut))
-                if at == len(cut):
-                    cut.append(w)
-                own.append(at)
-            todo.append((i, a, b - a, parts, own))
+        parts = cover(len(t)) if t else []
+        own = []
+        for x, y in parts:
+            w = c[x:y]
+            at = seqs.setdefault(w.tobytes(), len(cut))
+            if at == len(cut):
+                cut.append(w)
+            own.append(at)
+        todo.append((parts, own))
     got = trained().decode(cut) if cut else []
+    some = [x.any() for x in got]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, a, n, parts, own in todo:
-        lab = [got[k] for k in own]
-        if any(x.any() for x in lab):
-            lab = stitch(n, parts, lab)
+    for i, (parts, own) in enumerate(todo):
+        if any(some[k] for k in own):
+            n = len(texts[i])
+            lab = stitch(n, parts, [got[k] for k in own])
             bounds = [0, *(np.flatnonzero(np.diff(lab)) + 1).tolist(), n]
-            out[i] += [(a + x, a + y, int(lab[x])) for x, y in zip(bounds, bounds[1:]) if lab[x]]
+            out[i] = [(x, y, int(lab[x])) for x, y in zip(bounds, bounds[1:]) if lab[x]]
     return out
 
 
@@ -206,10 +162,10 @@ def find_items(text: str) -> list[tuple[int, int, str]]:
     return find_all([text])[0]
 
 
-def find_all(texts: list[str | None], everywhere: bool = False) -> list[list[tuple[int, int, str]]]:
+def find_all(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     texts = [plain(t) if t else "" for t in texts]
     out = []
-    for t, found in zip(texts, label_texts(texts, everywhere)):
+    for t, found in zip(texts, label_texts(texts)):
         items = []
         for a, b, k in found:
             items += check(t, a, b, k)

@@ -20,7 +20,7 @@ MODEL = Path(__file__).with_name("pii_model.npz")
 
 
 def _codes() -> np.ndarray:
-    table = np.zeros(0x10000, np.uint8)
+    table = np.zeros(0x110000, np.uint8)
     for i, c in enumerate(ALPHABET, 1):
         table[ord(c)] = i
     table[ord("0") : ord("9") + 1] = 1
@@ -34,8 +34,7 @@ VOCAB = len(ALPHABET) + 1
 
 def code(text: str) -> np.ndarray:
     """Table rows of a text's characters, one per code point."""
-    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(u < 0x10000, _TABLE[np.minimum(u, 0xFFFF)], 0).astype(np.int64)
+    return _TABLE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def pad(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +109,66 @@ class Model:
         return hf @ p["wf"] + hb @ p["wb"] + p["b"]
 
     def scores(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The emissions (label, position, row), laid out for whole-array steps; ``x`` and ``n`` as from ``pad``."""
+        """The emissions (position, label, row), both directions in one loop; ``x`` and ``n`` as from ``pad``."""
         p, h = self.p, self.hidden
         rows, t_max = x.shape
-        flip = _flip(n, t_max)
-        hf = self._direction(x, p["tf"], p["uf"]).transpose(1, 0, 2).reshape(-1, h)
-        hb = self._direction(np.take_along_axis(x, flip, 1), p["tb"], p["ub"]).transpose(1, 0, 2).reshape(-1, h)
-        # back in reading order: whole states move, not single numbers
-        hb = np.take(hb, (flip.T * rows + np.arange(rows)).ravel(), axis=0)
-        return (p["wf"].T @ hf.T + p["wb"].T @ hb.T + p["b"][:, None]).reshape(K, t_max, rows)
-
-    def decode(self, seqs: list[np.ndarray], batch: int = 16_384, inner: int = 512) -> list[np.ndarray]:
+        kind = p["tf"].dtype
+        scale, mid = np.repeat(np.array([0.25, 1], kind), [3 * h, h]), np.repeat(np.array([0.5, 0], kind), [3 * h, h])
+        # a row that closes every gate stands for padding: the state stays zero until the reading backward meets the text
+        stop = np.full((1, 4 * h), -1e9, kind)
+        table = np.concatenate([p["tf"] * scale + mid, stop, p["tb"] * scale + mid, stop])
+        u = np.stack([p["uf"] * scale, p["ub"] * scale])
+        c = np.where(np.arange(t_max)[:, None] < n, x.T, VOCAB)
+        columns = np.stack([c, c[::-1] + VOCAB + 1], 1)
+        # bounds as whole arrays: numpy's minimum and maximum are several times slower against a single number
+        low, high = np.zeros((2, rows, 4 * h), kind), np.ones((2, rows, 4 * h), kind)
+        low[..., 3 * h :] = -1
+        least, most = np.full((2, rows, h), -1, kind), np.ones((2, rows, h), kind)
+        state, cell, new = np.zeros((2, rows, h), kind), np.zeros((2, rows, h), kind), np.empty((2, rows, h), kind)
+        z, r = np.empty((2, rows, 4 * h), kind), np.empty((2, rows, 4 * h), kind)
+        i, f, o, g = (z[..., k * h : (k + 1) * h] for k in range(4))
+        # states are weighed some steps at a time, while the cache has them
+        out = np.empty((32, 2, rows, h), kind)
+        e = np.empty((t_max, K, rows), kind)
+        e[:] = p["b"][:, None]
+        for t in range(t_max):
+            at = t % len(out)
+            table.take(columns[t], axis=0, out=z, mode="clip")
+            np.matmul(state, u, out=r)
+            np.add(z, r, out=z)
+            np.maximum(z, low, out=z)
+            np.minimum(z, high, out=z)
+            np.multiply(cell, f, out=cell)
+            np.multiply(i, g, out=new)
+            np.add(cell, new, out=cell)
+            np.maximum(cell, least, out=new)
+            np.minimum(new, most, out=new)
+            state = np.multiply(o, new, out=out[at])
+            if at == len(out) - 1 or t == t_max - 1:
+                past = out[: at + 1].transpose(1, 0, 3, 2)
+                e[t - at : t + 1] += np.matmul(p["wf"].T, past[0])
+                e[t_max - 1 - t : t_max - t + at] += np.matmul(p["wb"].T, past[1, ::-1])
+        return e
+
+    def _live(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether a row's best path can hold an item at all: some run of labels could beat the path outside throughout.
+
+        A run gains at most its places' best labels and the best transitions into, within and out of runs. The bound is
+        exact: where no run exceeds nought, neither does a path of several.
+        """
+        a = self.p["a"] - self.p["a"][0, 0]
+        enter, stay, leave = a[0, 1:].max(), a[1:, 1:].max(), a[1:, 0].max()
+        run = e[:, 1:].max(1) - e[:, 0]
+        for t in range(1, len(run)):
+            run[t] += np.maximum(run[t - 1] + stay, enter)
+        out = (run + leave > -1e-3) & (np.arange(len(run))[:, None] < n)
+        # a run that the end of the row cuts off has no way out
+        return out.any(0) | (run[n - 1, np.arange(len(n))] > -1e-3)
+
+    def decode(self, seqs: list[np.ndarray], batch: int = 16_384, inner: int = 384) -> list[np.ndarray]:
         """The best label sequence of each input under the CRF."""
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
         out: list = [None] * len(seqs)
-        a = self.p["a"]
-        # a run of L labels inside an item has L + 1 transitions, at most two for each label
-        spare = 2 * max(0.0, float((a - a[0, 0]).max()))
         for k in range(0, len(order), batch):
             hold, live = [], []
             # states of a few hundred rows stay in the cache
@@ -134,12 +176,10 @@ class Model:
                 part = order[i : i + inner]
                 x, n = pad([seqs[j] for j in part])
                 e = self.scores(x, n)
-                # where every other label is worse at every place, the best path is outside throughout
-                gain = (e[1:].max(0) - e[0] + spare > 0) & (np.arange(x.shape[1])[:, None] < n)
-                some = gain.any(0)
+                some = self._live(e, n)
                 for r, j in enumerate(part):
                     if some[r]:
-                        hold.append(e[:, : n[r], r])
+                        hold.append(e[: n[r], :, r].T.copy())
                         live.append(j)
                     else:
                         out[j] = np.zeros(n[r], np.uint8)
@@ -151,24 +191,18 @@ class Model:
         """The best path through the scores (label, length) of each input."""
         a, n = self.p["a"], np.array([x.shape[1] for x in parts])
         t_max, rows = int(n.max()), np.arange(len(parts))
-        # labels first, so that each step works on whole rows of inputs
-        e = np.zeros((t_max, K, len(parts)), np.float32)
+        # labels first, so that each step works on whole rows of inputs; the best score of a path that ends there
+        score = np.zeros((t_max, K, len(parts)), np.float32)
         for r, x in enumerate(parts):
-            e[: x.shape[1], :, r] = x.T
-        back = np.zeros((t_max, K, len(parts)), np.uint8)
-        score, arg = e[0].copy(), np.empty((K, len(parts)), np.intp)
+            score[: x.shape[1], :, r] = x.T
         for t in range(1, t_max):
-            cand = score[:, None, :] + a[:, :, None]
-            cand.argmax(0, out=arg)
-            back[t] = arg
-            score = np.where(t < n, cand.max(0) + e[t], score)
-        cur = score.argmax(0)
+            score[t] += (score[t - 1][:, None, :] + a[:, :, None]).max(0)
         lab = np.zeros((len(parts), t_max), np.uint8)
+        cur, into = np.zeros(len(parts), np.intp), np.ascontiguousarray(a.T)
         for t in range(t_max - 1, -1, -1):
-            on = t < n
-            lab[on, t] = cur[on]
-            if t:
-                cur = np.where(on, back[t, cur, rows], cur)
+            # which label came before is asked for the one label on the path alone
+            cur = (score[t].T + np.where((t < n - 1)[:, None], into[cur], 0)).argmax(1)
+            lab[:, t] = cur
         return [lab[r, : n[r]] for r in rows]
 
     # -- training -------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Training of the model in ``pii_model.npz``: ``python -m derlem.llm.pii_train TABLES [SECONDS]``; ``recall TABLES`` measures the stretches.
+"""Training of the model in ``pii_model.npz``: ``python -m derlem.llm.pii_train TABLES [SECONDS]``.
 
 Labelled spans come from a bounded sample of stretches (``MAX_STRETCHES``) of documents_v2. A
 teacher marks what is certain: numbers with right check digits, telephones, written-out e-mail
@@ -20,10 +20,12 @@ from pathlib import Path
 
 import numpy as np
 
-from derlem.llm.pii import _EMAIL, _NUM, _UP, _digits, cover, find_all, plain, valid_id, windows
+from derlem.llm.pii import _EMAIL, _NUM, _UP, _digits, cover, plain, valid_id
 from derlem.llm.pii_model import LABELS, MODEL, Model, code
 
 MAX_STRETCHES = 40_000
+#: Characters of a window that is learned from.
+LEARNED = 256
 #: Windows without items per other window.
 PLAIN = 0.5
 _CAP = rf"[{_UP}][\w]+"
@@ -213,7 +215,7 @@ def examples(texts: list[str], names: Names, seed: int = 3) -> tuple[list[str],
         whole = teach(t, names, usual)
         # windows that begin at any place, so that the model learns to read on from the middle of a word
         shift = r.randrange(64)
-        for a, b in cover(len(t)):
+        for a, b in cover(len(t), LEARNED):
             a, b = (a, b) if a == 0 else (a - shift, b - shift)
             s, lab = t[a:b], whole[a:b]
             shape = re.sub(r"\d", "0", s)
@@ -275,25 +277,5 @@ def main(folder: str, seconds: float = 240) -> None:
     model.save(MODEL)
 
 
-def recall(folder: str, batch: int = 500) -> None:
-    """How many of the items found in whole texts the stretches find as well, and the share of the characters they send to the network."""
-    import pyarrow.parquet as pq
-
-    rows = pq.read_table(Path(folder, "documents_v2.parquet"), columns=["full_text", "markdown"])
-    texts = sorted({t for c in rows.columns for t in c.to_pylist() if t})
-    whole, both, extra, inside = Counter(), Counter(), Counter(), 0
-    for i in range(0, len(texts), batch):
-        part = texts[i : i + batch]
-        inside += sum(b - a for t in map(plain, part) for a, b in windows(t))
-        for x, y in zip(find_all(part, everywhere=True), find_all(part)):
-            x, y = {(a, k) for a, _, k in x}, {(a, k) for a, _, k in y}
-            for n, s in ((whole, x), (both, x & y), (extra, y - x)):
-                n.update(k for _, k in s)
-    print({k: (both[k], whole[k], extra[k]) for k in whole}, "recall", sum(both.values()) / max(1, sum(whole.values())), "share of characters", inside / sum(map(len, texts)))
-
-
 if __name__ == "__main__":
-    if sys.argv[1] == "recall":
-        recall(sys.argv[2])
-    else:
-        main(sys.argv[1], *map(float, sys.argv[2:3]))
+    main(sys.argv[1], *map(float, sys.argv[2:3]))

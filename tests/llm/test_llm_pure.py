@@ -6,8 +6,8 @@ import pytest
 from derlem.llm import lookalikes as L
 from derlem.llm.neardup import LEAF, RADIUS, VantageTree, jaccard, runs, shard_pairs, sketch, small_pairs, words_of
 from derlem.llm.packing import best_fit_decreasing, lower_bound
-from derlem.llm.pii import check, cover, find_all, redact, stitch, valid_id
-from derlem.llm.pii_model import Model
+from derlem.llm.pii import OVERLAP, WINDOW, check, cover, find_all, redact, stitch, valid_id
+from derlem.llm.pii_model import Model, code
 from derlem.llm.splitting import bisect, boundaries
 from derlem.llm.tokens import codec, first_sure, last_sure
 
@@ -178,3 +178,53 @@ def test_pii_model_on_unseen_text():
     t = "Davalı Nurmiray Alagaltaş vekili duruşmada hazır bulunmuştur. İletişim için telefon numarası 0594 204 02 05 bildirilmiştir. Adres: Lale Mah. Okul Sok. No: 5 D: 3 Kuzköprülü/Taşpınarca. Yazışma nalagaltas@posta.example hesabından."
     kinds = [k for _, _, k in find_all([t])[0]]
     assert {"person", "phone", "email", "address"} <= set(kinds)
+
+
+def test_pii_reads_every_character(monkeypatch):
+    # names where neither two capitals in a row nor one inside a sentence announce them
+    texts = ["Alagaltaş vekili duruşmada hazır bulunmuştur.", "Dosya incelendi. Nurmiray duruşmada dinlendi.", "davacı/Çamuşayoğlu vekili"]
+    assert find_all(texts) == [[(0, 9, "person")], [(17, 25, "person")], [(7, 18, "person")]]
+    # small letters alone, no item in them: all of them go to the network all the same
+    plain = ["".join("abcçdefgğ hıijkl"[(i * i + k) % 16] for i in range(k)) for k in (1, 47, 511, 512, 513, 976, 977, 5000)]
+    seen, decode = [], Model.decode
+    monkeypatch.setattr(Model, "decode", lambda self, seqs: seen.extend(seqs) or decode(self, seqs))
+    find_all(plain)
+    given = {x.tobytes() for x in seen}
+    for t in plain:
+        parts = cover(len(t))
+        assert parts[0][0] == 0 and parts[-1][1] == len(t) and max(b - a for a, b in parts) <= WINDOW
+        assert all(a + OVERLAP - 1 <= e < b for (_, e), (a, b) in zip(parts, parts[1:]))
+        assert all(code(t)[a:b].tobytes() in given for a, b in parts)
+
+
+def test_decode_of_many_rows_equals_each_row_alone():
+    r = np.random.default_rng(4)
+    seqs = [r.integers(0, 60, k) for k in r.integers(1, 40, 120)]
+    kinds = set()
+    for seed in range(4):
+        m = Model(hidden=5, seed=seed)
+        m.p["a"] = r.standard_normal((6, 6)).astype(np.float32)
+        # from mostly labelled to mostly outside
+        m.p["b"][0] = seed * 1.5
+        for x, got in zip(seqs, m.decode(seqs, inner=50)):
+            e = m.emissions(x[None], np.array([len(x)]))[0]
+            best, back = e[0], []
+            for t in range(1, len(x)):
+                cand = best[:, None] + m.p["a"]
+                back.append(cand.argmax(0))
+                best = cand.max(0) + e[t]
+            path = [int(best.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            assert got.tolist() == path[::-1]
+            kinds.add(any(path))
+    assert kinds == {True, False}
+
+
+def test_stitch_cuts_overlaps_in_their_middle():
+    for n in (513, 976, 977, 5000):
+        parts = cover(n)
+        got = stitch(n, parts, [np.full(b - a, k, np.uint8) for k, (a, b) in enumerate(parts)])
+        # farther from an edge than in any other window; the ends of the text are no edges
+        room = [[min(i - a if a else n, b - 1 - i if b < n else n) if a <= i < b else -1 for i in range(n)] for a, b in parts]
+        assert got.tolist() == np.argmax(room, 0).tolist()
